@@ -1,3 +1,3 @@
 """Imports every query module; each registers its queries."""
 
-from tideline.catalog import rollups  # noqa: F401
+from tideline.catalog import rollups, scoring  # noqa: F401
