@@ -53,10 +53,12 @@ def role_inputs(role_state: DataFrame, profile: Profile, skills: DataFrame | Non
         F.sort_array(F.collect_set("role_type")).alias("role_types"),
         F.max("first_seen_at").alias("last_role_posted"),
         F.count(F.lit(1)).alias("active_roles"),
+        F.max("days_open").alias("oldest_open_days"),
     )
-    # The oldest open role is taken over all active roles, whatever max_roles says.
-    oldest = role_state.where("is_active").groupBy("company_id").agg(F.max("days_open").alias("oldest_open_days"))
-    facts = facts.join(oldest, "company_id")
+    if max_roles is not None:
+        # The oldest open role is taken over all active roles, whatever max_roles says.
+        oldest = role_state.where("is_active").groupBy("company_id").agg(F.max("days_open").alias("oldest_open_days"))
+        facts = facts.drop("oldest_open_days").join(oldest, "company_id")
     if skills is None:
         return facts.withColumn("skills", F.array().cast("array<string>"))
     wanted = skills.select("role_id", F.lower("skill").alias("skill")).where(F.col("skill").isin(*profile.skills))
