@@ -180,11 +180,8 @@ def total_of(parts: tuple[str, ...]) -> Column:
     return F.least(sum((F.col(p) for p in parts[1:]), F.col(parts[0])), F.lit(100.0))
 
 
-def role_fit(roles: DataFrame, skills: DataFrame, profile: Profile = Profile()) -> DataFrame:
-    """Every role with its fit score and parts. ``skills`` is the long
-    table (role_id, skill)."""
-    wanted = skills.select("role_id", F.lower("skill").alias("skill")).where(F.col("skill").isin(*profile.skills))
-    matched = wanted.groupBy("role_id").agg(F.sort_array(F.collect_set("skill")).alias("skills"))
+def role_fit_parts(skills: Column, profile: Profile) -> dict[str, Column]:
+    """C2 over the columns of a role; ``skills`` is its array of lower-case skills."""
     level = F.coalesce("seniority", F.lit("unknown"))
     seniority = (
         F.when(level.isin(*profile.target_seniority), 20.0)
@@ -192,19 +189,27 @@ def role_fit(roles: DataFrame, skills: DataFrame, profile: Profile = Profile())
         .when(level == "junior", 5.0)
         .otherwise(10.0)
     )
-    parts = (
-        roles.drop("fit_score")
-        .join(matched, "role_id", "left")
-        .withColumn("skills", F.coalesce("skills", F.array().cast("array<string>")))
-        .withColumns(
-            {
-                "stack_match": stack_points(F.col("skills"), profile),
-                "domain_match": domain_points(F.array(F.coalesce("role_type", F.lit("unknown"))), profile),
-                "seniority_match": seniority,
-                "culture_proxy": F.when(F.col("is_remote_us"), 8.0).otherwise(0.0),
-            }
-        )
-    )
+    return {
+        "stack_match": stack_points(skills, profile),
+        "domain_match": domain_points(F.array(F.coalesce("role_type", F.lit("unknown"))), profile),
+        "seniority_match": seniority,
+        "culture_proxy": F.when(F.col("is_remote_us"), 8.0).otherwise(0.0),
+    }
+
+
+def role_fit(roles: DataFrame, skills: DataFrame | None = None, profile: Profile = Profile()) -> DataFrame:
+    """Every role with its fit score and parts. ``skills`` is the long table
+    (role_id, skill); without it the roles' own ``required_skills`` are used, and
+    nothing is shuffled."""
+    none = F.array().cast("array<string>")
+    if skills is None:
+        own = F.transform(F.coalesce("required_skills", none), lambda s: F.lower(s))
+        with_skills = roles.withColumn("skills", own)
+    else:
+        wanted = skills.select("role_id", F.lower("skill").alias("skill")).where(F.col("skill").isin(*profile.skills))
+        matched = wanted.groupBy("role_id").agg(F.sort_array(F.collect_set("skill")).alias("skills"))
+        with_skills = roles.join(matched, "role_id", "left").withColumn("skills", F.coalesce("skills", none))
+    parts = with_skills.drop("fit_score").withColumns(role_fit_parts(F.col("skills"), profile))
     return parts.withColumn("fit_score", total_of(FIT_PARTS))
 
 
