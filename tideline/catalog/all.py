@@ -1,3 +1,3 @@
 """Imports every query module; each registers its queries."""
 
-from tideline.catalog import console, lists, merges, rollups, scoring  # noqa: F401
+from tideline.catalog import console, lists, merges, rollups, scoring, sources  # noqa: F401

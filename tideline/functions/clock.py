@@ -56,44 +56,29 @@ def linear_decay(age: Column, horizon: float) -> Column:
     return F.greatest(F.lit(0.0), 1.0 - age / F.lit(float(horizon)))
 
 
-# Input formats accepted by `parse_instant`, tried in this order (H5). Fixed values.
-INSTANT_FORMATS = (
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSXXX",
-    "yyyy-MM-dd'T'HH:mm:ssXXX",
-    "yyyy-MM-dd HH:mm:ssXXX",
-    "EEE, d MMM yyyy HH:mm:ss Z",
-    "EEE, d MMM yyyy HH:mm:ss z",
-    "d MMM yyyy HH:mm:ss Z",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd'T'HH:mm:ss.SSS",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd",
-    "MMMM d, yyyy",
-    "MMM d, yyyy",
-    "MM/dd/yyyy",
-    "dd-MMM-yyyy",
-    "yyyyMMdd",
-)
-
-
-def parse_instant(text: Column, formats: tuple[str, ...] = INSTANT_FORMATS) -> Column:
+# Formats other than ISO 8601 that `parse_instant` accepts, in this order (H5).
+# Fixed values.
+ZONED_FORMATS = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z")
+DATE_FORMATS = ("MMMM d, yyyy", "MMM d, yyyy", "MM/dd/yyyy", "dd-MMM-yyyy", "d MMMM yyyy", "yyyyMMdd")
+ENDS_WITH_ZONE = r"(?:Z|[+-]\d{2}:?\d{2})$"
+
+
+def parse_instant(text: Column) -> Column:
     """Text to naive UTC; null when no format fits. Zoned texts are converted to
     UTC, zoneless ones are taken as UTC (Q23)."""
-    cleaned = F.nullif(F.trim(text), F.lit(""))
+
+    def to_utc(zoned: Column) -> Column:
+        return F.convert_timezone(F.current_timezone(), F.lit("UTC"), zoned.cast("timestamp_ntz"))
+
     # Java's formatter reads the weekday strictly; it carries no information.
-    cleaned = F.regexp_replace(cleaned, r"^[A-Za-z]{3},\s+", "")
-    attempts = []
-    for pattern in formats:
-        pattern = pattern.removeprefix("EEE, ")
-        lit = F.lit(pattern)
-        if pattern.endswith(("XXX", " Z", " z")):
-            parsed = F.try_to_timestamp(cleaned, lit)
-            attempts.append(F.convert_timezone(F.current_timezone(), F.lit("UTC"), parsed.cast("timestamp_ntz")))
-        else:
-            attempts.append(F.try_to_timestamp(cleaned, lit).cast("timestamp_ntz"))
-    return F.coalesce(*attempts)
+    cleaned = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3},\s+", "")
+    iso = F.when(cleaned.rlike(ENDS_WITH_ZONE), to_utc(cleaned.try_cast("timestamp"))).otherwise(
+        cleaned.try_cast("timestamp_ntz")
+    )
+    is_iso = cleaned.rlike(r"^\d{4}-\d{2}-\d{2}")
+    zoned = [to_utc(F.try_to_timestamp(cleaned, F.lit(f))) for f in ZONED_FORMATS]
+    plain = [F.try_to_timestamp(cleaned, F.lit(f)).cast("timestamp_ntz") for f in DATE_FORMATS]
+    return F.when(is_iso, iso).otherwise(F.coalesce(*zoned, *plain))
 
 
 def epoch_instant(seconds: Column) -> Column:
