@@ -297,11 +297,8 @@ def lexicon_scores(t: Tables):
     head = F.split_part("text", F.lit("."), F.lit(1))
     kind = F.when(F.col("doc_id") % 2 == 0, "founder_post").otherwise("blog_post")
     actor = F.when(F.col("doc_id") % 3 == 0, "Founder").otherwise("")
-    return t.documents.select(
-        "doc_id",
-        scores.entry_score(head, F.col("text"), kind, actor).alias("score"),
-        F.array_join(scores.entry_hits(head, F.col("text")), ",").alias("hits"),
-    )
+    scored = scores.with_entry_scores(t.documents.select("doc_id", "text"), head, F.col("text"), kind, actor)
+    return scored.select("doc_id", "score", F.array_join("hits", ",").alias("hits"))
 
 
 @query(

@@ -274,7 +274,7 @@ def words_sql(expr: str, words) -> str:
     SELECT doc_id, {words_sql("body", lex.LANGUAGES)} AS languages, {words_sql("body", lex.FRAMEWORKS)} AS frameworks, {words_sql("body", lex.INFRA_TOOLS)} AS infra FROM d""",
 )
 def document_stacks(t: Tables):
-    stack = t.documents.select("doc_id", titles.tech_stack(F.col("text")).alias("s"))
+    stack = titles.with_tech_stack(t.documents.select("doc_id", "text"), F.col("text"), "s")
     return stack.select("doc_id", *[F.array_join(f"s.{p}", ",").alias(p) for p in ("languages", "frameworks", "infra")])
 
 
@@ -285,7 +285,8 @@ def document_stacks(t: Tables):
       coalesce(nullif(concat_ws(',', {", ".join(f"CASE WHEN {any_sql('body', words)} THEN '{name}' END" for name, words in lex.FAMILY_WORDS)}), ''), 'backend') AS families FROM d""",
 )
 def document_families(t: Tables):
-    return t.documents.select(
+    low = t.documents.select("doc_id", F.lower("text").alias("text"))
+    return low.select(
         "doc_id", titles.role_focus(F.col("text")).alias("focus"), F.array_join(titles.role_families(F.col("text")), ",").alias("families")
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions import lexicons as lex
@@ -54,23 +54,27 @@ def _weights(text: Column, table: dict[str, float]) -> Column:
     return total
 
 
-def entry_score(title: Column, summary: Column, kind: Column, actor_role: Column) -> Column:
-    """P20: score of one feed entry, over the whole text."""
-    head = F.lower(F.coalesce(title, F.lit("")))
-    text = F.lower(F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(summary, F.lit(""))))
+def with_entry_scores(
+    entries: DataFrame, title: Column, summary: Column, kind: Column, actor_role: Column
+) -> DataFrame:
+    """P20: ``score`` and ``hits`` of every feed entry, over its whole text. The
+    lower-cased text is a column of its own, so it is built once per entry and not
+    once per phrase."""
+    body = F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(summary, F.lit("")))
+    lowered = entries.withColumns({"_head": F.lower(F.coalesce(title, F.lit(""))), "_text": F.lower(body)})
+    head, text = F.col("_head"), F.col("_text")
+    gate = F.when(contains_any(text, lex.HIRING_GATE_WORDS), 0.0).otherwise(-16.0)
+    bonus = F.when(contains_any(head, lex.TITLE_BONUS_WORDS), 8.0).otherwise(0.0)
+    hits = found_in(text, [*lex.HIRING_PHRASES, *lex.ENGINEERING_PHRASES])
+    lowered = lowered.withColumns({"hits": hits, "_down": _weights(text, lex.DOWNRANK_PHRASES), "_extra": gate + bonus})
+    # Positive weights are read off the hits instead of the text.
+    weights = F.create_map(*[F.lit(x) for pair in {**lex.HIRING_PHRASES, **lex.ENGINEERING_PHRASES}.items() for x in pair])
+    gained = F.aggregate(F.transform("hits", lambda p: F.element_at(weights, p)), F.lit(0.0), lambda a, w: a + w)
     raw = (
         F.when(kind == "founder_post", 12.0).otherwise(6.0)
-        + _weights(text, lex.HIRING_PHRASES)
-        + _weights(text, lex.ENGINEERING_PHRASES)
-        + _weights(text, lex.DOWNRANK_PHRASES)
-        + F.when(contains_any(head, lex.TITLE_BONUS_WORDS), 8.0).otherwise(0.0)
+        + gained
+        + F.col("_down")
+        + F.col("_extra")
         + F.when(F.coalesce(actor_role, F.lit("")) != "", 4.0).otherwise(0.0)
-        - F.when(contains_any(text, lex.HIRING_GATE_WORDS), 0.0).otherwise(16.0)
     )
-    return clamp(raw, 0.0, 95.0)
-
-
-def entry_hits(title: Column, summary: Column) -> Column:
-    """P20: hiring, then engineering phrases found."""
-    text = F.lower(F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(summary, F.lit(""))))
-    return found_in(text, [*lex.HIRING_PHRASES, *lex.ENGINEERING_PHRASES])
+    return lowered.withColumn("score", clamp(raw, 0.0, 95.0)).drop("_head", "_text", "_down", "_extra")

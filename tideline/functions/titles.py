@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions import lexicons as lex
@@ -46,9 +46,8 @@ def seniority(title: Column) -> Column:
     return chain.otherwise(F.lit("mid"))
 
 
-def tech_stack(text: Column, whole_word: bool = False) -> Column:
-    """Struct of the three vocabularies' members found in ``text``."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
+def stack_in(lowered: Column, whole_word: bool = False) -> Column:
+    """P6 on text that is already lower-cased."""
     return F.struct(
         found_in(lowered, lex.LANGUAGES, whole_word).alias("languages"),
         found_in(lowered, lex.FRAMEWORKS, whole_word).alias("frameworks"),
@@ -56,6 +55,17 @@ def tech_stack(text: Column, whole_word: bool = False) -> Column:
     )
 
 
+def tech_stack(text: Column, whole_word: bool = False) -> Column:
+    """Struct of the three vocabularies' members found in ``text``. For long texts
+    use `with_tech_stack`, which lower-cases once and not once per word."""
+    return stack_in(F.lower(F.coalesce(text, F.lit(""))), whole_word)
+
+
+def with_tech_stack(df: DataFrame, text: Column, name: str = "tech_stack", whole_word: bool = False) -> DataFrame:
+    lowered = df.withColumn("_low", F.lower(F.coalesce(text, F.lit(""))))
+    return lowered.withColumn(name, stack_in(F.col("_low"), whole_word)).drop("_low")
+
+
 def is_target(title: Column) -> Column:
     return contains_any(F.lower(F.coalesce(title, F.lit(""))), lex.TARGET_TITLE_WORDS)
 

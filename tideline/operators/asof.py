@@ -172,19 +172,15 @@ class Grid:
     def date_of(self, position: Column) -> Column:
         return F.date_add(F.lit(self.start), position * F.lit(self.step))
 
-    def steps(self, first: Column, last: Column | None, name: str) -> list[Column]:
-        """The two steps of a row that counts on the dates first..last (no end: open).
-        An empty or off-grid interval cancels out or falls off the grid."""
-        up = F.struct(self.at_or_after(first).alias("pos"), F.lit(name).alias("measure"), F.lit(1).alias("step"))
-        if last is None:
-            return [up]
+    def steps(self, first: Column, last: Column, name: str | Column) -> list[Column]:
+        """The two steps of a row that counts on the dates first..last. An empty or
+        off-grid interval cancels out or falls off the grid."""
+        measure = F.lit(name) if isinstance(name, str) else name
         past = F.greatest(F.date_add(last, 1), first)
-        down = F.struct(
-            F.coalesce(self.at_or_after(past), F.lit(self.size)).alias("pos"),
-            F.lit(name).alias("measure"),
-            F.lit(-1).alias("step"),
-        )
-        return [up, down]
+        return [
+            F.struct(self.at_or_after(first).alias("pos"), measure.alias("measure"), F.lit(1).alias("step")),
+            F.struct(self.at_or_after(past).alias("pos"), measure.alias("measure"), F.lit(-1).alias("step")),
+        ]
 
     def positions(self, first: Column, last: Column) -> Column:
         """Array of the positions whose dates lie in first..last."""
@@ -198,76 +194,101 @@ class Grid:
         return companies.select("company_id", spread.alias("pos"))
 
 
-def role_steps(roles: DataFrame, grid: Grid, measures: tuple[str, ...] = ROLE_MEASURES) -> DataFrame:
-    """Steps of every role on the grid: (company_id, pos, measure, step, role_type, source)."""
+ROLE_GRID_NAMES = {
+    "active": "active_roles_total",
+    "active_remote": "active_remote_roles_total",
+    "new_7d": "new_roles_7d",
+    "new_30d": "new_roles_30d",
+    "removed_30d": "removed_roles_30d",
+    "next_30d": "label_new_roles_next_30d",
+    "next_60d": "label_new_roles_next_60d",
+}
+
+
+def role_steps(roles: DataFrame, grid: Grid, measures: tuple[str, ...] = ROLE_MEASURES, by_kind: bool = False) -> DataFrame:
+    """Steps of every role on the grid: (company_id, pos, measure, step). ``by_kind``
+    adds the active count per role type and per source as measures."""
     seen_day = F.to_date("first_seen_at")
     gone_day = F.to_date("removed_at")
     seen_tail = closes_day(F.col("first_seen_at"))
     gone_tail = closes_day(F.col("removed_at"))
+    ends = gone_day.isNotNull()
     # A role removed before it was first seen is never active.
     last_active = F.date_sub(F.greatest(seen_day, gone_day), 1)
     steps: list[Column] = []
 
-    def add(name: str, first: Column, last: Column | None, condition: Column | None = None) -> None:
-        if name in measures:
-            for s in grid.steps(first, last, name):
-                steps.append(s if condition is None else F.when(condition, s))
-
-    ends = gone_day.isNotNull()
-    if "active" in measures:
-        up, down = grid.steps(seen_day, last_active, "active")
-        steps += [up, F.when(ends, down)]
-    if "active_remote" in measures:
-        up, down = grid.steps(seen_day, last_active, "active_remote")
-        steps += [F.when(F.col("is_remote_us"), up), F.when(F.col("is_remote_us") & ends, down)]
-    add("new_7d", seen_day, F.date_add(seen_day, 5 + seen_tail))
-    add("new_30d", seen_day, F.date_add(seen_day, 28 + seen_tail))
-    add("removed_30d", F.greatest(seen_day, gone_day), F.date_add(gone_day, 28 + gone_tail), ends)
-    add("next_30d", F.date_sub(seen_day, 30), F.date_sub(seen_day, 1))
-    add("next_60d", F.date_sub(seen_day, 60), F.date_sub(seen_day, 1))
-    # Steps that cancel each other on the same position are dropped by the sum.
+    def add(name: str | Column, first: Column, last: Column, condition: Column | None = None) -> None:
+        for s in grid.steps(first, last, name):
+            steps.append(s if condition is None else F.when(condition, s))
+
+    def add_active(name: str | Column, condition: Column | None = None) -> None:
+        up, down = grid.steps(seen_day, last_active, name)
+        steps.append(up if condition is None else F.when(condition, up))
+        steps.append(F.when(ends if condition is None else ends & condition, down))
+
+    spans = {
+        "new_7d": (seen_day, F.date_add(seen_day, 5 + seen_tail), None),
+        "new_30d": (seen_day, F.date_add(seen_day, 28 + seen_tail), None),
+        "removed_30d": (F.greatest(seen_day, gone_day), F.date_add(gone_day, 28 + gone_tail), ends),
+        "next_30d": (F.date_sub(seen_day, 30), F.date_sub(seen_day, 1), None),
+        "next_60d": (F.date_sub(seen_day, 60), F.date_sub(seen_day, 1), None),
+    }
+    for name in measures:
+        if name == "active":
+            add_active(name)
+        elif name == "active_remote":
+            add_active(name, F.col("is_remote_us"))
+        else:
+            add(name, *spans[name])
+    if by_kind:
+        add_active(F.concat(F.lit("role_type__"), "role_type"), F.col("role_type").isNotNull())
+        add_active(F.concat(F.lit("role_source__"), "source"), F.col("source").isNotNull())
+    # Steps past the end of the grid are never seen by the running sums.
+    return roles.select("company_id", F.inline(F.array_compact(F.array(*steps)))).where(F.col("pos") < grid.size)
+
+
+def signal_steps(signals: DataFrame, grid: Grid) -> DataFrame:
+    """Steps of every signal: the 30-day total and the count of its type."""
+    first = F.to_date("signal_date")
+    last = F.date_add(first, 28 + closes_day(F.col("signal_date")))
+    steps = grid.steps(first, last, "signals_30d_total")
+    steps += [F.when(F.col("type").isNotNull(), s) for s in grid.steps(first, last, F.concat(F.lit("signal_count__"), "type"))]
+    return signals.select("company_id", F.inline(F.array_compact(F.array(*steps)))).where(F.col("pos") < grid.size)
+
+
+def _summed(steps: DataFrame) -> DataFrame:
+    """Steps summed per company, position and measure: narrow rows with map-side
+    combine, so this shuffle carries at most grid x measures rows per company and task."""
+    return steps.groupBy("company_id", "pos", "measure").agg(F.sum("step").alias("n"))
+
+
+def _run_up(parts: DataFrame, columns: dict[str, str], more: list[Column] = ()) -> DataFrame:
+    """Long parts to one wide row per company and grid date. Rows are partitioned by
+    company once, for the pivot and for the running sums over the grid."""
+    sums = [F.sum(F.when(F.col("measure") == m, F.col("n"))).alias(m) for m in columns]
     return (
-        roles.select("company_id", "role_type", "source", F.inline(F.array_compact(F.array(*steps))))
-        .where(F.col("pos") < grid.size)
+        parts.repartition("company_id")
+        .groupBy("company_id", "pos")
+        .agg(*sums, F.max("on_grid").alias("on_grid"), *more)
+        .where("on_grid")
     )
 
 
-ROLE_GRID_NAMES = {
-    "active": "active_roles_total",
-    "active_remote": "active_remote_roles_total",
-    "new_7d": "new_roles_7d",
-    "new_30d": "new_roles_30d",
-    "removed_30d": "removed_roles_30d",
-    "next_30d": "label_new_roles_next_30d",
-    "next_60d": "label_new_roles_next_60d",
-}
+def _so_far():
+    return Window.partitionBy("company_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def role_grid(
     companies: DataFrame, roles: DataFrame, grid: Grid, measures: tuple[str, ...] = ROLE_MEASURES
 ) -> DataFrame:
     """The role rollup of every company on every date of the grid."""
-    sums = [F.sum(F.when(F.col("measure") == m, F.col("step"))).alias(m) for m in measures]
-    steps = role_steps(roles, grid, measures).select("company_id", "pos", "measure", "step")
-    return _running(companies, grid, steps, sums, {m: ROLE_GRID_NAMES[m] for m in measures})
-
-
-def _running(
-    companies: DataFrame, grid: Grid, steps: DataFrame, sums: list[Column], names: dict[str, str],
-) -> DataFrame:
-    """Sum steps per company and position together with the dense grid in one
-    shuffle, then run up the grid."""
-    per_position = (
-        steps.unionByName(grid.dense(companies).withColumn("on_grid", F.lit(True)), allowMissingColumns=True)
-        .groupBy("company_id", "pos")
-        .agg(*sums, F.max("on_grid").alias("on_grid"))
-        .where("on_grid")
-    )
-    so_far = Window.partitionBy("company_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return per_position.select(
+    names = {m: ROLE_GRID_NAMES[m] for m in measures}
+    dense = grid.dense(companies).withColumn("on_grid", F.lit(True))
+    parts = _summed(role_steps(roles, grid, measures)).unionByName(dense, allowMissingColumns=True)
+    return _run_up(parts, names).select(
         "company_id",
         grid.date_of(F.col("pos")).alias("as_of_date"),
-        *[F.coalesce(F.sum(k).over(so_far), F.lit(0)).alias(name) for k, name in names.items()],
+        *[F.coalesce(F.sum(k).over(_so_far()), F.lit(0)).alias(name) for k, name in names.items()],
     )
 
 
@@ -275,79 +296,55 @@ def feature_grid(
     companies: DataFrame, roles: DataFrame, signals: DataFrame, funding: DataFrame, grid: Grid
 ) -> DataFrame:
     """ML1 over a grid: role, signal and funding features and the labels of every
-    company on every date. Role counts are running sums of steps; signal and
-    funding features are sums and maxima over the dates a row's window covers,
-    taken after one pre-aggregation per company and day. One shuffle for the
-    union of all contributions, one for the run over the grid."""
-    measure, step = F.col("measure"), F.col("step")
-    role_parts = role_steps(roles, grid).select(
-        "company_id",
-        "pos",
-        *[F.when(measure == m, step).alias(m) for m in ROLE_MEASURES],
-        *[F.when((measure == "active") & (F.col("role_type") == k), step).alias(f"role_type__{k}") for k in lex.ROLE_TYPES],
-        *[F.when((measure == "active") & (F.col("source") == k), step).alias(f"role_source__{k}") for k in lex.SIGNAL_TYPES],
-    )
+    company on every date.
 
-    # One row per company, day, tail and type: bounded by the calendar.
-    signal_days = (
-        signals.groupBy(
-            "company_id", "type", F.to_date("signal_date").alias("d"), closes_day(F.col("signal_date")).alias("tail")
-        )
-        .agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce("score", F.lit(0.0))).alias("best"))
-    )
-    signal_parts = signal_days.select(
-        "company_id",
-        F.explode(grid.positions(F.col("d"), F.date_add("d", 28 + F.col("tail")))).alias("pos"),
-        F.col("n").alias("signals_30d_total"),
-        F.col("best").alias("max_signal_score_30d"),
-        *[F.when(F.col("type") == k, F.col("n")).alias(f"signal_count__{k}") for k in lex.SIGNAL_TYPES],
-    )
+    Counts are running sums of steps. A maximum or a sum of amounts cannot be
+    taken back by a step; those are first reduced per company and day and then
+    given to the positions that the window of the day covers."""
+    steps = role_steps(roles, grid, by_kind=True).unionByName(signal_steps(signals, grid))
+
+    best_days = signals.groupBy(
+        "company_id", F.to_date("signal_date").alias("d"), closes_day(F.col("signal_date")).alias("tail")
+    ).agg(F.max(F.coalesce("score", F.lit(0.0))).alias("best"))
+    best = best_days.select("company_id", F.explode(grid.positions(F.col("d"), F.date_add("d", 28 + F.col("tail")))).alias("pos"), "best")
 
     latest = F.struct(
         F.col("announced_at"), F.coalesce("amount_usd", F.lit(-1.0)).alias("k"), F.col("amount_usd"), F.col("round_type")
     )
     funding_days = funding.groupBy("company_id", F.to_date("announced_at").alias("d")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.coalesce("amount_usd", F.lit(0.0))).alias("amount"),
+        F.count(F.lit(1)).alias("funding_n"),
+        F.sum(F.coalesce("amount_usd", F.lit(0.0))).alias("funding_amount"),
         F.max(latest).alias("latest"),
     )
-    funding_parts = funding_days.select(
-        "company_id",
-        F.explode(grid.positions(F.col("d"), F.date_add("d", 365))).alias("pos"),
-        F.col("n").alias("funding_events_12m"),
-        F.col("amount").alias("funding_amount_12m"),
+    trailing = funding_days.select(
+        "company_id", F.explode(grid.positions(F.col("d"), F.date_add("d", 365))).alias("pos"), "funding_n", "funding_amount"
     )
-    latest_parts = funding_days.select(
-        "company_id", grid.at_or_after(F.col("d")).alias("pos"), "latest"
-    ).where(F.col("pos") < grid.size)
+    rounds = funding_days.select("company_id", grid.at_or_after(F.col("d")).alias("pos"), "latest").where(F.col("pos") < grid.size)
 
-    parts = grid.dense(companies).withColumn("on_grid", F.lit(True))
-    for other in (role_parts, signal_parts, funding_parts, latest_parts):
+    parts = _summed(steps)
+    for other in (grid.dense(companies).withColumn("on_grid", F.lit(True)), best, trailing, rounds):
         parts = parts.unionByName(other, allowMissingColumns=True)
-
-    run_up = [*ROLE_MEASURES] + [f"role_type__{k}" for k in lex.ROLE_TYPES] + [f"role_source__{k}" for k in lex.SIGNAL_TYPES]
-    plain_sums = ["signals_30d_total", "funding_events_12m"] + [f"signal_count__{k}" for k in lex.SIGNAL_TYPES]
-    per_position = (
-        parts.groupBy("company_id", "pos")
-        .agg(
-            *[F.sum(c).alias(c) for c in run_up + plain_sums],
-            F.sum("funding_amount_12m").alias("funding_amount_12m"),
-            F.max("max_signal_score_30d").alias("max_signal_score_30d"),
-            F.max("latest").alias("latest"),
-            F.max("on_grid").alias("on_grid"),
-        )
-        .where("on_grid")
-    )
-    so_far = Window.partitionBy("company_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    zero = F.lit(0)
-    rolled = per_position.select(
+    counts = {
+        **ROLE_GRID_NAMES,
+        **{c: c for c in ("signals_30d_total",)},
+        **{f"role_type__{k}": f"role_type__{k}" for k in lex.ROLE_TYPES},
+        **{f"role_source__{k}": f"role_source__{k}" for k in lex.SIGNAL_TYPES},
+        **{f"signal_count__{k}": f"signal_count__{k}" for k in lex.SIGNAL_TYPES},
+    }
+    more = [
+        F.max("best").alias("best"),
+        F.sum("funding_n").alias("funding_n"),
+        F.sum("funding_amount").alias("funding_amount"),
+        F.max("latest").alias("latest"),
+    ]
+    rolled = _run_up(parts, counts, more).select(
         "company_id",
         grid.date_of(F.col("pos")).alias("as_of_date"),
-        *[F.coalesce(F.sum(c).over(so_far), zero).alias(ROLE_GRID_NAMES.get(c, c)) for c in run_up],
-        *[F.coalesce(F.col(c), zero).alias(c) for c in plain_sums],
-        F.coalesce("funding_amount_12m", F.lit(0.0)).alias("funding_amount_12m"),
-        F.coalesce("max_signal_score_30d", F.lit(0.0)).alias("max_signal_score_30d"),
-        F.max("latest").over(so_far).alias("latest"),
+        *[F.coalesce(F.sum(k).over(_so_far()), F.lit(0)).alias(name) for k, name in counts.items()],
+        F.coalesce("best", F.lit(0.0)).alias("max_signal_score_30d"),
+        F.coalesce("funding_n", F.lit(0)).alias("funding_events_12m"),
+        F.coalesce("funding_amount", F.lit(0.0)).alias("funding_amount_12m"),
+        F.max("latest").over(_so_far()).alias("latest"),
     )
     return rolled.select(
         "*",

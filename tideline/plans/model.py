@@ -112,9 +112,8 @@ def predict(artifact: Artifact, features: DataFrame, key: tuple[str, ...] = ("co
         values: dict[int, list[float]] = {}
         for r in artifact.leaves.orderBy("tree", "leaf").collect():
             values.setdefault(r["tree"], []).append(r["value"])
-        # One value of checked size, evaluated once and shipped with the plan.
-        table = artifact.leaves.sparkSession.createDataFrame([([values[t] for t in sorted(values)],)], "leaf_values array<array<double>>")
-        leaf_values = table.scalar()
+        # A constant of checked size: folded once, shared by all rows of a task.
+        leaf_values = F.from_json(F.lit(json.dumps([values[t] for t in sorted(values)])), "array<array<double>>")
         rows = rows.withColumn(
             "per_tree", F.transform("leaf_ids", lambda leaf, tree: F.get(F.get(leaf_values, tree), leaf.cast("int")))
         )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -39,6 +42,14 @@ def can_checkpoint(spark: SparkSession) -> bool:
     return False
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all executors can reach: under the cluster's checkpoint
+    folder; only where none is set (tests, notebooks) a local one."""
+    if can_checkpoint(spark):
+        return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix=f"{name}-")
+
+
 def cut_lineage(df):
     """Checkpoint ``df`` to the shared folder of the cluster. Without one (unit
     tests, notebooks) the plan is left as it is, which costs time, not results."""

@@ -28,14 +28,12 @@ def text_or_blank(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def role_columns(title: Column, description: Column) -> dict[str, Column]:
-    stack = titles.tech_stack(description)
-    return {
-        "role_type": titles.role_type(title),
-        "seniority": titles.seniority(title),
-        "tech_stack": stack,
-        "required_skills": stack["languages"],
-    }
+def with_role_columns(df: DataFrame, title: Column, description: Column) -> DataFrame:
+    """Role type, seniority, stack and skills of a posting."""
+    out = titles.with_tech_stack(df, description)
+    return out.withColumns(
+        {"role_type": titles.role_type(title), "seniority": titles.seniority(title), "required_skills": F.col("tech_stack.languages")}
+    )
 
 
 def headline_of(title: Column, location: Column) -> Column:
@@ -84,8 +82,8 @@ def greenhouse(landed: DataFrame, as_of: str) -> Staged:
         .where(titles.is_target(F.col("title")))
     )
     remote, remote_us = titles.remote_flags("greenhouse", F.col("location"))
-    roles = jobs.withColumns(
-        {**role_columns(F.col("title"), F.col("description_raw")), "is_remote": remote, "is_remote_us": remote_us, "source": F.lit("ats_greenhouse")}
+    roles = with_role_columns(jobs, F.col("title"), F.col("description_raw")).withColumns(
+        {"is_remote": remote, "is_remote_us": remote_us, "source": F.lit("ats_greenhouse")}
     )
     signals = roles.select(
         "company_name", F.lit("ats_greenhouse").alias("type"), headline_of(F.col("title"), F.col("location")).alias("headline"),
@@ -126,10 +124,10 @@ def ashby(landed: DataFrame, as_of: str) -> Staged:
     )
     remote, remote_us = titles.remote_flags("ashby", F.col("location"), F.col("declared"))
     # The stored description is cut at the column size; the stack is read from the whole text.
-    roles = jobs.withColumns(
+    roles = with_role_columns(jobs, F.col("title"), F.col("full_text")).withColumns(
         {
-            **role_columns(F.col("title"), F.col("full_text")), "is_remote": remote, "is_remote_us": remote_us,
-            "source": F.lit("ats_ashby"), "description_raw": F.substring("full_text", 1, 5000),
+            "is_remote": remote, "is_remote_us": remote_us, "source": F.lit("ats_ashby"),
+            "description_raw": F.substring("full_text", 1, 5000),
         }
     )
     now = instant(as_of)
@@ -221,8 +219,7 @@ def portfolio(landed: DataFrame, as_of: str) -> Staged:
             "description": summary,
         }
     )
-    stack = titles.tech_stack(F.concat_ws(" ", F.col("title"), F.col("description"), F.array_join("skills", " ")))
-    jobs = jobs.withColumn("tech_stack", stack)
+    jobs = titles.with_tech_stack(jobs, F.concat_ws(" ", F.col("title"), F.col("description"), F.array_join("skills", " ")))
     companies = jobs.select(
         F.col("company_name").alias("name"), F.col("board_url").alias("career_page_url"), "funding_stage",
         F.col("remote").alias("remote_friendly"), F.col("remote").alias("remote_us"), "tech_stack", "seq",
@@ -277,8 +274,7 @@ def listing(landed: DataFrame, as_of: str) -> Staged:
         .where("listing_slug <> '' AND company_name <> ''")
     )
     remote, remote_us = titles.remote_flags("listing", F.col("location"))
-    stack = titles.tech_stack(F.col("one_liner"))
-    roles = jobs.withColumns(
+    roles = titles.with_tech_stack(jobs, F.col("one_liner")).withColumns(
         {
             "url": F.when(F.col("external_id") != "", F.concat(F.lit("https://www.workatastartup.com/jobs/"), "external_id")).otherwise(""),
             "role_type": titles.listing_role_type(F.col("title"), F.col("listed_type")),
@@ -287,8 +283,7 @@ def listing(landed: DataFrame, as_of: str) -> Staged:
             "is_remote_us": remote_us,
             "source": F.lit("yc_jobs"),
             "description_raw": F.col("one_liner"),
-            "tech_stack": stack,
-            "required_skills": stack["languages"],
+            "required_skills": F.col("tech_stack.languages"),
         }
     )
     companies = (
@@ -303,11 +298,11 @@ def listing(landed: DataFrame, as_of: str) -> Staged:
         .withColumns(
             {
                 "career_page_url": F.concat(F.lit("https://www.workatastartup.com/companies/"), "listing_slug"),
-                "tech_stack": titles.tech_stack(F.col("description")),
                 "hq_country": F.lit("United States"),
             }
         )
     )
+    companies = titles.with_tech_stack(companies, F.col("description"))
     signals = roles.select(
         "company_name", F.lit("yc_jobs").alias("type"), headline_of(F.col("title"), F.col("location")).alias("headline"),
         F.concat(F.lit("Accelerator listing · "), F.col("role_type"), F.lit(" role")).alias("detail"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.clock import epoch_instant, instant, parse_instant, shift
-from tideline.functions.scores import entry_hits, entry_score
+from tideline.functions.scores import with_entry_scores
 from tideline.functions.text import nonblank, site_origin, squeeze, tidy
 from tideline.operators.mentions import match_mentions
 from tideline.operators.ranking import first_wins
@@ -119,12 +119,7 @@ ENTRY_COLUMNS = (
 def social_signals(entries: DataFrame, source: str = "social") -> Staged:
     """Scored entries (columns `ENTRY_COLUMNS`) to staging frames: score gate per feed,
     then the first entry of every link (P20, W4)."""
-    scored = entries.withColumns(
-        {
-            "score": entry_score(F.col("title"), F.col("summary"), F.col("kind"), F.col("actor_role")),
-            "hits": entry_hits(F.col("title"), F.col("summary")),
-        }
-    )
+    scored = with_entry_scores(entries, F.col("title"), F.col("summary"), F.col("kind"), F.col("actor_role"))
     kept = first_wins(scored.where(F.col("score") >= F.col("min_score")), ["link"], ["seq"])
     actor = F.coalesce(nonblank(F.col("actor_name")), nonblank(F.col("author")))
     founder = (F.col("kind") == "founder_post") & (F.coalesce("actor_role", F.lit("")) != "")
