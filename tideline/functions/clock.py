@@ -52,8 +52,9 @@ def closes_day(ts: Column) -> Column:
 
 
 def linear_decay(age: Column, horizon: float) -> Column:
-    """1 at age 0, 0 from ``horizon`` on; above 1 for future instants (Q3)."""
-    return F.greatest(F.lit(0.0), 1.0 - age / F.lit(float(horizon)))
+    """1 at age 0, 0 from ``horizon`` on; above 1 for future instants (Q3); null
+    without an age (``greatest`` alone would skip the null)."""
+    return F.when(age.isNotNull(), F.greatest(F.lit(0.0), 1.0 - age / F.lit(float(horizon))))
 
 
 # Formats other than ISO 8601 that `parse_instant` accepts, in this order (H5).
