@@ -190,10 +190,9 @@ def test_funding_headlines(spark):
         "Why Zeta captured $10 million": ("Zeta", 10e6, "unknown"),
         "Nothing here": None,
     }
-    rows = spark.createDataFrame([(k,) for k in cases], ["t"]).select("t", fund.parse_headline(F.col("t"), F.lit("")).alias("d"))
-    for r in rows.collect():
-        got = (r.d.company_name, r.d.amount_usd, r.d.round_type) if r.d else None
-        assert got == cases[r.t], r.t
+    rows = fund.with_deal(spark.createDataFrame([(k,) for k in cases], ["t"]), F.col("t"), F.lit(""))
+    got = {r.t: (r.company_name, r.amount_usd, r.round_type) for r in rows.collect()}
+    assert got == {k: v for k, v in cases.items() if v}
 
 
 def test_funding_pages(spark):

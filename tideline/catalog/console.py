@@ -19,6 +19,19 @@ TYPE_LABELS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lex.SIGNAL_TYPE_LABE
 STAGE_LABEL = """CASE funding_stage WHEN 'seed' THEN 'Seed' WHEN 'series_a' THEN 'Series A' WHEN 'series_b' THEN 'Series B'
   WHEN 'series_c' THEN 'Series C' ELSE 'Unverified' END"""
 WEIGHT = "CASE type WHEN 'founder_post' THEN 30 WHEN 'career_page' THEN 24 WHEN 'funding' THEN 18 WHEN 'github_spike' THEN 10 ELSE 6 END"
+# Families in a company's text, when it has no role.
+TEXT = "lower(concat_ws(' ', tagline, tagline || ' team', stack_language, stack_framework, stack_infra))"
+
+
+def _in_text(words) -> str:
+    return "(" + " OR ".join(f"contains({TEXT}, '{w}')" for w in words) + ")"
+
+
+TEXT_FOCUS = "CASE " + " ".join(f"WHEN {_in_text(words)} THEN '{name}'" for name, words in lex.FAMILY_WORDS) + " ELSE 'backend' END"
+TEXT_FITS = (
+    "(" + " + ".join(f"CASE WHEN {_in_text(words)} THEN 1 ELSE 0 END" for name, words in lex.FAMILY_WORDS if name in PROFILE.preferred_roles)
+    + " + CASE WHEN " + " OR ".join(_in_text(words) for _, words in lex.FAMILY_WORDS) + " THEN 0 ELSE 1 END)"
+)
 PERCENT = f"""CASE WHEN signal_date > {NOW} - INTERVAL 6 HOURS THEN 145 WHEN signal_date > {NOW} - INTERVAL 24 HOURS THEN 120
   WHEN signal_date > {NOW} - INTERVAL 72 HOURS THEN 100 ELSE 65 END"""
 
@@ -40,7 +53,7 @@ SCORE_SQL = f"""WITH seen AS (SELECT *, {WEIGHT} * {PERCENT} AS hundredths FROM
         CASE WHEN urgency_score >= 75 THEN 'critical' WHEN urgency_score >= 50 THEN 'high' WHEN urgency_score >= 25 THEN 'medium' ELSE 'low' END AS urgency,
         coalesce(hundredths, 0) AS hundredths, coalesce(n_signals, 0) AS n_signals, coalesce(founder, false) AS founder, latest_signal,
         coalesce(points, 0) AS points, coalesce(n_roles, 0) AS n_roles, coalesce(fresh, 0) AS fresh, coalesce(n_skills, 0) AS n_skills,
-        CASE WHEN r.company_id IS NOT NULL THEN fits WHEN stack_framework = 'react' THEN 0 WHEN stack_infra = 'kubernetes' THEN 1 ELSE 1 END AS fits,
+        CASE WHEN r.company_id IS NOT NULL THEN fits ELSE {TEXT_FITS} END AS fits,
         top_title, top_type, top_days, fresh_type
       FROM companies c LEFT JOIN s USING (company_id) LEFT JOIN r USING (company_id) LEFT JOIN k USING (company_id)),
     parts AS (SELECT *, least(hundredths / 100.0, 100.0) AS signal_strength, least(points + n_roles * 4, 100) AS hiring_velocity,
@@ -153,7 +166,7 @@ OPPS_SQL = (
     SCORE_SQL
     + ", "
     + CLUES_SQL
-    + """, x AS (SELECT company_id, arg_max(status, (occurred_at, event_id)) AS execution_status FROM execution_events GROUP BY company_id),
+    + f""", x AS (SELECT company_id, arg_max(status, (occurred_at, event_id)) AS execution_status FROM execution_events GROUP BY company_id),
     tags AS (SELECT company_id, string_agg(clue, ',' ORDER BY rank) AS stack_tags, list(lower(clue)) AS tag_list FROM clues WHERE rank <= 4 GROUP BY company_id),
     o1 AS (SELECT s.*, stack_tags, tag_list, execution_status,
         CASE WHEN founder THEN 'reach_out' WHEN top_days <= 2 THEN 'apply_now' WHEN n_roles = 0 THEN 'early_signal'
@@ -164,7 +177,7 @@ OPPS_SQL = (
           WHEN 'follow_up' THEN 'send_follow_up' WHEN 'interview' THEN 'prepare_interview' WHEN 'offer' THEN 'review_offer' WHEN 'closed' THEN 'closed'
           ELSE CASE WHEN founder THEN 'reach_out_leadership' WHEN top_title IS NOT NULL THEN CASE WHEN top_days <= 2 THEN 'apply_fresh_role' ELSE 'apply_active_role' END
             ELSE 'company_' || action_state END END AS next_action,
-        CASE WHEN top_title IS NULL THEN CASE WHEN stack_framework = 'react' THEN 'frontend' WHEN stack_infra = 'kubernetes' THEN 'infra' ELSE 'backend' END
+        CASE WHEN top_title IS NULL THEN {TEXT_FOCUS}
           WHEN top_type = 'unknown' THEN 'backend' ELSE top_type END AS role_focus FROM o1)"""
 )
 

@@ -228,10 +228,10 @@ def funding_headlines(t: Tables):
     rows = t.spark.sql(
         "SELECT l_orderkey, l_linenumber, " + HEADLINE.format(text="STRING") + " AS title FROM {lineitem} JOIN {part} ON l_partkey = p_partkey", lineitem=t.lineitem, part=t.part
     )
-    deal = rows.withColumn("deal", fund.parse_headline(F.col("title"), F.lit(""))).where("deal IS NOT NULL")
-    amount, kind = F.col("deal.amount_usd"), F.col("deal.round_type")
-    return deal.select(
-        "l_orderkey", "l_linenumber", F.col("deal.company_name").alias("company_name"), amount.alias("amount_usd"), kind.alias("round_type"),
+    deals = fund.with_deal(rows, F.col("title"), F.lit(""))
+    amount, kind = F.col("amount_usd"), F.col("round_type")
+    return deals.select(
+        "l_orderkey", "l_linenumber", "company_name", "amount_usd", "round_type",
         fund.event_score(amount, kind, F.col("title")).alias("score"), fund.headline(amount, kind).alias("headline"),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions import lexicons as lex
@@ -53,29 +53,36 @@ def round_in(text: Column, default: Column) -> Column:
     return F.coalesce(F.nullif(F.lower(F.regexp_extract(text, ROUND, 1)), F.lit("")), default)
 
 
-def parse_headline(title: Column, description: Column) -> Column:
-    """struct(company_name, amount_usd, round_type), null unless amount,
-    size gate and company name all fit."""
-    head = tidy(title)
-    full = F.concat_ws(" ", head, tidy(description))
-    amount = amount_in(full)
+def subject_of(head: Column) -> Column:
+    """Company name in a tidied headline: what stands before the deal verb, or before
+    an aside that holds it; '' without one."""
     subject = without_editorial(head)
-    name = clean_company(
+    return clean_company(
         F.coalesce(
             F.nullif(F.regexp_extract(subject, SUBJECT_THEN_VERB, 1), F.lit("")),
             F.nullif(F.regexp_extract(subject, SUBJECT_ASIDE_VERB, 1), F.lit("")),
             F.lit(""),
         )
     )
-    fits = amount.between(MIN_DEAL, MAX_DEAL) & F.length(name).between(2, 80)
-    return F.when(
-        fits,
-        F.struct(
-            name.alias("company_name"),
-            amount.alias("amount_usd"),
-            round_in(full, F.lit("unknown")).alias("round_type"),
-        ),
-    )
+
+
+def with_deal(df: DataFrame, title: Column, description: Column) -> DataFrame:
+    """The rows whose headline tells of a deal, with ``company_name``,
+    ``amount_usd`` and ``round_type``: amount, size gate and company name all fit.
+
+    Cheap tests come first: rows without a dollar sign never meet a pattern, and
+    names are only looked for where the amount fits. The two gates are 0-or-1-row
+    generators: a filter would be pushed below the columns it tests, and every text
+    clean-up would run again for each use."""
+    given = F.coalesce(description, F.lit(""))
+    rows = df.where(F.coalesce(title, F.lit("")).contains("$") | given.contains("$"))
+    rows = rows.withColumn("_head", tidy(title)).withColumn("_full", F.concat_ws(" ", "_head", tidy(given)))
+    rows = rows.withColumn("_amount", amount_in(F.col("_full")))
+    sized = F.when(F.col("_amount").between(MIN_DEAL, MAX_DEAL), F.array(F.struct(F.col("_amount").alias("amount_usd"))))
+    rows = rows.select("*", F.inline(sized)).withColumn("_name", subject_of(F.col("_head")))
+    named = F.when(F.length("_name").between(2, 80), F.array(F.struct(F.col("_name").alias("company_name"))))
+    rows = rows.select("*", F.inline(named)).withColumn("round_type", round_in(F.col("_full"), F.lit("unknown")))
+    return rows.drop("_head", "_full", "_amount", "_name")
 
 
 def labelled_block(text: Column, label: str, stops: tuple[str, ...]) -> Column:

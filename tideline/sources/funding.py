@@ -128,10 +128,10 @@ def _events(df: DataFrame) -> DataFrame:
 def headline_events(titles: DataFrame, min_score: float | None = None) -> DataFrame:
     """P14, P16 on rows (title, description, context, announced_at, source_url,
     detail, seq): the events whose headline parses, gated by score."""
-    parsed = titles.withColumn("deal", fund.parse_headline(F.col("title"), F.col("description"))).where("deal IS NOT NULL")
+    parsed = fund.with_deal(titles, F.col("title"), F.col("description"))
     scored = parsed.select(
-        F.col("deal.company_name").alias("company_name"), F.col("deal.amount_usd").alias("amount_usd"), F.col("deal.round_type").alias("round_type"),
-        "announced_at", "source_url", "detail", fund.event_score(F.col("deal.amount_usd"), F.col("deal.round_type"), F.col("context")).alias("score"), "seq",
+        "company_name", "amount_usd", "round_type", "announced_at", "source_url", "detail",
+        fund.event_score(F.col("amount_usd"), F.col("round_type"), F.col("context")).alias("score"), "seq",
     )
     if min_score is not None:
         scored = scored.where(F.col("score") >= min_score)
@@ -218,18 +218,17 @@ def roundup_pages(pages: DataFrame, as_of: str) -> DataFrame:
     heads = page_elements(pages, tags=("h2", "h3")).join(pages.select("page_id", "url"), "page_id")
     title = tidy(F.col("text"))
     heads = heads.withColumn("title", title).where(contains_any(F.lower("title"), lex.FUNDING_ROUNDUP_WORDS))
-    parsed = heads.withColumn("deal", fund.parse_headline(F.col("title"), F.lit(""))).where("deal IS NOT NULL")
+    parsed = fund.with_deal(heads, F.col("title"), F.lit(""))
     block = F.coalesce("block", F.lit(""))
     named = F.nullif(F.regexp_extract(block, r"Recipient Company:\s*([^\n(]+)", 1), F.lit(""))
     details = fund.labelled_block(block, "Details:", ("Reference:", "When:", "Recipient Company:"))
     return _events(
         parsed.select(
-            F.coalesce(fund.clean_company(named), F.col("deal.company_name")).alias("company_name"),
-            F.col("deal.amount_usd").alias("amount_usd"), F.col("deal.round_type").alias("round_type"),
+            F.coalesce(F.nullif(fund.clean_company(named), F.lit("")), F.col("company_name")).alias("company_name"), "amount_usd", "round_type",
             F.coalesce(parse_instant(F.regexp_extract(block, r"When:\s*([A-Za-z]+\s+\d{1,2},\s+\d{4})", 1)), instant(as_of)).alias("announced_at"),
             F.col("url").alias("source_url"),
             F.concat(F.lit("Source: funding roundup. "), F.coalesce(nonblank(details), F.col("title"))).alias("detail"),
-            fund.event_score(F.col("deal.amount_usd"), F.col("deal.round_type"), F.concat_ws(" ", "title", block)).alias("score"),
+            fund.event_score(F.col("amount_usd"), F.col("round_type"), F.concat_ws(" ", "title", block)).alias("score"),
             _page_seq().alias("seq"),
         )
     )
@@ -245,7 +244,7 @@ def headline_pages(pages: DataFrame, as_of: str) -> DataFrame:
         (F.length("title") >= 20) & contains_any(F.lower("title"), lex.FUNDING_ANCHOR_WORDS)
     )
     # Only titles that parse take part in the first-wins rule.
-    parsing = links.where(fund.parse_headline(F.col("title"), F.lit("")).isNotNull())
+    parsing = fund.with_deal(links, F.col("title"), F.lit("")).drop("company_name", "amount_usd", "round_type")
     once = first_wins(parsing, ["page_id", F.lower("title")], ["seq"])
     around = tidy(F.col("parent_text"))
     rows = once.select(
