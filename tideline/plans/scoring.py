@@ -11,7 +11,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions import lexicons as lex
 from tideline.functions.clock import age_days, instant, linear_decay
 from tideline.functions.labels import lookup, urgency_label
 from tideline.functions.numbers import half_up, truthy
