@@ -21,7 +21,6 @@ is the smallest id linked with it, or null. Other columns are not read.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -30,12 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm import shared
+from tideline.llm import fragments, shared
 
-FLUSH_TOKENS = 2_000_000
-COMMON = 64  # the order knows the number of sets with an n-gram up to this
 PAIR_FRAGMENTS = 8
-LOW48 = np.uint64((1 << 48) - 1)
 
 
 def _sets_of(part, data, offsets, width: int):
@@ -60,32 +56,8 @@ def _describe(batches: Iterator[pa.RecordBatch], id_column: str, text: str, widt
             )
 
 
-def _six(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _unsix(b: memoryview) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view(np.uint64)
-
-
-def _pack(keys: np.ndarray, counts: np.ndarray, grams: np.ndarray, common: np.ndarray) -> bytes:
-    head = np.array([len(keys), len(grams), len(common)], np.int64)
-    return head.tobytes() + keys.tobytes() + counts.astype(np.uint32).tobytes() + _six(grams) + _six(common)
-
-
-def _unpack(blob: bytes):
-    view = memoryview(blob)
-    k, g, c = np.frombuffer(view[:24], np.int64)
-    a, b = 24 + 8 * k, 24 + 12 * k
-    return np.frombuffer(view[24:a], np.int64), np.frombuffer(view[a:b], np.uint32), _unsix(view[b : b + 6 * g]), _unsix(view[b + 6 * g : b + 6 * (g + c)])
-
-
 def _segments(batches: Iterator[pa.RecordBatch], text: str, width: int, n_parts: int):
-    """Rows (part, blob): for each fragment the segments of a few thousand sets. The
-    n-grams that COMMON or more of these sets share go to a part that only passes
-    them on; the fragment gets a mark. So no fragment gets one n-gram from every set."""
+    """Rows (part, blob): for each fragment the segments of a few thousand sets."""
     held: list[tuple] = []
     total = 0
     for batch in batches:
@@ -93,87 +65,11 @@ def _segments(batches: Iterator[pa.RecordBatch], text: str, width: int, n_parts:
             hashes, at, sizes, key, _ = _sets_of(part, data, offsets, width)
             held.append((hashes, np.repeat(key, sizes)))
             total += len(hashes)
-            if total >= FLUSH_TOKENS:
-                yield _flush(held, n_parts)
+            if total >= fragments.FLUSH_TOKENS:
+                yield fragments.flush(held, n_parts)
                 held, total = [], 0
     if total:
-        yield _flush(held, n_parts)
-
-
-def _flush(held: list[tuple], n_parts: int) -> pa.RecordBatch:
-    grams, keys = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    _, first = np.unique(keys[edge], return_index=True)  # a set that came before adds nothing
-    sizes = np.diff(np.append(edge, len(keys)))
-    fresh = np.zeros(len(edge), bool)
-    fresh[first] = True
-    fresh = np.repeat(fresh, sizes)
-    grams, keys = grams[fresh], keys[fresh]
-    frags = ((grams >> np.uint64(48)) * np.uint64(n_parts) >> np.uint64(16)).astype(np.uint16)
-    order = np.argsort(frags, kind="stable")
-    grams, keys, frags = grams[order], keys[order], frags[order]
-    sorted_grams = np.sort(grams)
-    edges = np.flatnonzero(np.concatenate([[True], sorted_grams[1:] != sorted_grams[:-1], [True]]))
-    common = sorted_grams[edges[:-1]][np.diff(edges) >= COMMON]
-    hot = np.isin(grams, common) if len(common) else np.zeros(len(grams), bool)
-    marks = ((common >> np.uint64(48)) * np.uint64(n_parts) >> np.uint64(16)).astype(np.uint16)
-    parts, blobs = [], []
-    for f in range(n_parts):
-        a, b = np.searchsorted(frags, [f, f + 1])
-        if a == b:
-            continue
-        for mine, passes in ((~hot[a:b], False), (hot[a:b], True)):
-            g, k = grams[a:b][mine], keys[a:b][mine]
-            begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
-            counts = np.diff(np.append(begin, len(k)))
-            blob = _pack(k[begin], counts, g & LOW48, common[marks == f] & LOW48 if not passes else common[:0])
-            if passes and len(k):
-                parts.append(n_parts + (zlib.crc32(blob) % n_parts))
-                blobs.append(np.int32(f).tobytes() + blob)
-            elif not passes:
-                parts.append(f)
-                blobs.append(np.int32(f).tobytes() + blob)
-    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
-
-
-def _shared_grams(part: tuple, group: pa.Table, n_parts: int) -> pa.Table:
-    """Of one fragment: for each set its n-grams that other sets have too, with the
-    number of sets, COMMON at most."""
-    blobs = group.column("blob").to_pylist()
-    if part[0].as_py() >= n_parts:
-        done = []
-        for blob in blobs:
-            keys, counts, grams, _ = _unpack(blob[4:])
-            f = np.frombuffer(blob[:4], np.int32)[0]
-            done.append(_segment_rows(np.repeat(keys, counts), grams, np.full(len(grams), COMMON, np.int8), int(f)))
-        return pa.concat_tables(done)
-    unpacked = [_unpack(b[4:]) for b in blobs]
-    keys = np.concatenate([np.repeat(k, c) for k, c, _, _ in unpacked])
-    grams = np.concatenate([g for _, _, g, _ in unpacked])
-    marks = np.concatenate([m for _, _, _, m in unpacked])
-    order = np.lexsort((keys, grams))
-    keys, grams = keys[order], grams[order]
-    fresh = np.ones(len(keys), bool)
-    fresh[1:] = (keys[1:] != keys[:-1]) | (grams[1:] != grams[:-1])
-    keys, grams = keys[fresh], grams[fresh]
-    begin = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, int)
-    counts = np.diff(np.append(begin, len(grams)))
-    counts = np.where(np.isin(grams[begin], marks), COMMON, np.minimum(counts, COMMON)) if len(begin) else counts
-    each = np.repeat(counts, np.diff(np.append(begin, len(grams))))
-    several = each > 1
-    keys, grams, each = keys[several], grams[several], each[several]
-    order = np.argsort(keys, kind="stable")
-    return _segment_rows(keys[order], grams[order], each[order].astype(np.int8), part[0].as_py())
-
-
-def _segment_rows(keys: np.ndarray, grams: np.ndarray, counts: np.ndarray, fragment: int) -> pa.Table:
-    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-    edges = np.append(begin, len(keys))
-    full = (np.uint64(fragment) << np.uint64(48) | grams).view(np.int64)
-    return pa.table(
-        {"key": pa.array(keys[begin]), "grams": shared.lists(full, edges, pa.int64()), "counts": shared.lists(counts, edges, pa.int8())},
-        schema=pa.schema([("key", pa.int64()), ("grams", pa.list_(pa.int64())), ("counts", pa.list_(pa.int8()))]),
-    )
+        yield fragments.flush(held, n_parts)
 
 
 def ngram_join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
@@ -187,13 +83,13 @@ def ngram_join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", w
     classes = sets.where("n > 0").groupBy("key", "check", "n").agg(F.min("doc_id").alias("rep"))
 
     def fragment(part: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        return _shared_grams(part, group, n_parts)
+        return fragments.shared_grams(part, group, n_parts)
 
     segments = (
         narrow.select("text")
         .mapInArrow(partial(_segments, text="text", width=width, n_parts=n_parts), "part int, blob binary")
         .groupBy("part")
-        .applyInArrow(fragment, "key long, grams array<long>, counts array<byte>")
+        .applyInArrow(fragment, fragments.SHARED)
     )
     links = _links(classes, segments)
     labels = shared.components(links)

@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tideline.llm.ngram_join import ngram_join
-from tideline.llm.shared import table
+from tideline.llm.shared import run_folder, table
+from tideline.llm.suffix_dedup import suffix_dedup
+from tideline.llm.token_counts import token_counts
+from tideline.llm.token_store import read_tokens, write_tokens
+
+END_ID = 2
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join,)}
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = run_folder(spark, "tokens")
+    keys = write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    return read_tokens(keys, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_token_counts, op4_token_store, op10_suffix_dedup)}
 SQL: dict[str, str] = {}
