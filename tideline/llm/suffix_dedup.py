@@ -38,8 +38,9 @@ GRAM = 25
 COVER = 31
 # A perfect difference set modulo 31: every difference is one of two members, once.
 DIFFERENCE_SET = (0, 1, 3, 8, 12, 18)
-BUCKET = 400_000
-FLUSH_BYTES = 16_000_000
+BUCKET = 200_000
+SLICE_BYTES = 1_000_000
+FLUSH_BYTES = 8_000_000
 NO_ID = (1 << 63) - 1
 AT = np.uint64((1 << 24) - 1)
 
@@ -73,7 +74,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
 def _grams(batches: Iterator[pa.RecordBatch], length: int, n_parts: int):
     held, total = [], 0
     for batch in batches:
-        for part, data, offsets in shared.text_slices(batch, "text"):
+        for part, data, offsets in shared.text_slices(batch, "text", SLICE_BYTES):
             _, _, _, hashes, rows = anchors(data, offsets, length)
             hashes, rows = shared.distinct_in_rows(hashes, rows)
             held.append((hashes, part.column(0).to_numpy(zero_copy_only=False)[rows]))
@@ -91,7 +92,7 @@ def _surroundings(batches: Iterator[pa.RecordBatch], length: int, n_parts: int):
     here, so a common passage reaches a fragment once per flush."""
     held, total = [], 0
     for batch in batches:
-        for part, data, offsets in shared.text_slices(batch, "text"):
+        for part, data, offsets in shared.text_slices(batch, "text", SLICE_BYTES):
             first, last, anchor, hashes, rows = anchors(data, offsets, length)
             grams = part.column(2)
             edge = np.asarray(grams.offsets)
