@@ -41,6 +41,7 @@ DIFFERENCE_SET = (0, 1, 3, 8, 12, 18)
 BUCKET = 200_000
 SLICE_BYTES = 1_000_000
 FLUSH_BYTES = 8_000_000
+FINER = 4  # fragments of surroundings for each fragment of anchors
 NO_ID = (1 << 63) - 1
 AT = np.uint64((1 << 24) - 1)
 
@@ -86,7 +87,7 @@ def _grams(batches: Iterator[pa.RecordBatch], length: int, n_parts: int):
         yield fragments.flush(held, n_parts)
 
 
-def _surroundings(batches: Iterator[pa.RecordBatch], length: int, n_parts: int):
+def _surroundings(batches: Iterator[pa.RecordBatch], length: int, n_parts: int, n_ranges: int):
     """Rows (part, blob) with the bytes around shared anchors. Of equal surroundings in
     one flush only that of the smallest id goes to its fragment; the others are marked
     here, so a common passage reaches a fragment once per flush."""
@@ -102,17 +103,17 @@ def _surroundings(batches: Iterator[pa.RecordBatch], length: int, n_parts: int):
             hit = np.isin(shared.mix(mine ^ shared.mix(rows.astype(np.uint64))), shared.mix(wanted ^ shared.mix(of)))
             ids, keys = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 3))
             text = data.tobytes()
-            for a, z, p, h, r in zip(first[hit].tolist(), last[hit].tolist(), anchor[hit].tolist(), fragments.fragment_of(hashes[hit], n_parts).tolist(), rows[hit].tolist()):
+            for a, z, p, h, r in zip(first[hit].tolist(), last[hit].tolist(), anchor[hit].tolist(), fragments.fragment_of(hashes[hit], n_ranges).tolist(), rows[hit].tolist()):
                 held.append((h, text[a : z + length], p - a, int(ids[r]), a - int(offsets[r]), int(keys[r])))
                 total += z + length - a
             if total >= FLUSH_BYTES:
-                yield _send(held, length, n_parts)
+                yield _send(held, n_ranges)
                 held, total = [], 0
     if held:
-        yield _send(held, length, n_parts)
+        yield _send(held, n_ranges)
 
 
-def _send(held: list[tuple], length: int, n_parts: int) -> pa.RecordBatch:
+def _send(held: list[tuple], n_ranges: int) -> pa.RecordBatch:
     least: dict[tuple, int] = {}
     for _, text, p, i, _, _ in held:
         key = (text, p)
@@ -132,7 +133,7 @@ def _send(held: list[tuple], length: int, n_parts: int) -> pa.RecordBatch:
         blobs.append(np.int64(len(rows)).tobytes() + numbers.tobytes() + b"".join(r[5] for r in rows))
     if marked:
         blob = np.array(marked, np.int64).tobytes()
-        parts.append(n_parts + zlib.crc32(blob) % n_parts)
+        parts.append(n_ranges + zlib.crc32(blob) % n_ranges)
         blobs.append(blob)
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
@@ -148,9 +149,9 @@ def _rows(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Table:
     return pa.table({"key": pa.array(keys[begin]), "starts": shared.lists(starts, edges, pa.int64()), "ends": shared.lists(ends, edges, pa.int64())}, schema=RUNS)
 
 
-def repeats(number: int, blobs: list[bytes], length: int, n_parts: int) -> pa.Table:
+def repeats(number: int, blobs: list[bytes], length: int, n_ranges: int) -> pa.Table:
     """The ranges of one fragment that also start in a text of a smaller id."""
-    if number >= n_parts:
+    if number >= n_ranges:
         marked = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 3) for b in blobs])
         return _rows(marked[:, 0], marked[:, 1], marked[:, 2])
     numbers, texts = [], []
@@ -205,7 +206,7 @@ def _ranks(columns: list[np.ndarray]) -> np.ndarray:
     for c in columns:
         s = c[order]
         step[1:] |= s[1:] != s[:-1]
-    ranks = np.empty(len(order), np.int64)
+    ranks = np.empty(len(order), np.int32)
     ranks[order] = np.cumsum(step)
     return ranks
 
@@ -221,9 +222,9 @@ def equal_to_smaller(kinds: list[tuple[bytes, int]], least: np.ndarray, length:
     fill = np.repeat(base - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(int(sizes.sum()))
     text[fill] = np.frombuffer(b"".join(t for t, _ in kinds), np.uint8)
     # ranks of the sample: by COVER bytes, then doubled
-    sample = np.flatnonzero(np.isin(np.arange(len(text) - 3 * COVER) % COVER, DIFFERENCE_SET))
+    sample = np.concatenate([np.arange(d, len(text) - 3 * COVER, COVER) for d in DIFFERENCE_SET])
     sample = sample[text[sample] != 0xFF]
-    rank = np.zeros(len(text) + COVER, np.int64)
+    rank = np.zeros(len(text) + COVER, np.int32)
     rank[sample] = _ranks(_keys(text, sample)) + 1
     depth = COVER
     while depth < length:
@@ -292,6 +293,7 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         raise ValueError(f"length must be over {GRAM} bytes")
     spark = docs.sparkSession
     n_parts = shared.shuffle_partitions(spark)
+    n_ranges = FINER * n_parts
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), body.alias("text"))
     order = F.coalesce("doc_id", F.lit(NO_ID))
@@ -303,7 +305,7 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         return fragments.shared_grams(part, group, n_parts)
 
     def range_fragment(part: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        return repeats(part[0].as_py(), group.column("blob").to_pylist(), length, n_parts)
+        return repeats(part[0].as_py(), group.column("blob").to_pylist(), length, n_ranges)
 
     common = (
         hashed.where(F.octet_length("text") >= length)
@@ -320,7 +322,7 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     candidates = shared.stored(common.join(texts, (F.col("sha") == F.col("sha_")) & (F.col("id") == F.col("id_"))).select("id", "text", "grams", "key", "sha"), "candidates")
     runs = (
         candidates.select("id", "text", "grams", "key")
-        .mapInArrow(partial(_surroundings, length=length, n_parts=n_parts), "part int, blob binary")
+        .mapInArrow(partial(_surroundings, length=length, n_parts=n_parts, n_ranges=n_ranges), "part int, blob binary")
         .groupBy("part")
         .applyInArrow(range_fragment, "key long, starts array<long>, ends array<long>")
         .groupBy("key")
