@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tideline.llm import queries_sql
+from tideline.llm.decontaminate import contaminated
+from tideline.llm.line_quality import line_quality
+from tideline.llm.mix import mix_sources
 from tideline.llm.ngram_join import ngram_join
 from tideline.llm.shared import run_folder, table
 from tideline.llm.suffix_dedup import suffix_dedup
@@ -14,6 +19,10 @@ from tideline.llm.token_store import read_tokens, write_tokens
 END_ID = 2
 
 
+def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality(table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
@@ -28,9 +37,18 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(keys, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.withColumns({c: F.floor(F.col(c) * 1000000 + 0.5) / 1000000 for c in ("weight", "probability")})
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_token_counts, op4_token_store, op10_suffix_dedup)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_line_quality, op2_ngram_join, op3_token_counts, op4_token_store, op7_decontaminate, op9_mix_sources, op10_suffix_dedup)}
+SQL = {"op1_line_quality": queries_sql.LINE_QUALITY, "op7_decontaminate": queries_sql.CONTAMINATED, "op9_mix_sources": queries_sql.MIXED}
