@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from tideline.llm import shared
 
-FLUSH_TOKENS = 2_000_000
+FLUSH_TOKENS = 1_000_000
 COMMON = 64  # the number of keys with a hash is known up to this
 LOW48 = np.uint64((1 << 48) - 1)
 SHARED = "key long, grams array<long>, counts array<byte>"

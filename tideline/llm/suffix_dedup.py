@@ -40,8 +40,8 @@ COVER = 31
 DIFFERENCE_SET = (0, 1, 3, 8, 12, 18)
 BUCKET = 200_000
 SLICE_BYTES = 1_000_000
-FLUSH_BYTES = 8_000_000
-FINER = 4  # fragments of surroundings for each fragment of anchors
+FLUSH_BYTES = 4_000_000
+FINER = 12  # fragments of surroundings for each fragment of anchors
 NO_ID = (1 << 63) - 1
 AT = np.uint64((1 << 24) - 1)
 
@@ -87,6 +87,12 @@ def _grams(batches: Iterator[pa.RecordBatch], length: int, n_parts: int):
         yield fragments.flush(held, n_parts)
 
 
+def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of all spans behind one another."""
+    shift = starts - (np.cumsum(sizes) - sizes)
+    return data[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))]
+
+
 def _surroundings(batches: Iterator[pa.RecordBatch], length: int, n_parts: int, n_ranges: int):
     """Rows (part, blob) with the bytes around shared anchors. Of equal surroundings in
     one flush only that of the smallest id goes to its fragment; the others are marked
@@ -101,38 +107,38 @@ def _surroundings(batches: Iterator[pa.RecordBatch], length: int, n_parts: int,
             of = np.repeat(np.arange(part.num_rows, dtype=np.uint64), np.diff(edge))
             mine = fragments.full(hashes, n_parts)
             hit = np.isin(shared.mix(mine ^ shared.mix(rows.astype(np.uint64))), shared.mix(wanted ^ shared.mix(of)))
-            ids, keys = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 3))
-            text = data.tobytes()
-            for a, z, p, h, r in zip(first[hit].tolist(), last[hit].tolist(), anchor[hit].tolist(), fragments.fragment_of(hashes[hit], n_ranges).tolist(), rows[hit].tolist()):
-                held.append((h, text[a : z + length], p - a, int(ids[r]), a - int(offsets[r]), int(keys[r])))
-                total += z + length - a
+            first, sizes, lead, rows = first[hit], last[hit] + length - first[hit], anchor[hit] - first[hit], rows[hit]
+            ids, keys = (part.column(k).to_numpy(zero_copy_only=False)[rows] for k in (0, 3))
+            kind = shared.span_hash(shared.running(data), first, first + sizes) + lead.astype(np.uint64)
+            numbers = np.stack([ids, first - offsets[rows], lead, sizes, keys], 1)
+            held.append((fragments.fragment_of(hashes[hit], n_ranges), kind, numbers, _gather(data, first, sizes)))
+            total += int(sizes.sum())
             if total >= FLUSH_BYTES:
                 yield _send(held, n_ranges)
                 held, total = [], 0
-    if held:
+    if total:
         yield _send(held, n_ranges)
 
 
 def _send(held: list[tuple], n_ranges: int) -> pa.RecordBatch:
-    least: dict[tuple, int] = {}
-    for _, text, p, i, _, _ in held:
-        key = (text, p)
-        if i < least.get(key, NO_ID + 1):
-            least[key] = i
-    sent: dict[int, list] = {}
-    marked = []
-    for h, text, p, i, at, k in held:
-        if i > least[text, p]:
-            marked.append((k, at, at + len(text)))
-        else:
-            sent.setdefault(h, []).append((i, at, p, len(text), k, text))
+    where, kind, numbers, data = (np.concatenate([h[k] for h in held]) for k in range(4))
+    at = np.cumsum(numbers[:, 3]) - numbers[:, 3]
+    order = np.lexsort((numbers[:, 0], kind))
+    begin = np.flatnonzero(np.concatenate([[True], kind[order[1:]] != kind[order[:-1]]]))
+    least = np.empty(len(order), np.int64)
+    least[order] = np.repeat(numbers[order[begin], 0], np.diff(np.append(begin, len(order))))
+    later = numbers[:, 0] > least
     parts, blobs = [], []
-    for h, rows in sent.items():
-        numbers = np.array([r[:5] for r in rows], np.int64)
-        parts.append(h)
-        blobs.append(np.int64(len(rows)).tobytes() + numbers.tobytes() + b"".join(r[5] for r in rows))
-    if marked:
-        blob = np.array(marked, np.int64).tobytes()
+    sent = np.flatnonzero(~later)
+    sent = sent[np.argsort(where[sent], kind="stable")]
+    edges = np.searchsorted(where[sent], np.arange(n_ranges + 1))
+    for f in np.flatnonzero(np.diff(edges)).tolist():
+        mine = sent[edges[f] : edges[f + 1]]
+        parts.append(f)
+        blobs.append(np.int64(len(mine)).tobytes() + numbers[mine].tobytes() + _gather(data, at[mine], numbers[mine, 3]).tobytes())
+    if later.any():
+        gone = numbers[later]
+        blob = np.stack([gone[:, 4], gone[:, 1], gone[:, 1] + gone[:, 3]], 1).tobytes()
         parts.append(n_ranges + zlib.crc32(blob) % n_ranges)
         blobs.append(blob)
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
@@ -154,28 +160,26 @@ def repeats(number: int, blobs: list[bytes], length: int, n_ranges: int) -> pa.T
     if number >= n_ranges:
         marked = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 3) for b in blobs])
         return _rows(marked[:, 0], marked[:, 1], marked[:, 2])
-    numbers, texts = [], []
+    numbers, pieces = [], []
     for blob in blobs:
         n = int(np.frombuffer(blob[:8], np.int64)[0])
-        rows = np.frombuffer(blob[8 : 8 + 40 * n], np.int64).reshape(-1, 5)
-        edge = 8 + 40 * n + np.concatenate([[0], np.cumsum(rows[:, 3])])
-        numbers.append(rows)
-        texts += [blob[a:z] for a, z in zip(edge[:-1].tolist(), edge[1:].tolist())]
-    numbers = np.concatenate(numbers)
-    ids, at, lead, keys = (numbers[:, k] for k in (0, 1, 2, 4))
-    seen: dict[tuple, int] = {}
-    kind = np.array([seen.setdefault((t, p), len(seen)) for t, p in zip(texts, lead.tolist())], np.int64)
-    kinds = list(seen)
-    least = np.full(len(kinds), NO_ID, np.int64)
+        numbers.append(np.frombuffer(blob[8 : 8 + 40 * n], np.int64).reshape(-1, 5))
+        pieces.append(np.frombuffer(blob, np.uint8, offset=8 + 40 * n))
+    numbers, data = np.concatenate(numbers), np.concatenate(pieces)
+    ids, at, lead, sizes, keys = (numbers[:, k] for k in range(5))
+    begin = np.cumsum(sizes) - sizes
+    hashes = shared.span_hash(shared.running(data), begin, begin + sizes) + lead.astype(np.uint64)
+    _, one, kind = np.unique(hashes, return_index=True, return_inverse=True)
+    least = np.full(len(one), NO_ID, np.int64)
     np.minimum.at(least, kind, ids)
-    window, owner = equal_to_smaller(kinds, least, length)  # window starts within a kind that go also for its smallest id
-    sizes = np.array([len(t) for t, _ in kinds], np.int64)
+    sizes = sizes[one]
+    window, owner = equal_to_smaller(_gather(data, begin[one], sizes), sizes, lead[one], least, length)  # those also go for the kind's smallest id
     later = ids > least[kind]
     out = [(keys[later], at[later], at[later] + sizes[kind[later]])]
     if len(window):
         cut = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (window[1:] != window[:-1] + 1)]))
         run_owner, run_from, run_to = owner[cut], window[cut], window[np.append(cut[1:], len(window)) - 1] + length
-        per = np.bincount(run_owner, minlength=len(kinds))
+        per = np.bincount(run_owner, minlength=len(one))
         base = np.concatenate([[0], np.cumsum(per)])
         firsts = np.flatnonzero(~later)
         firsts = firsts[per[kind[firsts]] > 0]
@@ -186,16 +190,15 @@ def repeats(number: int, blobs: list[bytes], length: int, n_ranges: int) -> pa.T
     return _rows(*(np.concatenate([o[k] for o in out]) for k in range(3)))
 
 
-def _keys(text: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+def _words(text: np.ndarray) -> np.ndarray:
+    """Eight bytes from every position, as a number that sorts like them."""
+    return np.ndarray((len(text) - 7,), ">u8", text, 0, (1,))
+
+
+def _keys(words: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     """COVER bytes from each position as four numbers that sort like the bytes."""
-    keys = []
-    for k in range(0, COVER + 1, 8):
-        word = np.zeros(len(at), np.uint64)
-        for b in range(8):
-            word = word << np.uint64(8)
-            if k + b < COVER:
-                word |= text[at + (k + b)].astype(np.uint64)
-        keys.append(word)
+    keys = [words[at + k].astype(np.uint64) for k in range(0, COVER, 8)]
+    keys[-1] >>= np.uint64(8 * (8 * len(keys) - COVER))
     return keys
 
 
@@ -211,33 +214,43 @@ def _ranks(columns: list[np.ndarray]) -> np.ndarray:
     return ranks
 
 
-def equal_to_smaller(kinds: list[tuple[bytes, int]], least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def equal_to_smaller(data: np.ndarray, sizes: np.ndarray, lead: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(window start, kind) of windows that equal one of a kind with a smaller id, in
-    order of kind and start. ``kinds``: bytes and where in them the anchor stands."""
-    sizes = np.array([len(t) for t, _ in kinds], np.int64)
-    lead = np.array([p for _, p in kinds], np.int64)
+    order of kind and start. Kind k has ``sizes[k]`` bytes of ``data`` and its anchor at
+    ``lead[k]`` in them; ``least[k]`` is its smallest id."""
     room = -(-(sizes + COVER + 1) // COVER) * COVER + COVER
     base = np.concatenate([[0], np.cumsum(room)[:-1]]) + (-lead) % COVER
     text = np.full(int(room.sum()) + 4 * COVER + length, 0xFF, np.uint8)  # no UTF-8 text holds this byte
-    fill = np.repeat(base - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(int(sizes.sum()))
-    text[fill] = np.frombuffer(b"".join(t for t, _ in kinds), np.uint8)
-    # ranks of the sample: by COVER bytes, then doubled
-    sample = np.concatenate([np.arange(d, len(text) - 3 * COVER, COVER) for d in DIFFERENCE_SET])
-    sample = sample[text[sample] != 0xFF]
-    rank = np.zeros(len(text) + COVER, np.int32)
-    rank[sample] = _ranks(_keys(text, sample)) + 1
+    text[np.repeat(base - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(data))] = data
+    words = _words(text)
+    counts = sizes - length + 1
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), counts)
+    start = np.repeat(base - (np.cumsum(counts) - counts), counts) + np.arange(len(owner))
+    # a string whose hash stands alone equals no other: only the rest is sorted
+    hashes = shared.span_hash(shared.running(text), start, start + length)
+    order = np.argsort(hashes)
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    several = np.zeros(len(order), bool)
+    several[order[1:]] |= same
+    several[order[:-1]] |= same
+    del hashes, order, same
+    owner, start = owner[several], start[several]
+    residue = (start % COVER).astype(np.int8)
+    offset = np.array([min(d for d in range(COVER) if (r + d) % COVER in DIFFERENCE_SET) for r in range(COVER)])
+    # ranks of the cover sample that ties will ask for: by COVER bytes, then doubled
+    sample = np.unique(start + offset[residue])
     depth = COVER
     while depth < length:
-        rank[sample] = _ranks([rank[sample], rank[np.minimum(sample + depth, len(rank) - 1)]]) + 1
+        sample = np.union1d(sample, np.minimum(sample + depth, len(text) - 2 * COVER))
+        depth *= 2
+    rank = np.zeros(len(text), np.int32)
+    rank[sample] = _ranks(_keys(words, sample)) + 1
+    depth = COVER
+    while depth < length:
+        rank[sample] = _ranks([rank[sample], rank[np.minimum(sample + depth, len(text) - 1)]]) + 1
         depth *= 2
-    counts = sizes - length + 1
-    owner = np.repeat(np.arange(len(kinds)), counts)
-    within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    start = base[owner] + within
-    residue = start % COVER
-    offset = np.array([min(d for d in range(COVER) if (r + d) % COVER in DIFFERENCE_SET) for r in range(COVER)])
     gone = np.zeros(len(start), bool)
-    leading = text[start].astype(np.int64) * 256 + text[start + 1]
+    leading = text[start].astype(np.int32) * 256 + text[start + 1]
     by_lead = np.argsort(leading, kind="stable")
     edges = np.concatenate([[0], np.cumsum(np.bincount(leading, minlength=1 << 16))])
     lo = 0
@@ -248,17 +261,18 @@ def equal_to_smaller(kinds: list[tuple[bytes, int]], least: np.ndarray, length:
         if len(mine) < 2:
             continue
         s = start[mine]
-        order = np.lexsort([rank[s + offset[residue[mine]]], residue[mine], *_keys(text, s)[::-1]])
+        order = np.lexsort([rank[s + offset[residue[mine]]], residue[mine], *_keys(words, s)[::-1]])
         mine, s = mine[order], s[order]
         same = np.ones(len(s), bool)
         same[0] = False
-        for b in range(length):
-            c = text[s + b]
+        for b in [*range(0, length - 7, 8), length - 8]:
+            c = words[s + b]
             same[1:] &= c[1:] == c[:-1]
         begin = np.flatnonzero(~same)
         smallest = np.minimum.reduceat(least[owner[mine]], begin)
         gone[mine] = least[owner[mine]] > np.repeat(smallest, np.diff(np.append(begin, len(s))))
-    return within[gone], owner[gone]
+    owner = owner[gone]
+    return start[gone] - base[owner], owner
 
 
 CUT = "sha string, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
