@@ -75,17 +75,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75,
     sought = placed.select("gram", "item", "place", "size", "of_item")
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    keyed = rows.select("doc_id", F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"), "text")
-    split = _words(keyed, "doc_id", "k1", "k2")
-    grams = split.where("n >= 5").select("doc_id", "k1", "k2", "n", F.posexplode(F.expr(_shingles("words", "0", "n - 4"))).alias("pos", "gram"))
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("order")
+    keyed = rows.select("doc_id", order, F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"), "text")
+    split = _words(keyed, "doc_id", "order", "k1", "k2")
+    grams = split.where("n >= 5").select("doc_id", "order", "k1", "k2", "n", F.posexplode(F.expr(_shingles("words", "0", "n - 4"))).alias("pos", "gram"))
     hits = shared.stored(grams.join(F.broadcast(sought) if few else sought, "gram"), "hits")
     ids = hits.select("k1", "k2", "doc_id").distinct()
     at = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("place"), F.col("n") - F.col("size")))
     windows = shared.stored(hits.select("k1", "k2", "size", at.alias("start"), F.least("size", "n").alias("long")).distinct(), "windows")
 
-    # fingerprints of the windows, from the texts that have any
+    # fingerprints of the windows, from one text of each kind that has any; with the id in
+    # the key, copies are dealt out; texts are joined the same way at every size
     wanted = windows.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "size", "long")).alias("windows"))
-    texts = keyed.select("k1", "k2", "text").join(wanted, ["k1", "k2"])
+    wanted = wanted.join(hits.groupBy("k1", "k2").agg(F.min("order").alias("order")), ["k1", "k2"])
+    texts = keyed.select("k1", "k2", "order", "text").hint("merge").join(wanted.hint("merge"), ["k1", "k2", "order"])
     texts = _words(texts, "k1", "k2", "windows").dropDuplicates(["k1", "k2"])
     inside = texts.select("k1", "k2", "words", F.explode("windows").alias("w")).select("k1", "k2", "w.start", "w.size", F.explode(F.expr(_shingles("words", "w.start", "(w.long - 4)"))).alias("gram"))
     window_prints = _fingerprint(inside, ["k1", "k2", "start", "size"])
