@@ -11,10 +11,12 @@ from tideline.llm.decontaminate import contaminated
 from tideline.llm.line_quality import line_quality
 from tideline.llm.mix import mix_sources
 from tideline.llm.ngram_join import ngram_join
+from tideline.llm.secret_scan import secret_scan
 from tideline.llm.shared import run_folder, table
 from tideline.llm.suffix_dedup import suffix_dedup
 from tideline.llm.token_counts import token_counts
 from tideline.llm.token_store import read_tokens, write_tokens
+from tideline.llm.warc import read_pages, write_warc
 
 END_ID = 2
 
@@ -37,6 +39,16 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(keys, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = run_folder(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), folder)
+    return read_pages(spark, folder)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,5 +62,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality, op2_ngram_join, op3_token_counts, op4_token_store, op7_decontaminate, op9_mix_sources, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_line_quality, op2_ngram_join, op3_token_counts, op4_token_store, op5_secret_scan, op6_warc, op7_decontaminate, op9_mix_sources, op10_suffix_dedup)}
 SQL = {"op1_line_quality": queries_sql.LINE_QUALITY, "op7_decontaminate": queries_sql.CONTAMINATED, "op9_mix_sources": queries_sql.MIXED}
