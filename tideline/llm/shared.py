@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 3_000_000
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 _made: dict[str, str] = {}
 
 
@@ -47,10 +48,17 @@ def _drop(spark: SparkSession, folder: str) -> None:
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: later uses
-    and lost executors cost a read, not the work again."""
-    folder = run_folder(df.sparkSession, tag)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    and lost executors cost a read, not the work again. Meanwhile tasks exchange Arrow
+    batches of ``BATCH_ROWS`` rows, so a batch of texts takes a few MB on either side."""
+    spark = df.sparkSession
+    folder = run_folder(spark, tag)
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -342,7 +342,7 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         .groupBy("key")
         .agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     )
-    cut = candidates.select("key", "sha", F.col("text").cast("binary").alias("text")).join(runs, "key").select("sha", "text", "starts", "ends").mapInArrow(_cut, CUT).dropDuplicates(["sha"])
+    cut = shared.stored(candidates.select("key", "sha", F.col("text").cast("binary").alias("text")).join(runs, "key").select("sha", "text", "starts", "ends").mapInArrow(_cut, CUT).dropDuplicates(["sha"]), "cut")
     plain = described.join(classes.select("sha", "id"), "sha", "left").join(cut, "sha", "left")
     whole = (F.col("order") > F.col("id")) & (F.col("n_bytes") >= length)
     return plain.select(
