@@ -29,56 +29,30 @@ from tokenizers import Tokenizer
 
 from tideline.llm import files, shared
 from tideline.llm.perfect_hash import PerfectHash
+from tideline.llm.units import Units, punctuation
 
-KNOWN_UNITS = 300_000
+BATCH = 20_000
 MAGIC = b"TLTOKEN1"
 SLOT = np.dtype([("print", "<u4"), ("offset", "<u8"), ("length", "<u8")])
-SYNC = regex.compile(r"(?<=\S)(?=\s)")
-ODD = regex.compile(r"\s ")
 NULL_KEY = np.uint64(0xA5A5A5A5DEADBEEF)
 
 
-class Encoder:
-    """The tokenizers library, asked once per unit: a text is cut before white space
-    that follows another character, where byte-level splitting always ends a piece.
-    Tokenizers of other kinds encode whole texts."""
-
-    def __init__(self, path: str, width: type):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.width = width
-        self.known: dict[str, bytes] = {}
-        kind = self.tokenizer.pre_tokenizer
-        stray = any(regex.search(r"\s", t.content) or t.lstrip or t.rstrip for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.cuts = type(kind).__name__ == "ByteLevel" and not kind.add_prefix_space and kind.use_regex and self.tokenizer.normalizer is None and not stray
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > KNOWN_UNITS:
-            self.known.clear()
-        known = self.known
-        cut = [self.units(t) for t in texts]
-        new = list({u for units in cut for u in units if u not in known})
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            for unit, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[unit] = np.array(e.ids, self.width).tobytes()
-        return [b"".join([known[u] for u in units]) for units in cut]
-
-    def units(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if not self.cuts:
-            return [text]
-        if "  " in text or ODD.search(text):
-            return SYNC.split(text)
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + w for w in rest]
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, width: str) -> Units:
+    """The tokenizers library, asked once per unit; other kinds than plain byte-level
+    tokenizers encode whole texts."""
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_padding()
+    tokenizer.no_truncation()
+    kind = tokenizer.pre_tokenizer
+    stray = any(regex.search(r"\s", t.content) or t.lstrip or t.rstrip for t in tokenizer.get_added_tokens_decoder().values())
+    cuts = type(kind).__name__ == "ByteLevel" and not kind.add_prefix_space and kind.use_regex and tokenizer.normalizer is None and not stray
 
+    def encode(texts: list[str]) -> list[list[int]]:
+        return [e.ids for k in range(0, len(texts), BATCH) for e in tokenizer.encode_batch_fast(texts[k : k + BATCH], add_special_tokens=False)]
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str, width: type) -> Encoder:
-    return Encoder(path, width)
+    special = "".join(t.content for t in tokenizer.get_added_tokens_decoder().values())
+    return Units(encode, width, punctuation(special) if cuts else None)
 
 
 def keys_of(ids: np.ndarray, missing: np.ndarray, turns: np.ndarray) -> np.ndarray:
@@ -92,18 +66,18 @@ def _prints(keys: np.ndarray) -> np.ndarray:
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int, width: str):
     """Writes this partition's shard; gives its keys in order."""
-    kind = np.dtype(width).type
-    encode, end = encoder(tokenizer, kind), np.array([end_id], kind).tobytes()
+    encode = encoder(tokenizer, width)
     shard = TaskContext.get().partitionId()
     name = f"shard-{shard:06d}"
     lengths, ids, missing = [], [], []
     with files.Finished(folder, f"{name}.ids") as out:
         for batch in batches:
-            for part, _, _ in shared.text_slices(batch, "text"):
-                payloads = encode([t or "" for t in part.column(1).to_pylist()])
-                for p in payloads:
-                    out.write(p + end)
-                lengths += [len(p) // len(end) + 1 for p in payloads]
+            for part, data, offsets in shared.text_slices(batch, "text"):
+                flat, counts = encode(data, offsets)
+                whole = np.full(len(flat) + len(counts), end_id, width)
+                whole[np.arange(len(flat)) + np.repeat(np.arange(len(counts)), counts)] = flat
+                out.write(whole.tobytes())
+                lengths += (counts + 1).tolist()
                 ids += part.column(0).fill_null(0).to_pylist()
                 missing += part.column(0).is_null().to_pylist()
     if not lengths:
