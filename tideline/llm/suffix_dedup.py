@@ -69,7 +69,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
     anchor = (low[start] & AT).astype(np.int64)
     fresh = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])) if len(row) else empty
     last = np.append(fresh[1:], len(row)) - 1 if len(row) else empty
-    return start[fresh], start[last], anchor[fresh], hashes[anchor[fresh]], row[fresh]
+    # smallest hashes lie low, so they are mixed again before they are dealt out by value
+    return start[fresh], start[last], anchor[fresh], shared.mix(hashes[anchor[fresh]] ^ np.uint64(0xA0761D6478BD642F)), row[fresh]
 
 
 def _grams(batches: Iterator[pa.RecordBatch], length: int, n_parts: int):
