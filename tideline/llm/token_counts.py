@@ -3,13 +3,14 @@
 The tokenizer's file is compiled once per task into two deterministic transducers whose
 transitions carry the number of tokens they emit:
 
-- over characters, ``Splitter``: the classes of the byte-level split pattern. Before a
-  white-space character that follows another kind of character every run ends whatever
-  the state was, so those places synchronise all states.
+- over characters: the classes of the byte-level split pattern. Before a white-space
+  character that follows another kind of character, and before punctuation that follows
+  a letter or digit, every run ends whatever the state was, so those places synchronise
+  all states (``units``).
 - over the bytes of one piece, ``Merger``: its state is the last token of the encoding
   of each prefix that a later token can still reach. A token may follow another when
   encoding both together gives just these two; exactly one last token fits each prefix,
-  so the state is determined, also for pieces of any length, in one pass. Whole pieces
+  so the state is determined, also for pieces of any length, in one pass. Whole units
   become transitions of their own once they are known, within a bound.
 
 A text is cut into chunks of ``chunk`` characters. The map of a chunk from the state in
@@ -30,16 +31,19 @@ import json
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm import shared
+from tideline.llm.units import Units, punctuation, unit_starts
+
 CHUNK = 65_536
-KNOWN_PIECES = 400_000
+KNOWN_PIECES = 200_000
 # Fixed: the split pattern of byte-level BPE tokenizers.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SYNC = regex.compile(r"(?<=\S)(?=\s)")
 MAP = "struct<head:string,tokens:bigint,tail:string>"
 
 
@@ -61,10 +65,11 @@ class Merger:
         for n, pair in enumerate(merges):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.rank[self.spell[a], self.spell[b]] = n
-        self.longest = max(map(len, self.spell.values()))
+        self.reach = [1] * 256  # the longest token that ends with each byte
+        for token in self.spell.values():
+            self.reach[token[-1]] = max(self.reach[token[-1]], len(token))
         made = {a + b for a, b in self.rank} | {bytes([k]) for k in range(256)}
         self.tokens = set(self.spell.values()) & made
-        self.endings: dict[bytes, tuple[bytes, ...]] = {}
         self.fits: dict[tuple[bytes, bytes], bool] = {}
         self.whole: dict[bytes, bool] = {}
 
@@ -95,20 +100,22 @@ class Merger:
     def follows(self, before: bytes, token: bytes) -> bool:
         key = (before, token)
         if key not in self.fits:
-            if len(self.fits) > 4 * KNOWN_PIECES:
+            if len(self.fits) > 2 * KNOWN_PIECES:
                 self.fits.clear()
             self.fits[key] = self.merged(before + token) == [before, token]
         return self.fits[key]
 
     def count(self, piece: bytes) -> int:
-        last, emitted, tokens = [b""], [0], self.tokens
+        last, emitted, tokens, fits = [b""], [0], self.tokens, self.fits
         for end in range(1, len(piece) + 1):
-            for start in range(max(0, end - self.longest), end):
+            for start in range(max(0, end - self.reach[piece[end - 1]]), end):
                 token = piece[start:end]
-                if token in tokens and (self.follows(last[start], token) if start else self.stands(token)):
-                    last.append(token)
-                    emitted.append(emitted[start] + 1)
-                    break
+                if token in tokens:
+                    fit = fits.get((last[start], token)) if start else self.stands(token)
+                    if self.follows(last[start], token) if fit is None else fit:
+                        last.append(token)
+                        emitted.append(emitted[start] + 1)
+                        break
         return emitted[-1]
 
 
@@ -129,7 +136,8 @@ class Compiled:
         if self.stray:
             raise ValueError("special strings with white space can't be cut at white space")
         self.pieces: dict[str, int] = {}
-        self.units: dict[str, int] = {}
+        marks = punctuation("".join(special))
+        self.units = Units(lambda texts: [[self.unit(t)] for t in texts], np.int64, marks)
 
     def piece(self, text: str) -> int:
         n = self.pieces.get(text)
@@ -142,45 +150,29 @@ class Compiled:
 
     def unit(self, text: str) -> int:
         """Tokens of a text that begins and ends at synchronising places."""
-        n = self.units.get(text)
-        if n is None:
-            n = 0
-            for k, part in enumerate(self.special.split(text) if self.special else [text]):
-                n += 1 if k % 2 else sum(map(self.piece, self.split.findall(part)))
-            if len(self.units) >= KNOWN_PIECES:
-                self.units.clear()
-            self.units[text] = n
+        n = 0
+        for k, part in enumerate(self.special.split(text) if self.special else [text]):
+            n += 1 if k % 2 else sum(map(self.piece, self.split.findall(part)))
         return n
 
     def count(self, text: str) -> int:
-        if not text:
-            return 0
-        if "  " in text or ODD.search(text):
-            return sum(map(self.unit, SYNC.split(text)))
-        first, *rest = text.split(" ")
-        known, unit = self.units, self.unit
-        total = unit(first) if first else 0
-        for word in rest:
-            word = " " + word
-            n = known.get(word)
-            total += unit(word) if n is None else n
-        return total
-
-    def chunk_map(self, text: str) -> tuple[str, int, str | None]:
-        """(head, tokens, tail); tail is None where nothing synchronises."""
-        begin = SYNC.search(text)
-        if begin is None:
-            return text, 0, None
-        a = begin.start()
-        z = a
-        for k in range(len(text) - 1, a, -1):
-            if text[k].isspace() and SYNC.match(text, k):
-                z = k
-                break
-        return text[:a], self.count(text[a:z]), text[z:]
-
-
-ODD = regex.compile(r"\s ")
+        data = np.frombuffer(text.encode("utf-8"), np.uint8)
+        return int(self.units(data, np.array([0, len(data)]))[0].sum()) if len(data) else 0
+
+    def chunk_maps(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[str, int, str | None]]:
+        """(head, tokens, tail) of every row; tail is None where nothing synchronises."""
+        starts = unit_starts(data, offsets, self.units.marks)
+        counts, _ = self.units.each(data, starts)
+        sums = np.concatenate([[0], np.cumsum(counts)])
+        edge = np.searchsorted(starts, offsets)
+        raw, maps = data.tobytes(), []
+        for k, (a, z) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
+            begin, end = int(offsets[k]), int(offsets[k + 1])
+            if z - a < 2:
+                maps.append((raw[begin:end].decode("utf-8"), 0, None))
+            else:
+                maps.append((raw[begin : starts[a + 1]].decode("utf-8"), int(sums[z - 1] - sums[a + 1]), raw[starts[z - 1] : end].decode("utf-8")))
+        return maps
 
 
 def compose(machine: Compiled, x: tuple, y: tuple) -> tuple:
@@ -228,18 +220,24 @@ def token_counts(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", tex
 def _map_chunks(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
     machine = compiled(tokenizer)
     for batch in batches:
-        texts = batch.column(4)
-        done = [machine.chunk_map(texts[k].as_py() or "") for k in range(batch.num_rows)]
-        columns = [pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(3).fill_null(0), pa.StructArray.from_arrays(columns, ["head", "tokens", "tail"])], ["doc_id", "row", "n_bytes", "at", "map"])
+        for part, data, offsets in shared.text_slices(batch, "piece"):
+            maps = machine.chunk_maps(data, offsets)
+            columns = [pa.array([m[k] for m in maps], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], part.column(3).fill_null(0), pa.StructArray.from_arrays(columns, ["head", "tokens", "tail"])], ["doc_id", "row", "n_bytes", "at", "map"])
 
 
 def _fold(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
     machine = compiled(tokenizer)
     for batch in batches:
-        counts = []
+        tokens, ends = [], []
         for k in range(batch.num_rows):
-            maps = [(m["map"]["head"], m["map"]["tokens"], m["map"]["tail"]) for m in batch.column(2)[k].as_py()]
-            head, tokens, tail = scan(machine, maps)
-            counts.append(machine.count(head) + tokens + machine.count(tail or ""))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            head, n, tail = scan(machine, [(m["map"]["head"], m["map"]["tokens"], m["map"]["tail"]) for m in batch.column(2)[k].as_py()])
+            tokens.append(n)
+            ends += [head, tail]
+        # what stays open at either end of all texts, counted together
+        data, offsets = shared.utf8(pa.array(ends, pa.string()))
+        starts = unit_starts(data, offsets, machine.units.marks)
+        counts, _ = machine.units.each(data, starts)
+        rows = (np.searchsorted(offsets, starts, "right") - 1) // 2
+        counts = np.array(tokens, np.int64) + np.bincount(rows, counts, minlength=len(tokens)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts)], ["doc_id", "n_bytes", "n_tokens"])

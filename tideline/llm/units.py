@@ -80,12 +80,17 @@ class Units:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows behind one another, and each row's number of ids."""
+        starts = unit_starts(data, offsets, self.marks)
+        ids, lengths = self.each(data, starts)
+        rows = np.searchsorted(offsets, starts, "right") - 1
+        return ids, np.bincount(rows, lengths, minlength=len(offsets) - 1).astype(np.int64)
+
+    def each(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units that begin at ``starts``, and each unit's number of ids."""
         if len(self.keys) > KNOWN_UNITS:
             self.forget()
-        n_rows = len(offsets) - 1
-        starts = unit_starts(data, offsets, self.marks)
         if not len(starts):
-            return np.zeros(0, self.kind), np.zeros(n_rows, np.int64)
+            return np.zeros(0, self.kind), np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(data))
         hashes = shared.span_hash(shared.running(data), starts, ends)
         order = np.argsort(hashes)
@@ -114,9 +119,7 @@ class Units:
             self.at, self.sizes = np.concatenate([self.at, at[new]])[order], np.concatenate([self.sizes, sizes[new]])[order]
         lengths = sizes[which]
         first = at[which] - (np.cumsum(lengths) - lengths)
-        ids = self.pool[np.repeat(first, lengths) + np.arange(int(lengths.sum()))]
-        rows = np.searchsorted(offsets, starts, "right") - 1
-        return ids, np.bincount(rows, lengths, minlength=n_rows).astype(np.int64)
+        return self.pool[np.repeat(first, lengths) + np.arange(int(lengths.sum()))], lengths
 
 
 _SCRAMBLE = np.random.default_rng(20).permutation(256).astype(np.uint8)
