@@ -135,7 +135,8 @@ def _verdicts(docs: DataFrame, id_column: str, text: str, host: str, least_docs:
 def line_quality(docs: DataFrame, id_column: str = "doc_id", text: str = "text", host: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
     """Per row: doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, n_removed_words, depleted, kept."""
-    return _verdicts(docs, id_column, text, host, least_docs, share).drop("text_key", "order")
+    columns = "doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words, depleted, kept"
+    return _verdicts(docs, id_column, text, host, least_docs, share).select(*columns.split(", "))
 
 
 def _host_lines(described: DataFrame) -> DataFrame:

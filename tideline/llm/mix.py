@@ -33,15 +33,15 @@ SEED = "mix-1"
 BLANK = r"[\x20\x09-\x0D]+"
 # The first that holds names the topic.
 TOPICS = (
-    ("notice", "lower(text) LIKE '%license%' OR lower(text) LIKE '%copyright%'"),
-    ("table", "length(text) - length(replace(text, '|', '')) >= 5"),
-    ("lines", "length(text) - length(replace(text, chr(10), '')) >= 20"),
+    ("notice", "lower({text}) LIKE '%license%' OR lower({text}) LIKE '%copyright%'"),
+    ("table", "length({text}) - length(replace({text}, '|', '')) >= 5"),
+    ("lines", "length({text}) - length(replace({text}, chr(10), '')) >= 20"),
 )
 OTHER = "prose"
 
 
-def topic_sql(topics: Sequence[tuple[str, str]] = TOPICS) -> str:
-    return "CASE " + " ".join(f"WHEN {rule} THEN '{name}'" for name, rule in topics) + f" ELSE '{OTHER}' END"
+def topic_sql(topics: Sequence[tuple[str, str]] = TOPICS, text: str = "text") -> str:
+    return "CASE " + " ".join(f"WHEN {rule.format(text=text)} THEN '{name}'" for name, rule in topics) + f" ELSE '{OTHER}' END"
 
 
 def describe(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topics: Sequence[tuple[str, str]] = TOPICS, seed: str = SEED) -> DataFrame:
@@ -110,7 +110,7 @@ def sampled(docs: DataFrame, id_column: str = "doc_id", **more) -> DataFrame:
     id but differ in cell may differ in their decision, so those are matched by cell too."""
     mixed = mix_sources(docs, id_column=id_column, **more).where("kept").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("lang").alias("__lang"), F.col("topic").alias("__topic")).distinct()
     source, lang, text = more.get("source", "source"), more.get("lang", "lang"), more.get("text", "text")
-    topic = F.expr(topic_sql(more.get("topics", TOPICS)).replace("text", f"coalesce(cast(`{text}` as string), '')"))
+    topic = F.expr(topic_sql(more.get("topics", TOPICS), f"coalesce(cast(`{text}` as string), '')"))
     same = docs[id_column].eqNullSafe(F.col("__id")) & (F.coalesce(docs[source].cast("string"), F.lit("")) == F.col("__source"))
     same &= (F.coalesce(docs[lang].cast("string"), F.lit("")) == F.col("__lang")) & (topic == F.col("__topic"))
     return docs.join(mixed, same, "left_semi")
