@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,28 +31,40 @@ def build_session(app: str = "tideline", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
-def can_checkpoint(spark: SparkSession) -> bool:
-    """True once reliable checkpoints are possible: the folder is the cluster's
-    ``spark.checkpoint.dir``, or one the caller has set on the context."""
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of reliable checkpoints: the cluster's ``spark.checkpoint.dir``, or one
+    the caller has set on the context; on a single machine a temporary one that goes
+    when Python ends. A cluster without one is an error: nothing else is shared."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return True
+    current = context._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        context.setCheckpointDir(folder)
-        return True
-    return False
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="tideline-")
+        atexit.register(shutil.rmtree, folder, True)
+    context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors can reach: under the cluster's checkpoint
-    folder; only where none is set (tests, notebooks) a local one."""
-    if can_checkpoint(spark):
-        return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"{name}-")
+    """A fresh folder that all executors can reach, removed when Python ends."""
+    folder = f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session ended before; the folder is left to the cluster's cleaning
+        pass
 
 
 def cut_lineage(df):
-    """Checkpoint ``df`` to the shared folder of the cluster. Without one (unit
-    tests, notebooks) the plan is left as it is, which costs time, not results."""
-    return df.checkpoint() if can_checkpoint(df.sparkSession) else df
+    """Checkpoint ``df`` to the shared folder, so that a lost executor costs a read."""
+    _checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
