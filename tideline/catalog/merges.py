@@ -18,24 +18,26 @@ NOW = D.now
 
 @query(
     "snapshot_diff",
-    """WITH jobs AS (SELECT company_id, crawl, trim(substr(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60), '') AS slug,
-        title || '|' || location || '|' || url AS pos, title, location, url FROM snapshot_jobs WHERE crawl IN (2000, 2001)),
-    old AS (SELECT company_id, slug, arg_max(title, pos) AS title, arg_max(location, pos) AS location, arg_max(url, pos) AS url FROM jobs WHERE crawl = 2000 GROUP BY ALL),
-    new AS (SELECT company_id, slug, arg_max(title, pos) AS title, arg_max(location, pos) AS location, arg_max(url, pos) AS url FROM jobs WHERE crawl = 2001 GROUP BY ALL),
-    both_crawls AS (SELECT DISTINCT company_id FROM jobs WHERE crawl = 2000 INTERSECT SELECT company_id FROM jobs WHERE crawl = 2001)
-    SELECT coalesce(n.company_id, o.company_id) AS company_id, coalesce(n.slug, o.slug) AS slug,
+    """WITH jobs AS (SELECT company_id, crawl, trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS slug,
+        title || '|' || location || '|' || url AS pos, title, location, url FROM snapshot_jobs),
+    side AS (SELECT company_id, crawl, slug, arg_max(title, pos) AS title, arg_max(location, pos) AS location, arg_max(url, pos) AS url FROM jobs GROUP BY ALL),
+    pairs AS (SELECT DISTINCT n.company_id, n.crawl FROM jobs n JOIN jobs o ON n.company_id = o.company_id AND n.crawl = o.crawl + 1),
+    old AS (SELECT p.company_id, p.crawl, slug, title, location, url FROM pairs p JOIN side s ON s.company_id = p.company_id AND s.crawl = p.crawl - 1),
+    new AS (SELECT p.company_id, p.crawl, slug, title, location, url FROM pairs p JOIN side s ON s.company_id = p.company_id AND s.crawl = p.crawl)
+    SELECT coalesce(n.company_id, o.company_id) AS company_id, coalesce(n.crawl, o.crawl) AS crawl, coalesce(n.slug, o.slug) AS slug,
       CASE WHEN o.slug IS NULL THEN 'added' WHEN n.slug IS NULL THEN 'removed' ELSE 'changed' END AS status,
       coalesce(n.title, o.title) AS title, coalesce(n.location, o.location) AS location, coalesce(n.url, o.url) AS url
-    FROM old o FULL JOIN new n ON o.company_id = n.company_id AND o.slug = n.slug
-    WHERE coalesce(n.company_id, o.company_id) IN (SELECT company_id FROM both_crawls)
-      AND (o.slug IS NULL OR n.slug IS NULL OR o.title <> n.title OR o.location <> n.location OR o.url <> n.url)""",
+    FROM old o FULL JOIN new n ON o.company_id = n.company_id AND o.crawl = n.crawl AND o.slug = n.slug
+    WHERE o.slug IS NULL OR n.slug IS NULL OR o.title <> n.title OR o.location <> n.location OR o.url <> n.url""",
 )
 def snapshot_diff(t: Tables):
+    """Every crawl against the one of the year before."""
     jobs = t.snapshot_jobs.select(
-        "company_id", "crawl", F.col("crawl").cast("string").alias("page_hash"),
+        F.struct("company_id", "crawl").alias("company_id"), F.col("crawl").cast("string").alias("page_hash"),
         F.concat_ws("|", "title", "location", "url").alias("pos"), "title", "location", "url",
     )
-    return merge.snapshot_diff(jobs.where("crawl = 2000"), jobs.where("crawl = 2001"))
+    before = jobs.withColumn("company_id", F.struct("company_id.company_id", (F.col("company_id.crawl") + 1).alias("crawl")))
+    return merge.snapshot_diff(before, jobs).select("company_id.company_id", "company_id.crawl", "slug", "status", "title", "location", "url")
 
 
 @query(
@@ -105,7 +107,7 @@ def signals_dedup(t: Tables):
 @query(
     "role_merge",
     f"""WITH old AS (SELECT url, company_id, role_id, title, first_seen_at, removed_at, is_active, days_open FROM role_state WHERE role_id % 4 <> 0),
-    inc AS (SELECT url, company_id, title FROM role_state WHERE role_id % 3 = 0)
+    inc AS (SELECT url, company_id, title FROM role_state WHERE role_id % 3 = 0 OR role_id % 4 = 0)
     SELECT coalesce(o.url, n.url) AS url, coalesce(n.title, o.title) AS title, coalesce(o.first_seen_at, {NOW}) AS first_seen_at,
       CASE WHEN n.url IS NULL THEN o.removed_at END AS removed_at, CASE WHEN n.url IS NOT NULL THEN true ELSE o.is_active END AS is_active,
       CASE WHEN n.url IS NOT NULL AND o.url IS NULL THEN 0 ELSE o.days_open END AS days_open, n.url IS NOT NULL AND o.url IS NULL AS is_new
@@ -120,7 +122,7 @@ def role_merge(t: Tables):
         empty.alias("required_skills"), "first_seen_at", F.col("first_seen_at").alias("last_seen_at"), "removed_at", "is_active", "days_open",
     )
     old = full.where("role_id % 4 <> 0").withColumn("role_id", F.col("role_id").cast("string"))
-    inc = full.where("role_id % 3 = 0").withColumn("seq", F.col("role_id"))
+    inc = full.where("role_id % 3 = 0 OR role_id % 4 = 0").withColumn("seq", F.col("role_id"))
     return merge.merge_roles(old, inc, AS_OF).select("url", "title", "first_seen_at", "removed_at", "is_active", "days_open", "is_new")
 
 
@@ -251,26 +253,25 @@ def share_top_categories(t: Tables):
     return activity.language_shares(sizes)
 
 
-PHRASE = r"^[^A-Za-z0-9]*([A-Za-z0-9]+[^A-Za-z0-9]+[A-Za-z0-9]+)"
+FIRST_WORDS = r"^[^A-Za-z0-9]*([A-Za-z0-9]+[^A-Za-z0-9]+[A-Za-z0-9]+)"
+LAST_WORD = r"([^ \n]+)\s*$"
+LONG_WORD = r"([A-Za-z0-9]{8,})"
 
 
 @query(
     "mention_match",
     f"""WITH a AS (SELECT DISTINCT 'item ' || item_id AS company_name, alias FROM (
-        SELECT item_id, lower(regexp_extract(text, '{PHRASE}', 1)) AS alias FROM benchmark
-        UNION ALL SELECT item_id, split_part(lower(regexp_extract(text, '{PHRASE}', 1)), ' ', 1) FROM benchmark) AS x WHERE regexp_matches(alias, '^[a-z0-9](.*[a-z0-9])?$')),
-    hits AS (SELECT doc_id, company_name, length(alias) AS n FROM documents JOIN a ON
-      regexp_matches(lower(text), '(^|[^a-z0-9])' || regexp_escape(alias) || '([^a-z0-9]|$)'))
+        SELECT item_id, lower(regexp_extract(text, '{FIRST_WORDS}', 1)) AS alias FROM benchmark
+        UNION ALL SELECT item_id, lower(regexp_extract(text, '{LAST_WORD}', 1)) FROM benchmark
+        UNION ALL SELECT item_id, lower(unnest(regexp_extract_all(text, '{LONG_WORD}', 1))) FROM benchmark) AS x WHERE alias <> ''),
+    hits AS (SELECT doc_id, company_name, length(alias) AS n FROM documents JOIN a ON contains(lower(text), alias)
+      WHERE regexp_matches(lower(text), '(^|[^a-z0-9])' || regexp_escape(alias) || '([^a-z0-9]|$)'))
     SELECT doc_id, arg_max(company_name, (n, company_name)) AS company_name FROM hits GROUP BY doc_id""",
 )
 def mention_match(t: Tables):
-    phrase = F.lower(F.regexp_extract("text", PHRASE, 1))
     names = F.concat(F.lit("item "), F.col("item_id").cast("string"))
-    aliases = (
-        t.benchmark.select(names.alias("company_name"), F.explode(F.array(phrase, F.split_part(phrase, F.lit(" "), F.lit(1)))).alias("alias"))
-        .where(F.col("alias").rlike("^[a-z0-9](.*[a-z0-9])?$"))
-        .distinct()
-    )
+    parts = F.concat(F.array(F.regexp_extract("text", FIRST_WORDS, 1), F.regexp_extract("text", LAST_WORD, 1)), F.regexp_extract_all("text", F.lit(LONG_WORD), F.lit(1)))
+    aliases = t.benchmark.select(names.alias("company_name"), F.explode(F.transform(parts, lambda p: F.lower(p))).alias("alias")).where("alias <> ''").distinct()
     return mentions.match_mentions(t.documents, aliases, "doc_id")
 
 

@@ -294,14 +294,14 @@ def document_families(t: Tables):
 @query(
     "text_keys",
     """SELECT doc_id, trim(replace(replace(replace(lower(head), ' ', '-'), '.', '-'), ',', ''), '-') AS slug,
-      substr(trim(regexp_replace(lower(head), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60) AS job_slug, substr(sha256(source || head), 1, 16) AS url_key,
-      substr(md5(head || ':' || lang || ':' || source), 1, 8) AS fingerprint, substr(md5(text), 1, 16) AS page_hash
-    FROM (SELECT *, substr(split_part(text, chr(10), 1), 1, 90) AS head FROM documents) AS x""",
+      trim(regexp_replace(lower(head), '[^a-z0-9]+', '-', 'g'), '-') AS job_slug, substr(trim(regexp_replace(lower(head), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60) AS short_slug,
+      substr(sha256(source || head), 1, 16) AS url_key, substr(md5(head || ':' || lang || ':' || source), 1, 8) AS fingerprint, substr(md5(text), 1, 16) AS page_hash
+    FROM (SELECT *, text AS head FROM documents) AS x""",
 )
 def text_keys(t: Tables):
-    head = F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 90)
+    head = F.col("text")
     return t.documents.select(
-        "doc_id", text.company_slug(head).alias("slug"), text.job_slug(head).alias("job_slug"), text.role_key(F.concat("source", head)).alias("url_key"),
+        "doc_id", text.company_slug(head).alias("slug"), text.job_slug(head).alias("job_slug"), text.job_slug(head, 60).alias("short_slug"), text.role_key(F.concat("source", head)).alias("url_key"),
         text.job_fingerprint(head, F.col("lang"), F.col("source")).alias("fingerprint"), text.page_hash(F.col("text")).alias("page_hash"),
     )
 

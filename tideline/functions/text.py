@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
 from collections.abc import Iterable
+from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +25,16 @@ def found_in(text: Column, words: Iterable[str], whole_word: bool = False) -> Co
     return F.array_compact(F.array(*[F.when(p, F.lit(w)) for p, w in zip(probes, words)]))
 
 
+def cut(text: Column, length: int | None) -> Column:
+    """The first ``length`` characters; all of them without a length."""
+    return text if length is None else F.substring(text, 1, length)
+
+
+def first_of(values: Column, n: int | None) -> Column:
+    """The first ``n`` items of an array; all of them without a number."""
+    return values if n is None else F.slice(values, 1, n)
+
+
 def nonblank(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 
@@ -32,10 +44,10 @@ def company_slug(name: Column) -> Column:
     return F.trim(F.translate(F.lower(name), " .,", "--"), F.lit("-"))
 
 
-def job_slug(title: Column) -> Column:
-    """P11"""
+def job_slug(title: Column, length: int | None = None) -> Column:
+    """The whole slug, which is the key of a job; cut only for display."""
     dashed = F.regexp_replace(F.lower(title), "[^a-z0-9]+", "-")
-    return F.substring(F.trim(dashed, F.lit("-")), 1, 60)
+    return cut(F.trim(dashed, F.lit("-")), length)
 
 
 def fingerprint(*parts: Column) -> Column:
@@ -65,39 +77,26 @@ def page_hash(html: Column) -> Column:
     return F.substring(F.md5(html), 1, 16)
 
 
-# Character references decoded by `tidy`. Fixed values.
-ENTITIES = {
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&apos;": "'",
-    "&#39;": "'",
-    "&#x27;": "'",
-    "&#038;": "&",
-    "&#8211;": "–",
-    "&#8212;": "—",
-    "&#8216;": "‘",
-    "&#8217;": "’",
-    "&#8220;": "“",
-    "&#8221;": "”",
-    "&#8230;": "…",
-    "&ndash;": "–",
-    "&mdash;": "—",
-    "&lsquo;": "‘",
-    "&rsquo;": "’",
-    "&ldquo;": "“",
-    "&rdquo;": "”",
-    "&hellip;": "…",
-    "&nbsp;": " ",
-    "&#160;": " ",
-    "&amp;": "&",
-}
+def _reference(name: Column) -> Column:
+    """What a character reference, without ``&`` and ``;``, stands for; null if nothing."""
+    number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 100), 16, 10)).otherwise(F.substring(name, 2, 100))
+    code = number.try_cast("bigint")
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    letter = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0")), "UTF-32")
+    names = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
+    return F.when(name.startswith("#"), F.coalesce(letter, F.lit("\ufffd"))).otherwise(F.try_element_at(names, name))
 
 
 def unescape(text: Column) -> Column:
-    """Decode the references of ``ENTITIES``; ``&amp;`` comes last so that no
-    reference is decoded twice."""
-    return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), ENTITIES.items(), text)
+    """Decode all named and numeric character references, each once; what is none
+    stays as it is."""
+
+    def decoded(piece: Column, at: Column) -> Column:
+        name = F.regexp_extract(piece, "^(#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*);", 1)
+        value = F.when(name != "", _reference(name))
+        return F.when(at == 0, piece).otherwise(F.coalesce(F.concat(value, F.substr(piece, F.length(name) + 2)), F.concat(F.lit("&"), piece)))
+
+    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "&"), decoded), "")).otherwise(text)
 
 
 def squeeze(text: Column) -> Column:

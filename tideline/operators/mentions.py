@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
 def aliases_of(registry: DataFrame) -> DataFrame:
     """Registry (name, aliases) to the long alias table (company_name, alias):
     the lower-cased name, without dots, with dots and dashes as blanks, and the
@@ -25,35 +26,58 @@ def aliases_of(registry: DataFrame) -> DataFrame:
     )
 
 
-def _word_sequences(text: Column, n: int) -> Column:
-    """All sequences of ``n`` whole word runs with what stands between them; the
-    look-ahead lets them overlap."""
-    pattern = rf"(?<![a-z0-9])(?=([a-z0-9]+(?:[^a-z0-9]+[a-z0-9]+){{{n - 1}}})(?![a-z0-9]))"
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+CORE = r"(?s)[a-z0-9](?:.*[a-z0-9])?"
+
+
+def _sequences(words: Column, lengths: list[int]) -> Column:
+    """All runs of ``n`` words with what stands between them, for each length. ``words``
+    are the word runs of a text, each with the separator behind it."""
 
+    def runs(n: int) -> Column:
+        whole = lambda i: F.regexp_replace(F.array_join(F.slice(words, i, n), ""), "[^a-z0-9]+$", "")
+        return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), whole)).otherwise(F.array().cast("array<string>"))
 
-def mention_candidates(texts: DataFrame, aliases: DataFrame, key: str, longest: int) -> DataFrame:
-    """All (key, company_name, alias) where an alias of at most ``longest`` words
-    occurs in the text (column ``text``) between word limits.
+    return F.array_distinct(F.concat(*[runs(n) for n in lengths]))
 
-    An alias that starts and ends with a word character is a sequence of whole
-    word runs with the separators between them. So every sequence of 1..longest
-    words of the text becomes a row, once per text, and an equi-join finds the
-    aliases; no pattern is tried against every text."""
+
+def mention_candidates(texts: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
+    """All (key, alias) where an alias occurs in the text (column ``text``) with no
+    [a-z0-9] before or behind it.
+
+    The core of an alias, from its first to its last [a-z0-9], is a sequence of whole
+    word runs wherever it occurs. Texts are cut into words once, sequences of the
+    lengths that aliases have become rows, and an equi-join finds the cores. Only where
+    an alias goes beyond its core, the text is searched for the whole of it. An alias
+    without [a-z0-9] is looked up by its first character in the same way."""
     low = F.lower("text")
-    grams = F.array_distinct(F.concat(*[_word_sequences(low, n) for n in range(1, longest + 1)]))
-    rows = texts.select(key, F.explode(grams).alias("alias"))
-    return rows.join(aliases, "alias").select(key, "company_name", "alias").distinct()
+    known = aliases.select("alias").distinct().withColumn("core", F.regexp_extract("alias", CORE, 0))
+    worded = known.where("core <> ''").withColumn("n", F.regexp_count("core", F.lit("[a-z0-9]+")))
+    lengths = sorted(r[0] for r in worded.select("n").distinct().collect())  # one number for each length of an alias
+    narrow = texts.select(key, low.alias("low"))
+    found = []
+    if lengths:
+        words = narrow.withColumn("words", F.regexp_extract_all("low", F.lit("(?s)[a-z0-9]+[^a-z0-9]*"), F.lit(0)))
+        rows = words.select(key, F.explode(_sequences(F.col("words"), lengths)).alias("core"))
+        cores = rows.join(worded, "core").select(key, "alias", "core")
+        found.append(cores.where("alias = core").select(key, "alias"))
+        found.append(_holding(cores.where("alias <> core").select(key, "alias"), narrow, key))
+    bare = known.where("core = ''").withColumn("mark", F.substring("alias", 1, 1)).select("alias", "mark")
+    marks = narrow.select(key, F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("[^a-z0-9\\s]"), F.lit(0)))).alias("mark"))
+    found.append(_holding(marks.join(bare, "mark").select(key, "alias"), narrow, key))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _holding(pairs: DataFrame, narrow: DataFrame, key: str) -> DataFrame:
+    quoted = F.concat(F.lit("(?<![a-z0-9])"), F.regexp_replace("alias", r"([\\\[\](){}.*+?^$|#&~-])", r"\\$1"), F.lit("(?![a-z0-9])"))
+    return pairs.distinct().join(narrow, key).where(F.regexp_like("low", quoted)).select(key, "alias")
 
 
-def match_mentions(texts: DataFrame, aliases: DataFrame, key: str, longest: int | None = None) -> DataFrame:
+def match_mentions(texts: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
     """The company of every text with a mention: longest alias wins, then the
-    greater name. ``longest`` is the word count of the longest alias, taken from
-    the alias table when not given."""
-    usable = aliases.where(F.col("alias").rlike("^[a-z0-9](.*[a-z0-9])?$"))
-    if longest is None:
-        words = F.regexp_count("alias", F.lit("[a-z0-9]+"))
-        longest = usable.agg(F.max(words)).first()[0] or 1
-    found = mention_candidates(texts, usable, key, int(longest))
+    greater name. All aliases of a company count, not only the first that its list
+    has in the text. Of companies with one alias only the greater name can win, so an
+    alias becomes one row before texts are joined."""
+    named = aliases.where("alias <> ''").groupBy("alias").agg(F.max("company_name").alias("company_name"))
+    found = mention_candidates(texts, named, key).join(named, "alias")
     best = F.max(F.struct(F.length("alias").alias("n"), F.col("company_name"))).alias("best")
     return found.groupBy(key).agg(best).select(key, F.col("best.company_name").alias("company_name"))
