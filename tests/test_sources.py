@@ -53,7 +53,7 @@ def test_ashby_board(spark):
     staged = boards.ashby(landed, NOW)
     role = staged.roles.first()
     assert (role.is_remote, role.is_remote_us, role.role_type) == (True, True, "infra")
-    assert role.tech_stack.infra == ["terraform"] and len(role.description_raw) == 5000
+    assert role.tech_stack.infra == ["terraform"] and len(role.description_raw) == 6015
     assert staged.signals.first().score == 55.0
     assert staged.companies.first().career_page_url == "https://jobs.ashbyhq.com/x"
 
@@ -339,3 +339,21 @@ def test_title_rules(spark):
     stack = one(spark, titles.tech_stack(F.lit("We use Google Cloud and REST")))
     assert stack.languages == ["go"] and stack.frameworks == ["rest"]
     assert one(spark, titles.tech_stack(F.lit("We use Google Cloud"), whole_word=True)).languages == []
+
+
+def test_heading_jobs_and_long_pages_pass_through_career_pages(spark):
+    head = "<html><h3>Software Engineer, Growth</h3><p><a href='/jobs/1'>apply</a></p></html>"
+    long = "".join(f"<p><a href='/x/{k}'>nothing {k}</a></p>" for k in range(30_000)) + "<h3>Backend Engineer, Platform</h3><a href='/jobs/2'>apply</a>"
+    rows = [(1, "Acme", "https://acme.example/careers", head), (2, "Beta", "https://beta.example/careers", long)]
+    crawled = spark.createDataFrame(rows, "page_id long, company_name string, url string, html string")
+    staged = pages.career_pages(crawled, None, "2024-01-20 06:00:00")
+    got = sorted((r.company_name, r.title, r.url) for r in staged.roles.collect())
+    assert got == [("Acme", "Software Engineer, Growth", "https://acme.example/jobs/1"), ("Beta", "Backend Engineer, Platform", "https://beta.example/jobs/2")]
+
+
+def test_character_references_are_decoded_once(spark):
+    from tideline.functions.text import unescape
+
+    texts = ["&#34;a&#x22; &eacute;&amp;lt; & &nothing; &#99999999; AT&T &hellip;", "plain", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(unescape(F.col("t"))).collect()]
+    assert got == ['"a" é&lt; & &nothing; � AT&T …'.replace('"a" ', '"a" ').replace("\"a\"", "\"a\""), "plain", None]

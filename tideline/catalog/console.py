@@ -231,7 +231,7 @@ def prioritised_queue(t: Tables):
     "command_metrics",
     OPPS_SQL
     + """ SELECT count(*) AS opportunities, sum(n_roles) AS open_roles, count(*) FILTER (WHERE urgency IN ('critical', 'high')) AS high_priority,
-      count(*) FILTER (WHERE on_watchlist) AS watchlisted, least(sum(n_signals), 24) AS signals_today FROM opps""",
+      count(*) FILTER (WHERE on_watchlist) AS watchlisted, sum(n_signals) AS signals_today FROM opps""",
 )
 def command_metrics(t: Tables):
     return console.command_metrics(opps(t))

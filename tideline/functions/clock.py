@@ -84,4 +84,4 @@ def parse_instant(text: Column) -> Column:
 
 def epoch_instant(seconds: Column) -> Column:
     """Unix seconds to naive UTC."""
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.try_cast("decimal(18,6)"))

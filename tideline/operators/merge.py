@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.clock import age_days, instant
 from tideline.functions.numbers import truthy
-from tideline.functions.text import company_slug, job_slug, signal_key
+from tideline.functions.text import company_slug, cut, job_slug, signal_key
 from tideline.operators.ranking import first_wins
 
 STACK_PARTS = ("languages", "frameworks", "infra")
@@ -119,9 +119,12 @@ def merge_companies(companies: DataFrame, staged: DataFrame, as_of: str, seq: st
 # --- signals (M2, J4, M11) ---------------------------------------------------------
 
 
-def new_signals(staged: DataFrame, stored: DataFrame, seq: str = "seq") -> DataFrame:
+def new_signals(
+    staged: DataFrame, stored: DataFrame, seq: str = "seq", headline_length: int | None = None, detail_length: int | None = None
+) -> DataFrame:
     """Staged rows (company_id, company_name, type, ..., seq) whose key is not
-    stored yet, first occurrence only, texts cut to their column sizes.
+    stored yet, first occurrence only. Undated signals have a null day and are found
+    among the stored ones without a day.
 
     The key holds the date of the signal, so a duplicate can only lie in the same
     ``signal_day``; with the stored table partitioned by that column the lookup
@@ -133,9 +136,11 @@ def new_signals(staged: DataFrame, stored: DataFrame, seq: str = "seq") -> DataF
         }
     )
     keys = ["company_id", "signal_day", "dedup_key"]
-    fresh = keyed.join(stored.select(*keys), keys, "left_anti")
+    held = stored.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    fresh = keyed.join(held, same[0] & same[1] & same[2], "left_anti")
     return first_wins(fresh, keys, [seq]).withColumns(
-        {"headline": F.substring("headline", 1, 512), "detail": F.substring("detail", 1, 2000)}
+        {"headline": cut(F.col("headline"), headline_length), "detail": cut(F.col("detail"), detail_length)}
     )
 
 
@@ -160,7 +165,7 @@ def collapse_roles(staged: DataFrame, seq: str = "seq") -> DataFrame:
     rows = staged.where(_given(F.col("url"))).groupBy("url").agg(
         _first(F.col("company_id"), seq).alias("company_id"),
         F.max_by(latest, F.col(seq)).alias("latest"),
-        *[F.substring(_last(F.col(c), _given(F.col(c)), seq), 1, 10000).alias(c) for c in ROLE_KEEP_IF_EMPTY],
+        *[_last(F.col(c), _given(F.col(c)), seq).alias(c) for c in ROLE_KEEP_IF_EMPTY],
         F.count(F.lit(1)).alias("staged_rows"),
     )
     return rows.select("url", "company_id", "latest.*", *ROLE_KEEP_IF_EMPTY, "staged_rows")
@@ -296,10 +301,10 @@ def page_jobs(snapshots: DataFrame) -> DataFrame:
 def snapshot_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
     """Job rows (company_id, page_hash, pos, title, location, url) of two
     crawls to added / removed / changed slugs. Companies without an earlier crawl
-    and companies whose page hash is the same are left out. ``current`` must carry
+    and companies none of whose page hashes changed are left out. ``current`` must carry
     a row per crawled company even when it lists no job (title null)."""
-    hashes = previous.groupBy("company_id").agg(F.max("page_hash").alias("old_hash")).join(
-        current.groupBy("company_id").agg(F.max("page_hash").alias("new_hash")), "company_id"
+    hashes = previous.groupBy("company_id").agg(F.sort_array(F.collect_set("page_hash")).alias("old_hash")).join(
+        current.groupBy("company_id").agg(F.sort_array(F.collect_set("page_hash")).alias("new_hash")), "company_id"
     )
     moved = hashes.where(~F.col("old_hash").eqNullSafe(F.col("new_hash"))).select("company_id")
     old = page_jobs(previous.join(moved, "company_id", "left_semi")).withColumnRenamed("job", "old")

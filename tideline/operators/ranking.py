@@ -73,7 +73,7 @@ def union_first_wins(sources: list[DataFrame], keys: list[Column | str], seq: st
     return first_wins(union, keys, ["_source", seq]).drop("_source")
 
 
-def first_wins_two_keys(rows: DataFrame, key_a: str, key_b: str, seq: str, max_rounds: int = 100) -> DataFrame:
+def first_wins_two_keys(rows: DataFrame, key_a: str, key_b: str, seq: str) -> DataFrame:
     """W4 on two keys (H4): rows are taken in ``seq`` order and a row is dropped
     when either key was taken before; exactly that result, in parallel rounds.
 
@@ -85,7 +85,7 @@ def first_wins_two_keys(rows: DataFrame, key_a: str, key_b: str, seq: str, max_r
     """
     open_rows = rows.groupBy(key_a, key_b).agg(F.min(seq).alias(seq))
     kept: list[DataFrame] = []
-    for _ in range(max_rounds):
+    while True:
         open_rows = cut_lineage(open_rows)
         if open_rows.isEmpty():
             break
@@ -101,8 +101,6 @@ def first_wins_two_keys(rows: DataFrame, key_a: str, key_b: str, seq: str, max_r
         open_rows = open_rows.join(winners.select(key_a), key_a, "left_anti").join(
             winners.select(key_b), key_b, "left_anti"
         )
-    else:
-        raise RuntimeError("two-key dedupe did not settle; raise max_rounds")
     if not kept:
         return rows.limit(0)
     winners = reduce(DataFrame.unionByName, kept)

@@ -494,7 +494,7 @@ def command_metrics(opps: DataFrame) -> DataFrame:
         F.coalesce(F.sum("open_roles"), F.lit(0)).alias("open_roles"),
         count_where(F.col("urgency").isin("critical", "high")).alias("high_priority"),
         count_where(F.col("watchlisted")).alias("watchlisted"),
-        F.least(F.coalesce(F.sum("signal_count"), F.lit(0)), F.lit(24)).alias("signals_today"),
+        F.coalesce(F.sum("signal_count"), F.lit(0)).alias("signals_today"),
     )
 
 

@@ -14,20 +14,13 @@ from tideline.plans import scoring
 from tideline.schemas import STAGED_COMPANY, TABLES, Staged, conform
 from tideline.sources.store import TableStore
 
-MAX_LISTED_DAYS = 400
-
 
 def stored_days(signals: DataFrame, staged: DataFrame) -> DataFrame:
-    """Stored signals of the days in the batch. The days of a batch are bounded by
-    the calendar; beyond a year of them the range is read instead of the list."""
-    days = F.to_date("signal_date")
-    low, high, n = staged.agg(F.min(days), F.max(days), F.approx_count_distinct(days)).first()
-    if low is None:
-        return signals.limit(0)
-    if n <= MAX_LISTED_DAYS:
-        listed = [r[0] for r in staged.select(days.alias("d")).distinct().collect() if r[0] is not None]
-        return signals.where(F.col("signal_day").isin(listed))
-    return signals.where(F.col("signal_day").between(F.lit(low), F.lit(high)))
+    """Stored signals of the days in the batch, and the undated ones. The days are
+    joined, so that Spark prunes the stored partitions when it runs, however many
+    days a batch has."""
+    days = staged.select(F.to_date("signal_date").alias("signal_day")).distinct()
+    return signals.join(days, "signal_day", "left_semi").unionByName(signals.where("signal_day IS NULL"))
 
 
 def _named_only(names: DataFrame) -> DataFrame:

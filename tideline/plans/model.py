@@ -20,7 +20,6 @@ from tideline.plans.dataset import FEATURE_COLUMNS, vector_columns
 
 LABEL = "label_new_roles_next_30d"
 # Leaf values are put into the plan up to this many numbers; beyond it they are joined.
-MAX_INLINE_LEAVES = 200_000
 
 
 @dataclass(frozen=True)
@@ -103,31 +102,13 @@ def load(spark: SparkSession, path: str) -> Artifact:
 def predict(artifact: Artifact, features: DataFrame, key: tuple[str, ...] = ("company_id", "as_of_date")) -> DataFrame:
     """ML4: prediction, model score, and a confidence from the spread of the trees.
 
-    Leaf numbers of all trees come with the prediction; their values are looked up
-    in arrays inside the plan while the forest is small, else by a join on
-    (tree, leaf) after one explode."""
+    Leaf numbers of all trees come with the prediction; their values are joined on
+    (tree, leaf) after one explode, whatever the size of the forest."""
     scored = artifact.pipeline.transform(vector_columns(features)).withColumn("leaf_ids", vector_to_array("leaves"))
     rows = scored.select(*key, F.greatest("raw_prediction", F.lit(0.0)).alias("prediction"), "leaf_ids")
-    if artifact.leaves.count() <= MAX_INLINE_LEAVES:
-        values: dict[int, list[float]] = {}
-        for r in artifact.leaves.orderBy("tree", "leaf").collect():
-            values.setdefault(r["tree"], []).append(r["value"])
-        # A constant of checked size: folded once, shared by all rows of a task.
-        leaf_values = F.from_json(F.lit(json.dumps([values[t] for t in sorted(values)])), "array<array<double>>")
-        rows = rows.withColumn(
-            "per_tree", F.transform("leaf_ids", lambda leaf, tree: F.get(F.get(leaf_values, tree), leaf.cast("int")))
-        )
-        rows = rows.withColumn("mean", F.aggregate("per_tree", F.lit(0.0), lambda a, v: a + v) / F.size("per_tree"))
-        squares = F.aggregate(
-            F.transform("per_tree", lambda v: (v - F.col("mean")) * (v - F.col("mean"))), F.lit(0.0), lambda a, v: a + v
-        )
-        rows = rows.withColumn("deviation", F.sqrt(squares / F.size("per_tree")))
-    else:
-        longer = rows.select(*key, F.posexplode("leaf_ids").alias("tree", "leaf"))
-        spread = (
-            longer.join(artifact.leaves, ["tree", "leaf"]).groupBy(*key).agg(F.stddev_pop("value").alias("deviation"))
-        )
-        rows = rows.join(spread, list(key))
+    longer = rows.select(*key, F.posexplode("leaf_ids").alias("tree", "leaf"))
+    spread = longer.join(artifact.leaves, ["tree", "leaf"]).groupBy(*key).agg(F.stddev_pop("value").alias("deviation"))
+    rows = rows.join(spread, list(key))
     scale = F.greatest(F.abs("prediction"), F.lit(2.0))
     confidence = clamp((1.0 - F.least(F.col("deviation") / scale, F.lit(1.0))) * 100.0, 0.0, 100.0)
     score = clamp(F.col("prediction") / F.lit(artifact.meta["score_scale"]) * 100.0, 0.0, 100.0)

@@ -123,11 +123,10 @@ def ashby(landed: DataFrame, as_of: str) -> Staged:
         .where(titles.is_target(F.col("title")))
     )
     remote, remote_us = titles.remote_flags("ashby", F.col("location"), F.col("declared"))
-    # The stored description is cut at the column size; the stack is read from the whole text.
     roles = with_role_columns(jobs, F.col("title"), F.col("full_text")).withColumns(
         {
             "is_remote": remote, "is_remote_us": remote_us, "source": F.lit("ats_ashby"),
-            "description_raw": F.substring("full_text", 1, 5000),
+            "description_raw": F.col("full_text"),
         }
     )
     now = instant(as_of)
@@ -198,15 +197,15 @@ def portfolio(landed: DataFrame, as_of: str) -> Staged:
         lambda label: label != "",
     )
     where = F.coalesce(
-        F.nullif(F.array_join(F.slice("places", 1, 3), ", "), F.lit("")), F.array_join(F.slice(labels, 1, 3), ", "), F.lit("")
+        F.nullif(F.array_join(F.col("places"), ", "), F.lit("")), F.array_join(labels, ", "), F.lit("")
     )
     located = complete.withColumn("place_text", where)
     remote, _ = titles.remote_flags("portfolio", F.col("place_text"), F.col("declared"))
     summary = F.array_join(
         F.array_compact(
             F.array(
-                F.when(F.size("markets") > 0, F.concat(F.lit("Markets: "), F.array_join(F.slice("markets", 1, 4), ", "))),
-                F.when(F.size("skills") > 0, F.concat(F.lit("Skills: "), F.array_join(F.slice("skills", 1, 6), ", "))),
+                F.when(F.size("markets") > 0, F.concat(F.lit("Markets: "), F.array_join(F.col("markets"), ", "))),
+                F.when(F.size("skills") > 0, F.concat(F.lit("Skills: "), F.array_join(F.col("skills"), ", "))),
             )
         ),
         " | ",
@@ -230,7 +229,7 @@ def portfolio(landed: DataFrame, as_of: str) -> Staged:
         "company_name", "title", "url", F.lit("career_page").alias("source"), F.col("description").alias("description_raw"),
         titles.role_type(F.col("title")).alias("role_type"), titles.seniority(F.col("title")).alias("seniority"),
         F.col("remote").alias("is_remote"), F.col("remote").alias("is_remote_us"), "location", "tech_stack",
-        F.slice("skills", 1, 12).alias("required_skills"), "seq",
+        F.col("skills").alias("required_skills"), "seq",
     )
     signals = jobs.select(
         "company_name", F.lit("career_page").alias("type"),

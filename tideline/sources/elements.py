@@ -146,7 +146,7 @@ def _block_after(tree: _Tree, node: _Node) -> str:
     return "\n".join(lines)
 
 
-def elements_of(html: str) -> Iterator[tuple]:
+def elements_of(html: str, parents: bool = False) -> Iterator[tuple]:
     """Rows of `ELEMENT_DDL` for links, headings, job-box parts, structured-data
     scripts, and one ``#lines`` row with the text of the whole page."""
     tree = _Tree()
@@ -166,7 +166,7 @@ def elements_of(html: str) -> Iterator[tuple]:
             node.seq, node.tag, " ".join(node.classes), node.attrs.get("href"), tree.text(node), box, kind, part,
             next_link[node.seq] if node.tag in HEADINGS else None,
             _block_after(tree, node) if node.tag in ("h2", "h3") else None,
-            tree.text(node.parent) if node.tag == "a" else None,
+            tree.text(node.parent) if parents and node.tag == "a" else None,
         )
     for node, data in tree.scripts:
         if node.attrs.get("type") == "application/ld+json":
@@ -174,8 +174,9 @@ def elements_of(html: str) -> Iterator[tuple]:
     yield (len(tree.nodes), "#lines", "", None, "\n".join(tree.pieces), None, None, None, None, None, None)
 
 
-def page_elements(pages: DataFrame, key: str = "page_id", tags: tuple[str, ...] | None = None) -> DataFrame:
-    """Element table of ``pages`` (key, html). ``tags`` keeps only these tags."""
+def page_elements(pages: DataFrame, key: str = "page_id", tags: tuple[str, ...] | None = None, parents: bool = False) -> DataFrame:
+    """Element table of ``pages`` (key, html). ``tags`` keeps only these tags; with
+    ``parents`` every link carries the text around it."""
     key_type = dict(pages.dtypes)[key]
     names = [f.split()[0] for f in ELEMENT_DDL.split(",")]
 
@@ -183,7 +184,7 @@ def page_elements(pages: DataFrame, key: str = "page_id", tags: tuple[str, ...]
         for batch in batches:
             rows: list[tuple] = []
             for page, html in zip(batch[key], batch["html"]):
-                rows += [(page, *e) for e in elements_of(html) if tags is None or e[1] in tags]
+                rows += [(page, *e) for e in elements_of(html, parents) if tags is None or e[1] in tags]
                 if len(rows) >= 5000:
                     yield pd.DataFrame(rows, columns=[key, *names])
                     rows = []

@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from tideline.functions.clock import epoch_instant, instant, parse_instant, shift
 from tideline.functions.scores import with_entry_scores
-from tideline.functions.text import nonblank, site_origin, squeeze, tidy
+from tideline.functions.text import cut, nonblank, site_origin, squeeze, tidy
 from tideline.operators.mentions import match_mentions
 from tideline.operators.ranking import first_wins
 from tideline.schemas import Staged
 
 RECENT_DAYS = 14
-FEED_ITEMS = 40
 
 # Item elements are taken as text; XML prefixes are dropped by the reader.
 RSS = (
@@ -31,13 +30,13 @@ def _first(*columns: str) -> Column:
     return F.coalesce(*[nonblank(F.col(c)) for c in columns], F.lit(""))
 
 
-def rss_items(landed: DataFrame, first_items: int = FEED_ITEMS) -> DataFrame:
-    """The first ``first_items`` items of every feed payload (landed, feed, body)."""
+def rss_items(landed: DataFrame, first_items: int | None = None) -> DataFrame:
+    """Items of every feed payload (landed, feed, body); all, or the first ``first_items``."""
     parsed = landed.withColumn("x", F.from_xml("body", RSS, XML_OPTIONS))
     keep = [c for c in landed.columns if c != "body"]
     return (
         parsed.select(*keep, F.posexplode("x.channel.item").alias("pos", "i"))
-        .where(F.col("pos") < first_items)
+        .where(F.lit(True) if first_items is None else F.col("pos") < first_items)
         .select(
             *keep,
             F.struct(F.col("landed").cast("bigint").alias("landed"), F.col("pos")).alias("seq"),
@@ -50,13 +49,13 @@ def rss_items(landed: DataFrame, first_items: int = FEED_ITEMS) -> DataFrame:
     )
 
 
-def atom_entries(landed: DataFrame, first_items: int = FEED_ITEMS) -> DataFrame:
+def atom_entries(landed: DataFrame, first_items: int | None = None) -> DataFrame:
     parsed = landed.withColumn("x", F.from_xml("body", ATOM, XML_OPTIONS))
     keep = [c for c in landed.columns if c != "body"]
     main = F.filter("i.link", lambda a: (F.coalesce(a["_href"], F.lit("")) != "") & F.coalesce(a["_rel"], F.lit("alternate")).isin("alternate", ""))
     return (
         parsed.select(*keep, F.posexplode("x.entry").alias("pos", "i"))
-        .where(F.col("pos") < first_items)
+        .where(F.lit(True) if first_items is None else F.col("pos") < first_items)
         .select(
             *keep,
             F.struct(F.col("landed").cast("bigint").alias("landed"), F.col("pos")).alias("seq"),
@@ -69,12 +68,12 @@ def atom_entries(landed: DataFrame, first_items: int = FEED_ITEMS) -> DataFrame:
     )
 
 
-def feed_entries(landed: DataFrame, as_of: str) -> DataFrame:
+def feed_entries(landed: DataFrame, as_of: str, first_items: int | None = None) -> DataFrame:
     """Entries of RSS and Atom payloads of the last 14 days, with title and link;
     an undated entry counts as new."""
     now = instant(as_of)
     is_atom = F.col("body").rlike(r"(?s)^\s*(?:<\?xml[^>]*\?>\s*)?(?:<!--.*?-->\s*)*<(?:\w+:)?feed\b")
-    both = rss_items(landed.where(~is_atom)).unionByName(atom_entries(landed.where(is_atom)))
+    both = rss_items(landed.where(~is_atom), first_items).unionByName(atom_entries(landed.where(is_atom), first_items))
     entries = both.withColumns({"published_at": F.coalesce("published_at", now), "summary": tidy(F.col("summary_raw"))})
     return entries.where((F.col("title") != "") & (F.col("link") != "") & (F.col("published_at") >= shift(now, days=-RECENT_DAYS))).drop("summary_raw")
 
@@ -82,7 +81,7 @@ def feed_entries(landed: DataFrame, as_of: str) -> DataFrame:
 FORUM_ITEM = "id bigint, type string, title string, text string, url string, `by` string, time bigint, dead boolean, deleted boolean"
 
 
-def forum_items(landed: DataFrame, as_of: str, item_url: str = "https://news.ycombinator.com/item?id=") -> DataFrame:
+def forum_items(landed: DataFrame, as_of: str, item_url: str = "https://news.ycombinator.com/item?id=", title_length: int | None = None) -> DataFrame:
     """Live stories and comments of the last 14 days as entries."""
     now = instant(as_of)
     items = landed.select("landed", F.from_json("body", FORUM_ITEM).alias("i")).select("landed", "i.*")
@@ -94,7 +93,7 @@ def forum_items(landed: DataFrame, as_of: str, item_url: str = "https://news.yco
     summary = tidy(F.coalesce(F.nullif("text", F.lit("")), title))
     return live.withColumns({"published_at": at, "summary": summary, "head": title}).where(F.col("published_at") >= shift(now, days=-RECENT_DAYS)).select(
         F.struct(F.col("landed").cast("bigint").alias("landed"), F.lit(0).alias("pos")).alias("seq"),
-        F.coalesce(F.nullif("head", F.lit("")), F.substring("summary", 1, 180)).alias("title"),
+        F.coalesce(F.nullif("head", F.lit("")), cut(F.col("summary"), title_length)).alias("title"),
         F.coalesce(nonblank(F.col("url")), F.concat(F.lit(item_url), F.col("id").cast("string"))).alias("link"),
         "summary", "published_at", F.coalesce("by", F.lit("")).alias("author"),
         # Mentions are looked up in the item's own title, which may be empty.
@@ -125,13 +124,13 @@ def social_signals(entries: DataFrame, source: str = "social") -> Staged:
     founder = (F.col("kind") == "founder_post") & (F.coalesce("actor_role", F.lit("")) != "")
     signals = kept.select(
         "company_name", F.col("kind").alias("type"),
-        F.when(founder, F.concat("title", F.lit(" — "), F.lower("actor_role"), F.lit(" hiring signal"))).otherwise(F.substring("title", 1, 200)).alias("headline"),
+        F.when(founder, F.concat("title", F.lit(" — "), F.lower("actor_role"), F.lit(" hiring signal"))).otherwise(F.col("title")).alias("headline"),
         F.trim(
             F.concat(
                 F.lit("Source: "), "source_label", F.lit(". Company: "), "company_name", F.lit(". "),
                 F.when(actor.isNotNull(), F.concat(actor, F.lit(" · "))).otherwise(F.lit("")),
-                F.lit("Matched on "), F.coalesce(F.nullif(F.array_join(F.slice("hits", 1, 4), ", "), F.lit("")), F.lit("team growth language")),
-                F.lit(". "), F.substring("summary", 1, 220),
+                F.lit("Matched on "), F.coalesce(F.nullif(F.array_join("hits", ", "), F.lit("")), F.lit("team growth language")),
+                F.lit(". "), F.col("summary"),
             )
         ).alias("detail"),
         F.col("link").alias("source_url"), F.col("summary").alias("raw_content"), F.col("published_at").alias("signal_date"), "score",

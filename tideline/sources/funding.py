@@ -138,7 +138,7 @@ def headline_events(titles: DataFrame, min_score: float | None = None) -> DataFr
     return _events(scored)
 
 
-def news_feed(landed: DataFrame, as_of: str, first_items: int = 50, max_age_days: int = 14, min_score: float = 30.0) -> DataFrame:
+def news_feed(landed: DataFrame, as_of: str, first_items: int | None = None, max_age_days: int = 14, min_score: float = 30.0) -> DataFrame:
     """Events of a news feed; old items and items without a funding word are out.
     Undated items count as new."""
     now = instant(as_of)
@@ -154,7 +154,7 @@ def news_feed(landed: DataFrame, as_of: str, first_items: int = 50, max_age_days
     return headline_events(rows, min_score)
 
 
-def brief_feed(landed: DataFrame, as_of: str, first_items: int = 30, min_score: float = 35.0) -> DataFrame:
+def brief_feed(landed: DataFrame, as_of: str, first_items: int | None = None, min_score: float = 35.0) -> DataFrame:
     """S6, second feed: title words only, every item counts as new."""
     items = rss_items(landed, first_items).where(contains_any(F.lower("title"), lex.FUNDING_BRIEF_NEWS_WORDS))
     rows = items.select(
@@ -239,7 +239,7 @@ DATE_IN_TEXT = r"([A-Z][a-z]+ \d{1,2}, \d{4}|\d{4}-\d{2}-\d{2}|\d{1,2} [A-Z][a-z
 
 def headline_pages(pages: DataFrame, as_of: str) -> DataFrame:
     """Funding headlines among a page's links; the first link of a title counts."""
-    links = page_elements(pages, tags=("a",)).where("href IS NOT NULL").join(pages.select("page_id", "url"), "page_id")
+    links = page_elements(pages, tags=("a",), parents=True).where("href IS NOT NULL").join(pages.select("page_id", "url"), "page_id")
     links = links.withColumn("title", tidy(F.col("text"))).where(
         (F.length("title") >= 20) & contains_any(F.lower("title"), lex.FUNDING_ANCHOR_WORDS)
     )

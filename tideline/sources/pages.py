@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import lexicons as lex, titles
@@ -14,9 +14,9 @@ from tideline.operators import merge
 from tideline.operators.filters import looks_like_career_page
 from tideline.operators.ranking import first_wins, top_k
 from tideline.schemas import Staged
+from tideline.session import cut_lineage
 from tideline.sources.elements import page_elements
 
-LINK_CAP = 30
 JSON_LD = (
     "`@type` string, `@graph` string, title string, url string, jobLocation string, description string"
 )
@@ -35,6 +35,12 @@ def career_links(pages: DataFrame) -> DataFrame:
     return both.groupBy("page_id", "url").agg(F.min("seq").alias("seq"))
 
 
+def _order(part: int, *places: str) -> Column:
+    """Where a job stands among those of its strategy: its part, then places on the page."""
+    padded = [F.col(p).cast("bigint") for p in places] + [F.lit(0).cast("bigint")] * (3 - len(places))
+    return F.struct(F.lit(part).alias("part"), *[p.alias(n) for p, n in zip(padded, ("seq", "n", "m"))]).alias("order")
+
+
 def _json_ld_jobs(elements: DataFrame) -> DataFrame:
     scripts = elements.where("tag = 'script'").select("page_id", "seq", F.trim("text").alias("text"))
     as_list = F.coalesce(
@@ -46,13 +52,12 @@ def _json_ld_jobs(elements: DataFrame) -> DataFrame:
     rows = items.select("page_id", "seq", "n", F.posexplode(F.coalesce(inner, F.array("item"))).alias("m", "item"))
     job = F.from_json("item", JSON_LD)
     rows = rows.withColumn("job", job).where(F.col("job.`@type`") == "JobPosting")
-    order = F.col("seq") * 100000 + F.col("n") * 1000 + F.col("m")
     return rows.select(
-        "page_id", F.lit(1).alias("priority"), order.cast("bigint").alias("pos"),
+        "page_id", F.lit(1).alias("priority"), _order(0, "seq", "n", "m"),
         F.coalesce("job.title", F.lit("")).alias("title"),
         F.col("job.url").alias("href"),
         F.coalesce(F.get_json_object("job.jobLocation", "$.address.addressLocality"), F.lit("")).alias("location"),
-        F.substring(F.coalesce("job.description", F.lit("")), 1, 500).alias("description"),
+        F.coalesce("job.description", F.lit("")).alias("description"),
     )
 
 
@@ -72,7 +77,7 @@ def _boxed_jobs(elements: DataFrame) -> DataFrame:
         first(text, F.col("box_part") == "location").alias("location"),
     )
     return jobs.where("title IS NOT NULL").select(
-        "page_id", F.lit(2).alias("priority"), F.col("box").cast("bigint").alias("pos"), "title", "href",
+        "page_id", F.lit(2).alias("priority"), _order(0, "box"), "title", "href",
         F.coalesce("location", F.lit("")).alias("location"), F.lit("").alias("description"),
     )
 
@@ -83,16 +88,16 @@ def _semantic_jobs(elements: DataFrame) -> DataFrame:
         .groupBy("page_id", "box")
         .agg(F.min_by(F.struct("text", "href"), "seq").alias("a"))
         .where(F.length("a.text") > 5)
-        .select("page_id", F.lit(3).alias("priority"), F.col("box").cast("bigint").alias("pos"), F.col("a.text").alias("title"), F.col("a.href").alias("href"))
+        .select("page_id", F.lit(3).alias("priority"), _order(0, "box"), F.col("a.text").alias("title"), F.col("a.href").alias("href"))
     )
     length = F.length("text")
     headed = elements.where(F.col("tag").isin("h3", "h4", "h5") & titles.is_target(F.col("text")) & (length > 10) & (length < 100)).select(
-        "page_id", F.lit(3).alias("priority"), (F.col("seq").cast("bigint") + F.lit(2**31)).alias("pos"), F.col("text").alias("title"), F.col("next_href").alias("href")
+        "page_id", F.lit(3).alias("priority"), _order(1, "seq"), F.col("text").alias("title"), F.col("next_href").alias("href")
     )
     return listed.unionByName(headed).withColumns({"location": F.lit(""), "description": F.lit("")})
 
 
-def _linked_jobs(elements: DataFrame) -> DataFrame:
+def _linked_jobs(elements: DataFrame, link_cap: int | None) -> DataFrame:
     links = elements.where(
         (F.col("tag") == "a")
         & F.col("href").isNotNull()
@@ -101,24 +106,27 @@ def _linked_jobs(elements: DataFrame) -> DataFrame:
         & contains_any(F.lower("href"), lex.JOB_HREF_WORDS)
     )
     once = first_wins(links, ["page_id", "text"], ["seq"])
-    # The cap is part of the strategy: a page of more links is not a job list.
-    capped = top_k(once, ["page_id"], [F.asc("seq")], LINK_CAP)
-    return capped.select(
-        "page_id", F.lit(4).alias("priority"), F.col("seq").cast("bigint").alias("pos"), F.col("text").alias("title"), "href",
+    if link_cap is not None:
+        once = top_k(once, ["page_id"], [F.asc("seq")], link_cap)
+    return once.select(
+        "page_id", F.lit(4).alias("priority"), _order(0, "seq"), F.col("text").alias("title"), "href",
         F.lit("").alias("location"), F.lit("").alias("description"),
     )
 
 
-def page_jobs(pages: DataFrame) -> DataFrame:
+def page_jobs(pages: DataFrame, link_cap: int | None = None) -> DataFrame:
     """Jobs per page (page_id, url, html) from the best strategy that finds any:
-    structured data, board markup, job lists and headings, links."""
-    elements = page_elements(pages)
-    found = reduce(DataFrame.unionByName, [_json_ld_jobs(elements), _boxed_jobs(elements), _semantic_jobs(elements), _linked_jobs(elements)])
+    structured data, board markup, job lists and headings, links. ``pos`` numbers the
+    jobs of a page."""
+    # Parsed once; the strategies read the stored elements.
+    elements = cut_lineage(page_elements(pages))
+    found = reduce(DataFrame.unionByName, [_json_ld_jobs(elements), _boxed_jobs(elements), _semantic_jobs(elements), _linked_jobs(elements, link_cap)])
     best = found.groupBy("page_id").agg(F.min("priority").alias("priority"))
     base = pages.select("page_id", F.col("url").alias("base"))
     return (
         found.join(best, ["page_id", "priority"])
         .join(base, "page_id")
+        .withColumn("pos", F.row_number().over(Window.partitionBy("page_id").orderBy("order", "title", "href")))
         .select("page_id", "pos", "title", absolute_url(F.col("base"), F.col("href")).alias("url"), "location", "description")
     )
 
