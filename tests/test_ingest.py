@@ -146,3 +146,18 @@ def test_daily_partitions_are_replaced(spark, tmp_path):
     store.write_daily("role_daily", rows(2, "2024-01-02", "2024-01-03"))
     got = [(str(r.as_of_date), r.n) for r in store.read_daily("role_daily", "2024-01-01", "2024-01-02").orderBy("as_of_date").collect()]
     assert got == [("2024-01-01", 1), ("2024-01-02", 2)]
+
+
+def test_a_run_without_roles_writes_no_role_files(spark, tmp_path):
+    from pathlib import Path
+
+    from tideline.schemas import STAGED_COMPANY, STAGED_ROLE, STAGED_SIGNAL, Staged, conform
+
+    store = TableStore(spark, str(tmp_path / "s"))
+    signal = spark.sql("SELECT 'Acme' AS company_name, 'founder_post' AS type, 'h' AS headline, '' AS detail, 'https://x/1' AS source_url, CAST(NULL AS timestamp_ntz) AS signal_date, 60.0 AS score, named_struct('landed', 1L, 'pos', 0) AS seq")
+    staged = Staged("social", spark.createDataFrame([], STAGED_COMPANY), conform(signal, STAGED_SIGNAL), spark.createDataFrame([], STAGED_ROLE))
+    first = plan.ingest(store, staged, "2024-01-20 06:00:00", "one")
+    assert first["signals_new"] == 1 and not list(Path(tmp_path / "s").glob("roles/*"))
+    assert "roles" not in store.manifest()["tables"]
+    # The undated signal is known in the next run.
+    assert plan.ingest(store, staged, "2024-01-20 18:00:00", "two")["signals_new"] == 0

@@ -12,6 +12,7 @@ from tideline.functions.numbers import count_where
 from tideline.operators import joins, merge
 from tideline.plans import scoring
 from tideline.schemas import STAGED_COMPANY, TABLES, Staged, conform
+from tideline.session import cut_lineage
 from tideline.sources.store import TableStore
 
 
@@ -65,6 +66,8 @@ def _ingest(store, staged, as_of, run_id, profile, predictions) -> dict:
         return folder, store.read_folders(table, [folder])
 
     now = instant(as_of)
+    # Payloads are parsed once; every later step reads the stored staging frames.
+    staged = Staged(staged.source, *(cut_lineage(df) for df in (staged.companies, staged.signals, staged.roles)))
     named = staged.signals.select("company_name").unionByName(staged.roles.select("company_name"))
 
     # Companies: the described ones, then a minimal row for every other name.
@@ -84,17 +87,21 @@ def _ingest(store, staged, as_of, run_id, profile, predictions) -> dict:
 
     # Funding history and the companies' last signal.
     events = merge.funding_events(added.withColumn("seq", F.lit(0)), staged.source)
-    funding_folder, _ = keep("funding_history", merge.merge_funding(store.read("funding_history"), events))
+    replaced = {}
+    if not events.isEmpty():
+        replaced["funding_history"], _ = keep("funding_history", merge.merge_funding(store.read("funding_history"), events))
     bumped = merge.bump_last_signal(companies, added, as_of)
 
-    # Roles, and for a crawl the ones that are gone.
-    roles = joins.resolve_company(staged.roles, companies)
-    merged = merge.merge_roles(store.read("roles"), roles, as_of)
-    counts = merged.agg(count_where(F.col("is_new")).alias("new"), F.coalesce(F.sum("staged_rows"), F.lit(0)).alias("seen")).first()
-    if staged.source == "career_page":
-        crawled = joins.resolve_company(staged.companies.select(F.col("name").alias("company_name")), companies)
-        merged = merge.deactivate_missing(merged.drop("is_new", "staged_rows"), crawled, roles, "career_page", as_of)
-    roles_folder, role_state = keep("roles", scoring.role_fit(merged, profile=profile))
+    # Roles, and for a crawl the ones that are gone; a run without roles leaves them.
+    counts, role_state = {"new": 0, "seen": 0}, store.read("roles")
+    if staged.source == "career_page" or not staged.roles.isEmpty():
+        roles = joins.resolve_company(staged.roles, companies)
+        merged = cut_lineage(merge.merge_roles(role_state, roles, as_of))
+        counts = merged.agg(count_where(F.col("is_new")).alias("new"), F.coalesce(F.sum("staged_rows"), F.lit(0)).alias("seen")).first()
+        if staged.source == "career_page":
+            crawled = joins.resolve_company(staged.companies.select(F.col("name").alias("company_name")), companies)
+            merged = merge.deactivate_missing(merged.drop("is_new", "staged_rows"), crawled, roles, "career_page", as_of)
+        replaced["roles"], role_state = keep("roles", scoring.role_fit(merged, profile=profile))
 
     # Scores of every touched company.
     described_names = staged.companies.select(F.col("name").alias("company_name")).unionByName(named)
@@ -105,21 +112,18 @@ def _ingest(store, staged, as_of, run_id, profile, predictions) -> dict:
         bumped.drop("fit_score", "urgency_score", "composite_score"), role_state, all_signals, as_of, skills,
         predictions, affected=touched, profile=profile,
     ).select("company_id", "fit_score", "urgency_score", "composite_score")
-    companies_folder, _ = keep("companies", merge.apply_updates(bumped, scores, "company_id"))
+    replaced["companies"], _ = keep("companies", merge.apply_updates(bumped, scores, "company_id"))
 
-    # Run summary, commit, publish.
+    # Run summary, publish, commit: a run that dies in between is repeated as a whole
+    # and publishes the same keys again, which readers drop.
     n_companies, n_found = staged.companies.count(), staged.signals.count() + staged.roles.count()
     summary = {
         "run_id": run_id, "source": staged.source, "companies_upserted": n_companies, "signals_new": added.count(),
         "roles_new": counts["new"], "roles_updated": counts["seen"] - counts["new"], "companies_rescored": touched.count(),
     }
     run = _run_row(store, staged.source, run_id, as_of, "success", n_companies + n_found, summary["signals_new"] + summary["roles_new"], None)
-    store.commit(
-        run_id,
-        {"companies": companies_folder, "roles": roles_folder, "funding_history": funding_folder},
-        {"signals": added_folder, "ingest_runs": store.stage("ingest_runs", run, run_id)},
-    )
     store.publish(payloads(added, companies), run_id)
+    store.commit(run_id, replaced, {"signals": added_folder, "ingest_runs": store.stage("ingest_runs", run, run_id)})
     return summary
 
 

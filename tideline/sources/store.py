@@ -9,6 +9,7 @@ its manifest leaves the tables as they were, and a repeated run id is a no-op.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,9 +54,14 @@ class TableStore:
             state["tables"].setdefault(table, []).append(folder)
         state["runs"].append(run_id)
         number = int(names[-1].split(".")[0]) + 1 if names else 0
-        out = self._fs.create(self._path(f"{self.root}/_commits/{number:012d}.json"), False)
+        final, draft = (self._path(f"{self.root}/_commits/{name}") for name in (f"{number:012d}.json", f"_{number:012d}-{uuid.uuid4().hex}"))
+        out = self._fs.create(draft, False)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
+        # A manifest appears under its name whole or not at all.
+        if self._fs.exists(final) or not self._fs.rename(draft, final):
+            self._fs.delete(draft, False)
+            raise RuntimeError(f"another run has committed manifest {number}")
 
     # --- tables ---
 
@@ -113,6 +119,6 @@ class TableStore:
         return f"{self.root}/feed"
 
     def publish(self, payloads: DataFrame, run_id: str) -> None:
-        """New signals as JSON lines for stream readers, after the commit. A repeat of
+        """New signals as JSON lines for stream readers, before the commit. A repeat of
         the run writes the same keys again, which readers drop as duplicates."""
         payloads.write.mode("append").json(self.feed_path)

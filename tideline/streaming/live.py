@@ -117,10 +117,12 @@ class LiveState:
         folder = f"{self.root}/seen"
         if not self._fs.exists(self._path(folder)):
             return once
-        days = [r[0] for r in keyed.select("day").distinct().collect()]
         seen = self.spark.read.schema("id string, day date, batch bigint").parquet(folder)
-        earlier = seen.where((F.col("batch") < batch_id) & F.col("day").isin(days))
-        return once.join(earlier.select("day", "id"), ["day", "id"], "left_anti")
+        days = keyed.select("day").distinct()
+        earlier = seen.where(F.col("batch") < batch_id).join(days, "day", "left_semi")
+        undated = seen.where((F.col("batch") < batch_id) & F.col("day").isNull())
+        held = earlier.unionByName(undated).select(F.col("day").alias("_day"), F.col("id").alias("_id"))
+        return once.join(held, (F.col("id") == F.col("_id")) & F.col("day").eqNullSafe(F.col("_day")), "left_anti")
 
     def advance(self, batch: DataFrame, batch_id: int) -> None:
         """Fold one micro-batch: state of batch n is state of n - 1 plus the batch's
@@ -178,12 +180,14 @@ def start_ingest(
     source: str = "stream", profile: Profile = Profile(), once: bool = False,
 ):
     """T4, T5: each micro-batch is one ingest run: insert-if-new into signals and
-    funding history, and a rescore of the companies it touches. The run id is the
-    batch id, so a replayed batch commits nothing twice."""
+    funding history, and a rescore of the companies it touches. The run id holds the
+    query's id, which its checkpoint keeps, and the batch id, so a replayed batch commits
+    nothing twice and a new checkpoint's batches are runs of their own."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         parts = Staged(source, spark.createDataFrame([], STAGED_COMPANY), batch, spark.createDataFrame([], STAGED_ROLE))
-        ingest_plan.ingest(TableStore(spark, store_root), parts, as_of(batch_id), f"{name}-{batch_id}", profile)
+        query_id = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        ingest_plan.ingest(TableStore(spark, store_root), parts, as_of(batch_id), f"{name}-{query_id}-{batch_id}", profile)
 
     return _for_each(staged, checkpoint, step, once).start()
