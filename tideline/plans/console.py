@@ -248,16 +248,24 @@ def score_opportunities(
 # --- evidence (C9, W6) -----------------------------------------------------------
 
 
-def _evidence(df: DataFrame, place: int, label: Column, source: str | Column, contribution: Column, note: Column, key: Column) -> DataFrame:
-    return df.select(
-        "company_id",
-        F.lit(place).alias("place"),
-        key.cast("bigint").alias("item"),
-        label.alias("label"),
-        (F.lit(source) if isinstance(source, str) else source).alias("source_type"),
-        contribution.cast("int").alias("contribution"),
-        note.alias("note"),
+def _item(place: int, key: Column, label: Column, source: Column, contribution: Column, note: Column) -> Column:
+    points = contribution.cast("int")
+    return F.struct(
+        (-F.abs(points)).alias("order"), F.lit(place).alias("place"), key.cast("bigint").alias("item"), label.alias("label"),
+        source.alias("source_type"), points.alias("contribution"), note.alias("note"),
+    )
+
+
+def _signal_item(s: Column, stage: Column) -> Column:
+    kind = s["type"]
+    label = (
+        F.when(kind == "founder_post", "Founder hiring signal")
+        .when(kind == "funding", F.when(stage != "Unverified", F.concat(stage, F.lit(" funding announcement"))).otherwise("Funding momentum"))
+        .when(kind == "github_spike", "GitHub activity spike")
+        .when(kind == "career_page", "Fresh hiring signal")
+        .otherwise(signal_type_label(kind))
     )
+    return _item(0, s["rank"], label, signal_type_label(kind), s["contribution"], s["headline"])
 
 
 def evidence(
@@ -266,42 +274,22 @@ def evidence(
 ) -> DataFrame:
     """The ``k`` strongest evidence rows per company, long form with rank.
     Of the signals only the ``k`` strongest can be among them, so only those leave
-    their partition."""
+    their partition. ``scored`` is read once: a company's evidence is built as one
+    array of at most ``k`` + 4 items, ordered and cut inside its row."""
     now = instant(as_of)
     seen = signals.where((F.col("signal_date") >= shift(now, hours=-hours)) & (F.coalesce("score", F.lit(0.0)) >= 0))
     raw = signal_weight(F.col("type")) * recency_percent(F.col("signal_date"), now) / 100
     seen = seen.withColumn("contribution", F.greatest(F.lit(1.0), half_up(raw * 0.28)))
     strongest = top_k(seen, ["company_id"], [F.desc("contribution"), *signal_order()], k)
-    stage = scored.select("company_id", "stage_label")
-    strongest = strongest.join(stage, "company_id")
-    label = (
-        F.when(F.col("type") == "founder_post", "Founder hiring signal")
-        .when(
-            F.col("type") == "funding",
-            F.when(F.col("stage_label") != "Unverified", F.concat("stage_label", F.lit(" funding announcement"))).otherwise("Funding momentum"),
-        )
-        .when(F.col("type") == "github_spike", "GitHub activity spike")
-        .when(F.col("type") == "career_page", "Fresh hiring signal")
-        .otherwise(signal_type_label(F.col("type")))
-    )
-    parts = [
-        _evidence(strongest, 0, label, signal_type_label(F.col("type")), F.col("contribution"), F.col("headline"), F.col("rank"))
-    ]
+    strongest = strongest.groupBy("company_id").agg(F.collect_list(F.struct("rank", "type", "contribution", "headline")).alias("strongest"))
 
     # The two first role titles, fresh roles when there are any.
     fresh = F.col("days_open") <= 2
     titles = top_k(role_state.where("is_active"), ["company_id"], [F.desc(fresh), *role_order()], 2)
-    notes = titles.groupBy("company_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", fresh.alias("fresh"), "title"))), lambda r: r["title"]), " • ").alias("any_note"),
-        F.array_join(
-            F.transform(
-                F.filter(F.array_sort(F.collect_list(F.struct("rank", fresh.alias("fresh"), "title"))), lambda r: r["fresh"]),
-                lambda r: r["title"],
-            ),
-            " • ",
-        ).alias("fresh_note"),
-    )
-    roles = scored.where("open_roles > 0").join(notes, "company_id", "left")
+    notes = titles.groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct("rank", fresh.alias("fresh"), "title"))).alias("first_roles"))
+    of = lambda rows: F.array_join(F.transform(rows, lambda r: r["title"]), " • ")
+    any_note, fresh_note = of(F.col("first_roles")), of(F.filter("first_roles", lambda r: r["fresh"]))
+
     is_fresh = F.col("fresh_roles") > 0
     role_label = (
         F.when(F.col("fresh_roles") == 1, F.concat(F.lit("Fresh "), F.regexp_replace("fresh_type", "^([^_]*)_", "$1 "), F.lit(" role")))
@@ -311,50 +299,35 @@ def evidence(
     role_points = F.when(
         is_fresh, F.least(F.lit(24.0), half_up(F.col("fresh_roles") * 22 * 0.24))
     ).otherwise(F.greatest(F.lit(4.0), half_up(F.col("hiring_velocity") * 0.18)))
-    parts.append(
-        _evidence(roles, 1, role_label, "Role openings", role_points, F.when(is_fresh, F.col("fresh_note")).otherwise(F.col("any_note")), F.lit(0))
-    )
+    items = [F.when(F.col("open_roles") > 0, _item(1, F.lit(0), role_label, F.lit("Role openings"), role_points, F.when(is_fresh, fresh_note).otherwise(any_note)))]
 
-    remote = F.coalesce("remote_us", F.lit(False))
     if profile is not None and profile.remote_only:
-        parts.append(
-            _evidence(
-                scored, 2,
-                F.when(remote, "Remote U.S. fit confirmed").otherwise("Remote mismatch penalty"),
-                "Profile preference",
-                F.when(remote, F.when(F.col("remote_boost") != 0, F.col("remote_boost")).otherwise(12)).otherwise(
-                    -F.when(F.col("penalty") != 0, F.col("penalty")).otherwise(12)
-                ),
+        remote = F.coalesce("remote_us", F.lit(False))
+        given = lambda c: F.when(F.col(c) != 0, F.col(c)).otherwise(12)
+        items.append(
+            _item(
+                2, F.lit(0), F.when(remote, "Remote U.S. fit confirmed").otherwise("Remote mismatch penalty"), F.lit("Profile preference"),
+                F.when(remote, given("remote_boost")).otherwise(-given("penalty")),
                 F.when(remote, F.col("remote_label")).otherwise(F.concat("name", F.lit(" is not confirmed remote-compatible."))),
-                F.lit(0),
             )
         )
     overlap = F.size("matched_skills") > 0
-    stack_rows = scored.where(overlap | (F.col("base_fit") >= 75))
-    tenth = half_up(F.col("base_fit") * 0.1)
-    parts.append(
-        _evidence(
-            stack_rows, 3,
-            F.when(overlap, "Strong stack overlap").otherwise("Strong stack fit"),
-            "Fit model",
-            F.greatest(F.lit(6.0), F.when(overlap & (F.col("skill_boost") != 0), F.col("skill_boost").cast("double")).otherwise(tenth)),
-            F.when(overlap, F.array_join(F.slice("matched_skills", 1, 4), ", ")).otherwise(
-                F.lit("Visible stack and role-family overlap support strong fit.")
-            ),
-            F.lit(0),
-        )
-    )
-    stage_rows = scored.where(F.col("stage_boost") > 0)
-    parts.append(
-        _evidence(
-            stage_rows, 4, F.concat(F.lit("Preferred "), F.col("stage_label"), F.lit(" stage")), "Profile preference",
-            F.col("stage_boost"), F.concat(F.lit("Preferred stage: "), F.col("stage_label")), F.lit(0),
-        )
-    )
-    rows = parts[0]
-    for other in parts[1:]:
-        rows = rows.unionByName(other)
-    return top_k(rows, ["company_id"], [F.desc(F.abs("contribution")), F.asc("place"), F.asc("item")], k)
+    stack = _item(
+        3, F.lit(0), F.when(overlap, "Strong stack overlap").otherwise("Strong stack fit"), F.lit("Fit model"),
+        F.greatest(F.lit(6.0), F.when(overlap & (F.col("skill_boost") != 0), F.col("skill_boost").cast("double")).otherwise(half_up(F.col("base_fit") * 0.1))),
+        F.when(overlap, F.array_join(F.slice("matched_skills", 1, 4), ", ")).otherwise(F.lit("Visible stack and role-family overlap support strong fit.")),
+    )
+    stage = F.col("stage_label")
+    preferred = _item(
+        4, F.lit(0), F.concat(F.lit("Preferred "), stage, F.lit(" stage")), F.lit("Profile preference"), F.col("stage_boost"), F.concat(F.lit("Preferred stage: "), stage)
+    )
+    items += [F.when(overlap | (F.col("base_fit") >= 75), stack), F.when(F.col("stage_boost") > 0, preferred)]
+
+    whole = scored.join(notes, "company_id", "left").join(strongest, "company_id", "left")
+    of_signals = F.when(F.col("strongest").isNotNull(), F.transform("strongest", lambda s: _signal_item(s, stage))).otherwise(F.array())
+    ranked = F.slice(F.array_sort(F.concat(of_signals, F.array_compact(F.array(*items)))), 1, k)
+    rows = whole.select("company_id", F.posexplode(ranked).alias("at", "e"))
+    return rows.select("company_id", "e.place", "e.item", "e.label", "e.source_type", "e.contribution", "e.note", (F.col("at") + 1).alias("rank"))
 
 
 def reasons(evidence_rows: DataFrame, k: int = 4) -> DataFrame:
