@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.catalog.registry import query
+from tideline.catalog.scoring import TRAINING_SQL, training
+from tideline.functions import lexicons as lex
 from tideline.operators import asof
 from tideline.plans import dataset, model, scoring
 from tideline.session import shared_folder
@@ -42,19 +44,23 @@ def blended_ranking(t: Tables):
     )
 
 
-@query(
-    "feature_vectors",
-    """WITH c AS (SELECT company_id, funding_stage, headcount, engineering_headcount FROM companies)
-    SELECT company_id, CASE funding_stage WHEN 'seed' THEN 1.0 WHEN 'series_a' THEN 2.0 WHEN 'series_b' THEN 3.0 WHEN 'series_c' THEN 4.0 ELSE 0.0 END::DOUBLE AS funding_stage_ord,
-      coalesce(headcount, 0)::DOUBLE AS headcount, CASE WHEN headcount IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS headcount_missing,
-      CASE WHEN engineering_headcount IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS engineering_headcount_missing,
-      coalesce((SELECT date_diff('day', CAST(max(announced_at) AS DATE), DATE '2024-01-20') FROM funding_history f
-        WHERE f.company_id = c.company_id AND announced_at <= TIMESTAMP '2024-01-20 23:59:59.999999'), 365)::DOUBLE AS days_since_last_funding FROM c""",
-)
+def _vector_sql() -> str:
+    """All vector columns over the SQL of the training rows."""
+    stages = " ".join(f"WHEN '{k}' THEN {v}" for k, v in lex.STAGE_ORDINAL.items())
+    made = {
+        "funding_stage_ord": f"CASE lower(coalesce(funding_stage, 'unknown')) {stages} ELSE 0.0 END",
+        "headcount_missing": "CASE WHEN headcount IS NULL THEN 1 ELSE 0 END",
+        "engineering_headcount_missing": "CASE WHEN engineering_headcount IS NULL THEN 1 ELSE 0 END",
+        "days_since_last_funding": "coalesce(days_since_last_funding, 365)",
+    }
+    columns = ", ".join(f"CAST({made.get(c, f'coalesce({c}, 0)')} AS DOUBLE) AS {c}" for c in dataset.FEATURE_COLUMNS)
+    return f"SELECT company_id, as_of_date, {columns} FROM ({TRAINING_SQL}) AS rows"
+
+
+@query("feature_vectors", _vector_sql())
 def feature_vectors(t: Tables):
-    return dataset.vector_columns(today_features(t)).select(
-        "company_id", "funding_stage_ord", "headcount", "headcount_missing", "engineering_headcount_missing", "days_since_last_funding"
-    )
+    """ML2: all 43 columns, for every company and date of the training grid."""
+    return dataset.vector_columns(training(t)).select("company_id", "as_of_date", *dataset.FEATURE_COLUMNS)
 
 
 @query(

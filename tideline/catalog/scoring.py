@@ -248,7 +248,10 @@ def training(t: Tables):
     return dataset.training_rows(t.companies, t.roles, t.signals, t.funding_history, GRID.start, "2024-01-29", 7)
 
 
-@query("training_rows", _training_sql())
+TRAINING_SQL = _training_sql()
+
+
+@query("training_rows", TRAINING_SQL)
 def training_rows(t: Tables):
     return training(t)
 
