@@ -1,3 +1,3 @@
 """Imports every query module; each registers its queries."""
 
-from tideline.catalog import console, crawl, lists, merges, models, rollups, scoring, sources  # noqa: F401
+from tideline.catalog import console, crawl, lists, merges, models, rest, rollups, scoring, sources  # noqa: F401
