@@ -200,7 +200,7 @@ def _next_plain(file, begin: int, size: int) -> int | None:
     stand too, so the record's own headers must be there as well."""
     if begin == 0:
         return 0 if size else None
-    at, step = begin, 1 << 16
+    at, step = max(0, begin - 4), 1 << 16  # the blank line before a record at ``begin`` lies before it
     while at < size:
         data = file.read_at(min(step + 4096, size - at), at)
         k = data.find(b"\r\n\r\nWARC/1.", 0)
