@@ -132,7 +132,8 @@ def _links(classes: DataFrame, segments: DataFrame) -> DataFrame:
         if turn < 2:
             by = F.struct("alone", "id") if turn == 0 else F.struct(F.xxhash64("gram", "id"), "id")
             other = here.groupBy("gram").agg(F.min_by("one", by).alias("other"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram", "other")
-            left = here.select("gram", "one")
+            # stored, so that both sides of the join are plain shuffles, which Spark can split where a gram is hot
+            other, left = shared.stored(other, "centres"), here.select("gram", "one")
         else:
             sizes = here.groupBy("gram", "label").count()
             main = sizes.groupBy("gram").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("c")).where("c > 1").select("gram", "main")
