@@ -344,7 +344,9 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         .agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     )
     cut = shared.stored(candidates.select("key", "sha", F.col("text").cast("binary").alias("text")).join(runs, "key").select("sha", "text", "starts", "ends").mapInArrow(_cut, CUT).dropDuplicates(["sha"]), "cut")
-    plain = described.join(classes.select("sha", "id"), "sha", "left").join(cut, "sha", "left")
+    # stored, so that the rows of one text are joined by a plain shuffle, which Spark can split
+    per_text = shared.stored(classes.select("sha", "id").join(cut, "sha", "left"), "per-text")
+    plain = described.join(per_text, "sha", "left")
     whole = (F.col("order") > F.col("id")) & (F.col("n_bytes") >= length)
     return plain.select(
         "doc_id",
