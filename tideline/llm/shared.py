@@ -55,7 +55,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     before = spark.conf.get(BATCH_SETTING)
     spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     try:
-        df.write.parquet(folder)
+        df.write.option("compression", "zstd").parquet(folder)
     finally:
         spark.conf.set(BATCH_SETTING, before)
     return spark.read.schema(df.schema).parquet(folder)

@@ -104,9 +104,9 @@ def _surroundings(batches: Iterator[pa.RecordBatch], length: int, n_parts: int,
             first, last, anchor, hashes, rows = anchors(data, offsets, length)
             grams = part.column(2)
             edge = np.asarray(grams.offsets)
-            wanted = np.asarray(grams.values)[edge[0] : edge[-1]].view(np.uint64)
+            wanted = (np.asarray(grams.values)[edge[0] : edge[-1]].astype(np.int64) + (1 << 31)).astype(np.uint64)
             of = np.repeat(np.arange(part.num_rows, dtype=np.uint64), np.diff(edge))
-            mine = fragments.full(hashes, n_parts)
+            mine = fragments.full(hashes, n_parts) & np.uint64(0xFFFFFFFF)
             hit = np.isin(shared.mix(mine ^ shared.mix(rows.astype(np.uint64))), shared.mix(wanted ^ shared.mix(of)))
             first, sizes, lead, rows = first[hit], last[hit] + length - first[hit], anchor[hit] - first[hit], rows[hit]
             ids, keys = (part.column(k).to_numpy(zero_copy_only=False)[rows] for k in (0, 3))
@@ -328,6 +328,8 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         .mapInArrow(partial(_grams, length=length, n_parts=n_parts), "part int, blob binary")
         .groupBy("part")
         .applyInArrow(fragment, fragments.SHARED)
+        # 32 bits are enough here: one hash too many only sends surroundings in vain
+        .select("key", F.expr("transform(grams, g -> cast((g & 4294967295) - 2147483648 as int))").alias("grams"))
         .groupBy("key")
         .agg(F.flatten(F.collect_list("grams")).alias("grams"))
         .join(classes, "key")
