@@ -157,6 +157,28 @@ def open_days(role_state: DataFrame) -> DataFrame:
 # --- a grid of dates --------------------------------------------------------
 
 
+ROLE_GRID_NAMES = {
+    "active": "active_roles_total",
+    "active_remote": "active_remote_roles_total",
+    "new_7d": "new_roles_7d",
+    "new_30d": "new_roles_30d",
+    "removed_30d": "removed_roles_30d",
+    "next_30d": "label_new_roles_next_30d",
+    "next_60d": "label_new_roles_next_60d",
+}
+KINDS = {"role_type__": lex.ROLE_TYPES, "role_source__": lex.SIGNAL_TYPES, "signal_count__": lex.SIGNAL_TYPES}
+# Steps name their measure by its number: rows stay small, and the pivot compares numbers.
+MEASURES = (*ROLE_GRID_NAMES, "signals_30d_total", *[f"{prefix}{k}" for prefix, kinds in KINDS.items() for k in kinds])
+CODES = {name: code for code, name in enumerate(MEASURES)}
+
+
+def kind_code(prefix: str, kind: Column) -> Column:
+    """Number of the measure of one kind; null for a kind that has none."""
+    kinds = KINDS[prefix]
+    place = F.array_position(F.array(*[F.lit(k) for k in kinds]), kind)
+    return F.when(place > 0, (place + F.lit(CODES[f"{prefix}{kinds[0]}"] - 1)).cast("int"))
+
+
 class Grid:
     """Positions 0..n-1 of the dates start, start + step, ... on the day axis."""
 
@@ -175,7 +197,7 @@ class Grid:
     def steps(self, first: Column, last: Column, name: str | Column) -> list[Column]:
         """The two steps of a row that counts on the dates first..last. An empty or
         off-grid interval cancels out or falls off the grid."""
-        measure = F.lit(name) if isinstance(name, str) else name
+        measure = F.lit(CODES[name]) if isinstance(name, str) else name
         past = F.greatest(F.date_add(last, 1), first)
         return [
             F.struct(self.at_or_after(first).alias("pos"), measure.alias("measure"), F.lit(1).alias("step")),
@@ -194,17 +216,6 @@ class Grid:
         return companies.select("company_id", spread.alias("pos"))
 
 
-ROLE_GRID_NAMES = {
-    "active": "active_roles_total",
-    "active_remote": "active_remote_roles_total",
-    "new_7d": "new_roles_7d",
-    "new_30d": "new_roles_30d",
-    "removed_30d": "removed_roles_30d",
-    "next_30d": "label_new_roles_next_30d",
-    "next_60d": "label_new_roles_next_60d",
-}
-
-
 def role_steps(roles: DataFrame, grid: Grid, measures: tuple[str, ...] = ROLE_MEASURES, by_kind: bool = False) -> DataFrame:
     """Steps of every role on the grid: (company_id, pos, measure, step). ``by_kind``
     adds the active count per role type and per source as measures."""
@@ -241,8 +252,9 @@ def role_steps(roles: DataFrame, grid: Grid, measures: tuple[str, ...] = ROLE_ME
         else:
             add(name, *spans[name])
     if by_kind:
-        add_active(F.concat(F.lit("role_type__"), "role_type"), F.col("role_type").isNotNull())
-        add_active(F.concat(F.lit("role_source__"), "source"), F.col("source").isNotNull())
+        for prefix, kind in (("role_type__", "role_type"), ("role_source__", "source")):
+            code = kind_code(prefix, F.col(kind))
+            add_active(code, code.isNotNull())
     # Steps past the end of the grid are never seen by the running sums.
     return roles.select("company_id", F.inline(F.array_compact(F.array(*steps)))).where(F.col("pos") < grid.size)
 
@@ -252,7 +264,8 @@ def signal_steps(signals: DataFrame, grid: Grid) -> DataFrame:
     first = F.to_date("signal_date")
     last = F.date_add(first, 28 + closes_day(F.col("signal_date")))
     steps = grid.steps(first, last, "signals_30d_total")
-    steps += [F.when(F.col("type").isNotNull(), s) for s in grid.steps(first, last, F.concat(F.lit("signal_count__"), "type"))]
+    code = kind_code("signal_count__", F.col("type"))
+    steps += [F.when(code.isNotNull(), s) for s in grid.steps(first, last, code)]
     return signals.select("company_id", F.inline(F.array_compact(F.array(*steps)))).where(F.col("pos") < grid.size)
 
 
@@ -265,7 +278,7 @@ def _summed(steps: DataFrame) -> DataFrame:
 def _run_up(parts: DataFrame, columns: dict[str, str], more: list[Column] = ()) -> DataFrame:
     """Long parts to one wide row per company and grid date. Rows are partitioned by
     company once, for the pivot and for the running sums over the grid."""
-    sums = [F.sum(F.when(F.col("measure") == m, F.col("n"))).alias(m) for m in columns]
+    sums = [F.sum(F.when(F.col("measure") == CODES[m], F.col("n"))).alias(m) for m in columns]
     return (
         parts.repartition("company_id")
         .groupBy("company_id", "pos")
@@ -326,10 +339,7 @@ def feature_grid(
         parts = parts.unionByName(other, allowMissingColumns=True)
     counts = {
         **ROLE_GRID_NAMES,
-        **{c: c for c in ("signals_30d_total",)},
-        **{f"role_type__{k}": f"role_type__{k}" for k in lex.ROLE_TYPES},
-        **{f"role_source__{k}": f"role_source__{k}" for k in lex.SIGNAL_TYPES},
-        **{f"signal_count__{k}": f"signal_count__{k}" for k in lex.SIGNAL_TYPES},
+        **{name: name for name in MEASURES if name not in ROLE_GRID_NAMES},
     }
     more = [
         F.max("best").alias("best"),
