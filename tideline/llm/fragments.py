@@ -2,7 +2,7 @@
 
 A fragment is a range of hash values. ``flush`` packs the hashes of a few thousand keys
 into one row per fragment, ``shared_grams`` finds, inside one fragment, the hashes that
-two or more keys have, and gives each key its own. Hashes that ``COMMON`` or more keys of
+two or more keys have, and ``by_key`` gives each key its own; ``gathered`` does both. Hashes that ``COMMON`` or more keys of
 one flush have go past the fragments, which get a mark, so that no fragment receives one
 hash from every key of the corpus.
 """
@@ -13,13 +13,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from tideline.llm import shared
 
 FLUSH_TOKENS = 1_000_000
 COMMON = 64  # the number of keys with a hash is known up to this
 LOW48 = np.uint64((1 << 48) - 1)
-SHARED = "key long, grams array<long>, counts array<byte>"
 
 
 def fragment_of(hashes: np.ndarray, n_parts: int) -> np.ndarray:
@@ -27,7 +27,7 @@ def fragment_of(hashes: np.ndarray, n_parts: int) -> np.ndarray:
 
 
 def full(hashes: np.ndarray, n_parts: int) -> np.ndarray:
-    """The form in which ``shared_grams`` returns a hash."""
+    """The form in which a shared hash comes back."""
     return fragment_of(hashes, n_parts).astype(np.uint64) << np.uint64(48) | hashes & LOW48
 
 
@@ -89,17 +89,16 @@ def flush(held: list[tuple], n_parts: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
 
-def shared_grams(part: tuple, group: pa.Table, n_parts: int) -> pa.Table:
-    """Of one fragment: for each set its n-grams that other sets have too, with the
-    number of sets, COMMON at most."""
+def shared_grams(part: tuple, group: pa.Table, n_parts: int, narrow: bool = False) -> pa.Table:
+    """Of one fragment: for each key its hashes that other keys have too, with the number
+    of keys, COMMON at most; packed in one row per bucket of keys, which ``by_key`` opens.
+    ``narrow``: the hashes' low 32 bits are enough."""
     blobs = group.column("blob").to_pylist()
     if part[0].as_py() >= n_parts:
-        done = []
-        for blob in blobs:
-            keys, counts, grams, _ = _unpack(blob[4:])
-            f = np.frombuffer(blob[:4], np.int32)[0]
-            done.append(_segment_rows(np.repeat(keys, counts), grams, np.full(len(grams), COMMON, np.int8), int(f)))
-        return pa.concat_tables(done)
+        unpacked = [(np.frombuffer(b[:4], np.int32)[0], *_unpack(b[4:])) for b in blobs]
+        keys = np.concatenate([np.repeat(k, c) for _, k, c, _, _ in unpacked])
+        grams = np.concatenate([np.uint64(f) << np.uint64(48) | g for f, _, _, g, _ in unpacked])
+        return _packed(keys, grams, np.full(len(keys), COMMON, np.uint8), n_parts, narrow)
     unpacked = [_unpack(b[4:]) for b in blobs]
     keys = np.concatenate([np.repeat(k, c) for k, c, _, _ in unpacked])
     grams = np.concatenate([g for _, _, g, _ in unpacked])
@@ -114,16 +113,56 @@ def shared_grams(part: tuple, group: pa.Table, n_parts: int) -> pa.Table:
     counts = np.where(np.isin(grams[begin], marks), COMMON, np.minimum(counts, COMMON)) if len(begin) else counts
     each = np.repeat(counts, np.diff(np.append(begin, len(grams))))
     several = each > 1
-    keys, grams, each = keys[several], grams[several], each[several]
-    order = np.argsort(keys, kind="stable")
-    return _segment_rows(keys[order], grams[order], each[order].astype(np.int8), part[0].as_py())
+    return _packed(keys[several], np.uint64(part[0].as_py()) << np.uint64(48) | grams[several], each[several].astype(np.uint8), n_parts, narrow)
 
 
-def _segment_rows(keys: np.ndarray, grams: np.ndarray, counts: np.ndarray, fragment: int) -> pa.Table:
+def _packed(keys: np.ndarray, grams: np.ndarray, counts: np.ndarray, n_parts: int, narrow: bool) -> pa.Table:
+    buckets = (shared.mix(keys.view(np.uint64)) % np.uint64(n_parts)).astype(np.uint16)
+    order = np.argsort(keys, kind="stable")
+    order = order[np.argsort(buckets[order], kind="stable")]
+    keys, grams, counts, buckets = keys[order], grams[order], counts[order], buckets[order]
+    grams = (grams & np.uint64(0xFFFFFFFF)).astype(np.uint32) if narrow else grams
     begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    sizes = np.diff(np.append(begin, len(keys))).astype(np.uint32)
+    edges, heads = np.searchsorted(buckets, np.arange(n_parts + 1)), np.searchsorted(buckets[begin], np.arange(n_parts + 1))
+    numbers = np.flatnonzero(np.diff(edges)).tolist()
+    blobs = []
+    for b in numbers:
+        a, z, i, j = edges[b], edges[b + 1], heads[b], heads[b + 1]
+        blobs.append(np.array([j - i, z - a], np.int64).tobytes() + keys[begin[i:j]].tobytes() + sizes[i:j].tobytes() + grams[a:z].tobytes() + counts[a:z].tobytes())
+    return pa.table({"bucket": pa.array(numbers, pa.int32()), "blob": pa.array(blobs, pa.binary())}, schema=pa.schema([("bucket", pa.int32()), ("blob", pa.binary())]))
+
+
+def by_key(group: pa.Table, narrow: bool = False) -> pa.Table:
+    """One row per key of a bucket: its shared hashes, each once, and their counts."""
+    kind = np.dtype(np.uint32 if narrow else np.uint64)
+    parts = []
+    for blob in group.column("blob").to_pylist():
+        k, n = np.frombuffer(blob[:16], np.int64).tolist()
+        a, b = 16 + 8 * k, 16 + 12 * k
+        keys = np.repeat(np.frombuffer(blob[16:a], np.int64), np.frombuffer(blob[a:b], np.uint32))
+        parts.append((keys, np.frombuffer(blob, kind, n, b), np.frombuffer(blob, np.uint8, n, b + n * kind.itemsize)))
+    keys, grams, counts = (np.concatenate([p[c] for p in parts]) for c in range(3))
+    order = np.lexsort((grams, keys))
+    keys, grams, counts = keys[order], grams[order], counts[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (grams[1:] != grams[:-1])
+    keys, grams, counts = keys[fresh], grams[fresh], counts[fresh]
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     edges = np.append(begin, len(keys))
-    full = (np.uint64(fragment) << np.uint64(48) | grams).view(np.int64)
-    return pa.table(
-        {"key": pa.array(keys[begin]), "grams": shared.lists(full, edges, pa.int64()), "counts": shared.lists(counts, edges, pa.int8())},
-        schema=pa.schema([("key", pa.int64()), ("grams", pa.list_(pa.int64())), ("counts", pa.list_(pa.int8()))]),
-    )
+    signed = grams.view(np.int32 if narrow else np.int64)
+    return pa.table({"key": pa.array(keys[begin]), "grams": shared.lists(signed, edges, pa.int32() if narrow else pa.int64()), "counts": shared.lists(counts.view(np.int8), edges, pa.int8())})
+
+
+def gathered(flushes: DataFrame, n_parts: int, narrow: bool = False) -> DataFrame:
+    """(key, grams, counts) from rows (part, blob) that ``flush`` made: once by fragment,
+    to find what is shared, and once by key."""
+
+    def fragment(part: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        return shared_grams(part, group, n_parts, narrow)
+
+    def bucket(number: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        return by_key(group, narrow)
+
+    found = flushes.groupBy("part").applyInArrow(fragment, "bucket int, blob binary")
+    return found.groupBy("bucket").applyInArrow(bucket, f"key long, grams array<{'int' if narrow else 'long'}>, counts array<byte>")

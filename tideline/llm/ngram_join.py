@@ -81,17 +81,8 @@ def ngram_join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", w
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = shared.stored(narrow.mapInArrow(partial(_describe, id_column="doc_id", text="text", width=width), "doc_id long, n long, key long, check long"), "sets")
     classes = sets.where("n > 0").groupBy("key", "check", "n").agg(F.min("doc_id").alias("rep"))
-
-    def fragment(part: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        return fragments.shared_grams(part, group, n_parts)
-
-    segments = (
-        narrow.select("text")
-        .mapInArrow(partial(_segments, text="text", width=width, n_parts=n_parts), "part int, blob binary")
-        .groupBy("part")
-        .applyInArrow(fragment, fragments.SHARED)
-    )
-    links = _links(classes, segments)
+    flushes = narrow.select("text").mapInArrow(partial(_segments, text="text", width=width, n_parts=n_parts), "part int, blob binary")
+    links = _links(classes, fragments.gathered(flushes, n_parts))
     labels = shared.components(links)
     named = (
         classes.join(labels, F.col("rep") == F.col("id"), "left")
@@ -104,8 +95,7 @@ def ngram_join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", w
 
 def _links(classes: DataFrame, segments: DataFrame) -> DataFrame:
     ranked = (
-        segments.groupBy("key")
-        .agg(F.flatten(F.collect_list(F.arrays_zip("counts", "grams"))).alias("grams"), F.sum(F.size("grams")).alias("s"))
+        segments.select("key", F.arrays_zip("counts", "grams").alias("grams"), F.size("grams").alias("s"))
         .join(classes, "key")
         .where("rep is not null and 4 * s >= 3 * n")
         .select(F.col("rep").alias("id"), F.col("n").cast("int").alias("n"), F.col("s").cast("int").alias("s"), F.sort_array("grams").alias("grams"))

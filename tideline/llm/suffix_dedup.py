@@ -104,7 +104,7 @@ def _surroundings(batches: Iterator[pa.RecordBatch], length: int, n_parts: int,
             first, last, anchor, hashes, rows = anchors(data, offsets, length)
             grams = part.column(2)
             edge = np.asarray(grams.offsets)
-            wanted = (np.asarray(grams.values)[edge[0] : edge[-1]].astype(np.int64) + (1 << 31)).astype(np.uint64)
+            wanted = np.asarray(grams.values)[edge[0] : edge[-1]].view(np.uint32).astype(np.uint64)
             of = np.repeat(np.arange(part.num_rows, dtype=np.uint64), np.diff(edge))
             mine = fragments.full(hashes, n_parts) & np.uint64(0xFFFFFFFF)
             hit = np.isin(shared.mix(mine ^ shared.mix(rows.astype(np.uint64))), shared.mix(wanted ^ shared.mix(of)))
@@ -316,25 +316,13 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     described = shared.stored(hashed.select("doc_id", "sha", "order", F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64("sha").alias("key")), "texts")
     classes = described.where(f"n_bytes >= {length}").groupBy("sha", "key").agg(F.min("order").alias("id"))
 
-    def fragment(part: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        return fragments.shared_grams(part, group, n_parts)
-
     def range_fragment(part: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         return repeats(part[0].as_py(), group.column("blob").to_pylist(), length, n_ranges)
 
-    common = (
-        hashed.where(F.octet_length("text") >= length)
-        .select(F.xxhash64("sha").alias("key"), "text")
-        .mapInArrow(partial(_grams, length=length, n_parts=n_parts), "part int, blob binary")
-        .groupBy("part")
-        .applyInArrow(fragment, fragments.SHARED)
-        # 32 bits are enough here: one hash too many only sends surroundings in vain
-        .select("key", F.expr("transform(grams, g -> cast((g & 4294967295) - 2147483648 as int))").alias("grams"))
-        .groupBy("key")
-        .agg(F.flatten(F.collect_list("grams")).alias("grams"))
-        .join(classes, "key")
-        .select("sha", "key", "id", "grams")
-    )
+    long = hashed.where(F.octet_length("text") >= length).select(F.xxhash64("sha").alias("key"), "text")
+    flushes = long.mapInArrow(partial(_grams, length=length, n_parts=n_parts), "part int, blob binary")
+    # 32 bits are enough here: one hash too many only sends surroundings in vain
+    common = fragments.gathered(flushes, n_parts, narrow=True).join(classes, "key").select("sha", "key", "id", "grams")
     texts = hashed.select(F.col("sha").alias("sha_"), F.col("order").alias("id_"), "text")
     candidates = shared.stored(common.join(texts, (F.col("sha") == F.col("sha_")) & (F.col("id") == F.col("id_"))).select("id", "text", "grams", "key", "sha"), "candidates")
     runs = (
