@@ -69,7 +69,6 @@ def rake(described: DataFrame, temper: Mapping[str, float] | None = None, target
     margins = ("source", "lang", "topic")
     cells = shared.stored(described.groupBy(*margins).agg(F.sum("n_tokens").alias("tokens")), "cells")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    goals = {}
     for m in margins:
         sums = cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("now")).where("now > 0")
         if m in targets:
@@ -78,14 +77,17 @@ def rake(described: DataFrame, temper: Mapping[str, float] | None = None, target
         else:
             sums = sums.withColumn("raw", F.pow("now", F.lit(float(temper[m]))))
         whole = sums.agg(F.sum("raw")).first()[0] or 1.0
-        goals[m] = shared.stored(sums.select(m, (F.col("raw") / F.lit(whole) * F.lit(float(total))).alias("goal")), f"goal-{m}")
+        goal = sums.select(m, (F.col("raw") / F.lit(whole) * F.lit(float(total))).alias(f"goal_{m}"))
+        cells = shared.stored(cells.join(goal.hint("merge"), m, "left"), "cells")
     cells = cells.withColumn("weight", F.lit(1.0))
+    # Merge joins: a broadcast in every step costs the driver more than these small sorts.
     for _ in range(rounds):
         for m in margins:
-            sums = cells.groupBy(m).agg(F.sum(F.col("weight") * F.col("tokens")).alias("now"))
-            factor = sums.join(goals[m], m).select(m, (F.col("goal") / F.col("now")).alias("factor"))
-            cells = cells.join(factor, m, "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(1.0))).drop("factor")
-        cells = shared.stored(cells.select(*margins, "tokens", "weight"), "raked")
+            goal = F.col(f"goal_{m}")
+            factor = cells.groupBy(m).agg((F.first(goal) / F.sum(F.col("weight") * F.col("tokens"))).alias("factor"))
+            cells = cells.join(factor.hint("merge"), m).withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(1.0))).drop("factor")
+        cells = shared.stored(cells, "raked")
+    cells = cells.drop(*[f"goal_{m}" for m in margins])
     rate = budget
     for _ in range(RATE_ROUNDS):
         full = F.col("weight") * F.lit(rate) >= 1
