@@ -206,18 +206,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, label) of every linked id: the smallest id that it reaches.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014), each a
-    minimum per node joined back; rounds are stored, so a lost executor costs a read.
+    minimum per node joined back; rounds are stored, so a lost executor costs a read. The
+    joins merge at every size, as broadcasts in every round would fill the driver.
     """
     edges = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         keep = low.where("m < u").select("u", F.col("m").alias("v"))
         edges = large.unionByName(keep).where("u <> v").distinct()
         down = edges.groupBy("u").agg(F.min("v").alias("m"))
-        small = edges.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
+        small = edges.join(down.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
         edges = stored(small.where("u <> v").distinct(), "links")
         now = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         if now == before:
