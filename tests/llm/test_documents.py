@@ -50,7 +50,7 @@ def make_rows():
         prose(rng, 60) + "<|im_end|>#$%",
         " no-break em \u0085next",
     ]
-    texts += ["\n".join([prose(rng, 60), "All rights reserved, page " + str(k), prose(rng, 5)]) for k in range(25)]
+    texts += ["\n".join([prose(rng, 60), "All rights reserved, page " + str(k), prose(rng, 5)]) for k in range(10, 50)]
     rows = [(k, t, ("en", "de", None)[k % 3], None if k == 9 else f"src{k % 2}", len(t or ""), 1, "k", 2, 0.5, "s", 1, 9, 3) for k, t in enumerate(texts)]
     rows += [rows[0], rows[4], (None, base, "en", "src0", 1, 1, "k", 2, 0.5, "s", 1, 9, 3), (3, "other text of a repeated id", "en", "src1", 1, 1, "k", 2, 0.5, "s", 1, 9, 3)]
     rng.shuffle(rows)
@@ -243,7 +243,8 @@ def test_secret_scan(docs, empty):
         told = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{z}" for a, k, z in sorted(found))
         want[r[0], *(sum(k == n for _, k, _ in found) for n in range(3)), hashlib.sha256(told.encode()).hexdigest()] += 1
     assert got == want
-    special = secret_scan.secret_scan(docs).where("n_markov > 0").collect()
+    models = secret_scan.train(docs.where("doc_id <> 14"))  # in so small a corpus its one secret would be part of the ordinary strings
+    special = secret_scan.secret_scan(docs, models=models).where("n_markov > 0").collect()
     assert [r.spans.split(",")[-1].split(":")[0] for r in special] == ["markov"]
     assert secret_scan.secret_scan(empty).count() == 0
 

@@ -35,6 +35,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET) + 1  # the last one stands for the beginning
 MIN_LENGTH = 20
 MARGIN = 1.0
+PRIOR = 4.0  # weight of the single characters in a transition's estimate
 TRAIN_LENGTH = 4  # shorter runs say little about identifiers
 
 _CODE = np.full(256, -1, np.int64)
@@ -89,8 +90,11 @@ class Models:
         uniform = 1.0 / n
 
         def likely(counts: np.ndarray) -> np.ndarray:
-            table = counts.reshape(SIZE, SIZE)[:, :n].astype(float) + 0.1
-            return table / table.sum(axis=1, keepdims=True)
+            """Transition probabilities; pairs that were not seen fall back on how
+            frequent the second character is at all."""
+            table = counts.reshape(SIZE, SIZE)[:, :n].astype(float)
+            single = (table.sum(axis=0) + 0.5) / (table.sum() + 0.5 * n)
+            return (table + PRIOR * single) / (table.sum(axis=1, keepdims=True) + PRIOR)
 
         self.ratio = np.log(0.5 * likely(random) + 0.5 * uniform) - np.log(likely(ordinary))
 
