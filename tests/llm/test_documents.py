@@ -323,6 +323,46 @@ def test_contaminated(spark, docs, empty):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def similar_windows(texts, items, threshold=0.75):
+    """Every start of every text, by brute force."""
+    grams = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    found = {}
+    for d, text in texts:
+        w = text.split()
+        g = grams(w)
+        for i, item in items:
+            x, size = grams(item.split()), len(item.split())
+            aligned = {max(0, min(p - q, len(w) - size)) for q, a in enumerate(x) for p, b in enumerate(g) if a == b}
+            scored = []
+            for s in range(max(1, len(w) - size + 1)):
+                a, b = Counter(g[s : s + min(size, len(w)) - 4]), Counter(x)
+                both, either = sum((a & b).values()), sum((a | b).values())
+                scored.append((both / either, s in aligned, -s, both, either))
+            best = max(scored)
+            if best[0] >= threshold:
+                found[d, i] = (-best[2], best[3], best[4], best[0])
+    return found
+
+
+def windows_of(spark, texts, items):
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    return {(r.doc_id, r.item_id): tuple(r)[2:] for r in decontaminate.contaminated(docs, bench).collect()}
+
+
+def test_contaminated_finds_moved_parts(spark):
+    rng = random.Random(11)
+    fill = lambda n: [f"f{rng.randint(0, 10**6)}" for _ in range(n)]
+    item = [f"w{k}" for k in range(40)]
+    often = ["a", "b", "c", "d", "e"] * 3 + [f"x{k}" for k in range(12)]
+    texts = [fill(100) + item[20:] + item[:20] + fill(100), item[30:] + item[:30], fill(3) + item[3:38] + fill(9), fill(20) + often[15:] + often[:15] + fill(4), often * 3]
+    texts += [[rng.choice("ab") if rng.random() < 0.9 else "c" for _ in range(rng.randint(5, 60))] for _ in range(40)]
+    items = [item, often] + [[rng.choice("ab") for _ in range(rng.randint(5, 25))] for _ in range(12)]
+    texts, items = ([(k, " ".join(w)) for k, w in enumerate(x)] for x in (texts, items))
+    got = windows_of(spark, texts, items)
+    assert got == similar_windows(texts, items)
+    assert got[0, 0] == (100, 32, 40, 0.8)
+
+
 def test_mix(spark, docs, empty):
     mixed = mix.mix_sources(docs).collect()
     assert len(mixed) == len(ROWS)

@@ -1,33 +1,34 @@
-"""Benchmark decontamination: SimHash windows, Hamming blocks, exact verification.
+"""Benchmark decontamination: exact similarity of every item-sized window.
 
 Words are split at ASCII white space after lower-casing; five of them are a shingle. A
 window of a text has as many words as the item (or the whole text where that is
-shorter). A window without any shingle of the item has similarity 0, so windows are made
-only where a shingle of an item stands, aligned so that it falls on its place in the
-item. Windows and items get a 64-bit SimHash of their shingles, each weighted by its
-number of occurrences. The fingerprints are cut into ``RADIUS + 1`` blocks: two within
-``RADIUS`` bits of each other agree on a whole block, so an equality join on (item size,
-block, value) meets all of them. Two windows at similarity 0.75 differ in 11 bits on
-average, with deviation 3; the radius of 23 is four deviations beyond. Pairs within it
-are verified exactly: the sum of smaller occurrence counts over the sum of larger ones
-must reach ``threshold``.
+shorter), and every start in the text makes one. The similarity of window and item is the
+sum of smaller occurrence counts of their shingles over the sum of larger ones; it must
+reach ``threshold``.
+
+A place of a text that holds a shingle of the item, ``m`` times in the item, counts in
+the windows that hold the place but not the shingle's ``m``-th last place before it. Those
+starts are one interval, so it adds one step up and one step down, and the running sum of
+a text's steps is the number of common shingles at every start; it changes only at steps,
+where the best start is found. Texts whose shingles are too few for the item in all of
+their length are left out before.
 
 All of it is DataFrame functions. The benchmark's shingles are broadcast after their
 number is checked against ``BROADCAST_SHINGLES``; beyond it the same join shuffles.
 
 Defined results: null texts are empty; texts or items of fewer than five words have no
-shingle and match nothing. Equal texts are worked on once. Repeated rows give one result
+shingle and match nothing. Of windows in a tie the first one is taken, but one in which a
+shared shingle stands on its place in the item goes before. Equal texts are worked on once. Repeated rows give one result
 per id and item; a null id's results carry null. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm import shared
 
-RADIUS = 23
 BROADCAST_SHINGLES = 1_000_000
 BLANK = r"\x20\x09-\x0D"
 TRIM = "trim(BOTH ' \\t\\n\\u000B\\u000C\\r' FROM lower(text))"
@@ -45,78 +46,49 @@ def _shingles(words: str, first: str, count: str) -> str:
     return f"if({count} > 0, transform(sequence({first}, {first} + {count} - 1), i -> xxhash64({parts})), cast(array() as array<bigint>))"
 
 
-def _fingerprint(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """SimHash of each key's ``gram`` rows: bit b is set when more of them have it than not."""
-    votes = [F.sum(F.when(F.col("gram").bitwiseAND(F.lit(1 << b if b < 63 else -(1 << 63))) != 0, 1).otherwise(-1)).alias(f"v{b}") for b in range(64)]
-    bits = [F.when(F.col(f"v{b}") > 0, F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)) for b in range(64)]
-    whole = bits[0]
-    for bit in bits[1:]:
-        whole = whole.bitwiseOR(bit)
-    return rows.groupBy(*keys).agg(*votes).select(*keys, whole.cast("long").alias("print"))
-
-
-def _blocks(prints: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per block of the fingerprint."""
-    count = RADIUS + 1
-    edges = [64 * k // count for k in range(count + 1)]
-    parts = [F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("print", a).bitwiseAND(F.lit((1 << (z - a)) - 1)).alias("value")) for k, (a, z) in enumerate(zip(edges, edges[1:]))]
-    return prints.select(*keys, "print", F.explode(F.array(*parts)).alias("b")).select(*keys, "print", "b.block", "b.value")
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, id_column: str = "doc_id", text: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, start, n_common, n_union, similarity) of the most similar
-    window of every text and item that reach ``threshold``; the first one in a tie."""
+    window of every text and item that reach ``threshold``."""
     items = _words(benchmark.select(F.col(item_column).alias("item_id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text")), "item_id")
     items = items.where("n >= 5").dropDuplicates().withColumn("item", F.xxhash64("item_id", "words"))
     placed = items.select("item_id", "item", F.col("n").alias("size"), F.posexplode(F.expr(_shingles("words", "0", "n - 4"))).alias("place", "gram"))
     counted = placed.groupBy("item", "gram").agg(F.count("*").cast("int").alias("of_item"))
     placed = shared.stored(placed.join(counted, ["item", "gram"]), "items")
     few = placed.count() <= BROADCAST_SHINGLES
-    sought = placed.select("gram", "item", "place", "size", "of_item")
+    sought = placed.select("gram", "item", "size", "of_item").distinct()
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    order = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("order")
-    keyed = rows.select("doc_id", order, F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"), "text")
-    split = _words(keyed, "doc_id", "order", "k1", "k2")
-    grams = split.where("n >= 5").select("doc_id", "order", "k1", "k2", "n", F.posexplode(F.expr(_shingles("words", "0", "n - 4"))).alias("pos", "gram"))
+    split = _words(rows.select("doc_id", F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"), "text"), "doc_id", "k1", "k2")
+    grams = split.where("n >= 5").select("doc_id", "k1", "k2", "n", F.posexplode(F.expr(_shingles("words", "0", "n - 4"))).alias("pos", "gram"))
     hits = shared.stored(grams.join(F.broadcast(sought) if few else sought, "gram"), "hits")
     ids = hits.select("k1", "k2", "doc_id").distinct()
-    at = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("place"), F.col("n") - F.col("size")))
-    windows = shared.stored(hits.select("k1", "k2", "size", at.alias("start"), F.least("size", "n").alias("long")).distinct(), "windows")
-
-    # fingerprints of the windows, from one text of each kind that has any; with the id in
-    # the key, copies are dealt out; texts are joined the same way at every size
-    wanted = windows.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "size", "long")).alias("windows"))
-    wanted = wanted.join(hits.groupBy("k1", "k2").agg(F.min("order").alias("order")), ["k1", "k2"])
-    texts = keyed.select("k1", "k2", "order", "text").hint("merge").join(wanted.hint("merge"), ["k1", "k2", "order"])
-    texts = _words(texts, "k1", "k2", "windows").dropDuplicates(["k1", "k2"])
-    inside = texts.select("k1", "k2", "words", F.explode("windows").alias("w")).select("k1", "k2", "w.start", "w.size", F.explode(F.expr(_shingles("words", "w.start", "(w.long - 4)"))).alias("gram"))
-    window_prints = _fingerprint(inside, ["k1", "k2", "start", "size"])
-    item_prints = _fingerprint(placed, ["item", "size"])
-    left = _blocks(window_prints, ["k1", "k2", "start", "size"])
-    right = _blocks(item_prints, ["item", "size"]).withColumnRenamed("print", "item_print")
-    near = (
-        left.join(right, ["size", "block", "value"])
-        .where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-        .select("k1", "k2", "start", "size", "item")
-        .distinct()
-    )
-    # exact: occurrences of each common shingle inside the window
-    stands = hits.select("k1", "k2", "item", "gram", "pos", "of_item", "n").distinct()
+
+    # a window has no more common shingles than its whole text
+    kind, pair = ["k1", "k2"], ["k1", "k2", "item"]
+    stands = hits.select(*pair, "gram", "pos", "size", "n", "of_item").distinct()
+    per_gram = shared.stored(stands.groupBy(*pair, "gram", "size", "n", "of_item").agg(F.sort_array(F.collect_list("pos")).alias("at")), "stands")
+    union = lambda common: F.least("size", "n") - 4 + F.col("size") - 4 - common
+    most = per_gram.groupBy(*pair, "size", "n").agg(F.sum(F.least(F.size("at"), "of_item")).alias("most"))
+    able = most.where(F.col("most") / union(F.col("most")) >= threshold).select(*pair)
+    able = shared.stored(per_gram.join(able, pair), "able").withColumn("last", F.greatest(F.lit(0), F.col("n") - F.col("size")))
+
+    step = "struct(greatest(0, p - least(size, n) + 5, if(i >= of_item, at[i - of_item] + 1, 0)) as start, 1 as step)"
+    steps = F.expr(f"flatten(transform(at, (p, i) -> if({step}.start <= p, array({step}, struct(p + 1 as start, -1 as step)), array())))")
+    steps = able.select(*pair, "size", "n", "last", F.explode(steps).alias("s")).select(*pair, "size", "n", "last", "s.start", "s.step", F.lit(False).alias("aligned"))
+    placed_at = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("place"), F.col("last")))
+    aligned = able.join(placed.select("item", "gram", "place"), ["item", "gram"]).select(*pair, "size", "n", "last", "place", F.explode("at").alias("pos"))
+    aligned = aligned.select(*pair, "size", "n", "last", placed_at.alias("start"), F.lit(0).alias("step"), F.lit(True).alias("aligned"))
+    starts = steps.unionByName(aligned).where("start <= last").groupBy(*pair, "size", "n", "start").agg(F.sum("step").alias("step"), F.max("aligned").alias("aligned"))
     common = (
-        near.join(stands, ["k1", "k2", "item"])
-        .where("pos >= start and pos <= start + least(size, n) - 5")
-        .groupBy("k1", "k2", "item", "start", "size", "n", "gram")
-        .agg(F.least(F.count("*"), F.first("of_item")).alias("both"))
-        .groupBy("k1", "k2", "item", "start", "size", "n")
-        .agg(F.sum("both").alias("n_common"))
-        .withColumn("n_union", (F.least("size", "n") - 4 + F.col("size") - 4 - F.col("n_common")).cast("long"))
+        starts.withColumn("n_common", F.sum("step").over(Window.partitionBy(*pair).orderBy("start")))
+        .withColumn("n_union", union(F.col("n_common")).cast("long"))
         .withColumn("similarity", F.col("n_common") / F.col("n_union"))
         .where(F.col("similarity") >= threshold)
     )
-    best = common.groupBy("k1", "k2", "item").agg(F.max_by(F.struct("start", "n_common", "n_union", "similarity"), F.struct("similarity", -F.col("start"))).alias("best"))
+    order = lambda at: F.struct(f"{at}similarity", f"{at}aligned", -F.col(f"{at}start"))
+    best = common.groupBy(*pair).agg(F.max_by(F.struct("start", "aligned", "n_common", "n_union", "similarity"), order("")).alias("best"))
     names = placed.select("item", "item_id").distinct()
-    result = best.join(names, "item").join(ids, ["k1", "k2"]).groupBy("doc_id", "item_id").agg(F.max_by("best", F.struct("best.similarity", -F.col("best.start"))).alias("best"))
+    result = best.join(names, "item").join(ids, kind).groupBy("doc_id", "item_id").agg(F.max_by("best", order("best.")).alias("best"))
     return result.select("doc_id", "item_id", F.col("best.start").cast("long").alias("start"), "best.n_common", "best.n_union", "best.similarity")
 
 
