@@ -363,6 +363,20 @@ def test_contaminated_finds_moved_parts(spark):
     assert got[0, 0] == (100, 32, 40, 0.8)
 
 
+def test_contaminated_finds_long_items_with_a_repeated_word(spark):
+    """Runs of one word in place of the item's own: similarity 0.754."""
+    rng = random.Random(12)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(204))) for k in range(12)]
+    texts = []
+    for k, item in items:
+        words, at = item.split(), rng.randint(5, 175)
+        words[at : at + 24] = ["-"] * 24
+        texts.append((k, " ".join([f"t{k}", *words, "end"])))
+    got = windows_of(spark, texts, items)
+    assert got == similar_windows(texts, items)
+    assert set(got) == {(k, k) for k in range(12)}
+
+
 def test_mix(spark, docs, empty):
     mixed = mix.mix_sources(docs).collect()
     assert len(mixed) == len(ROWS)
