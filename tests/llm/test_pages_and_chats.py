@@ -155,3 +155,27 @@ def test_spans_of_black_boxes_and_rewriting():
 
     watched = chat_format.Watched(forgetful)
     assert [watched.add(r, t)[4] for r, t in [("a", "thought#said"), ("u", "next"), ("a", "more")]] == [False, True, False]
+
+
+def test_templates_may_look_at_any_turn():
+    """A system turn shown with every answer, strict alternation, and a rewrite 20 turns back."""
+    turns = [("system", "be kind")] + [(("user", "assistant")[k % 2], f"text {k}") for k in range(60)]
+
+    def whole(turns):
+        lead = turns[0][1] if turns and turns[0][0] == "system" else "none"
+        rest = turns[1:] if lead != "none" else turns
+        if any(r != ("user", "assistant")[k % 2] for k, (r, _) in enumerate(rest)):
+            raise ValueError("roles must alternate")
+        return "".join(f"[{lead} {k} {r}] {t}\n" for k, (r, t) in enumerate(turns))
+
+    watched = chat_format.Watched(whole)
+    outputs = [watched.add(*t) for t in turns]
+    assert "".join(o[0] for o in outputs) == whole(turns)
+    assert [whole(turns)[o[2] : o[3]] for o in outputs[1:]] == [t for _, t in turns[1:]]  # the first text stands twice
+    assert sum(o[4] for o in outputs) == 0
+
+    def shortens(turns):
+        return "".join(f"{r}:{'-' if len(turns) - k > 20 else t};" for k, (r, t) in enumerate(turns))
+
+    watched = chat_format.Watched(shortens)
+    assert [watched.add(*t)[4] for t in turns] == [k >= 20 for k in range(61)]

@@ -7,9 +7,9 @@ older output (but for an end that templates replace, such as a closing mark) is
 prefix of the newer one, the template has rewritten history, and the turn is marked.
 Two probes in place of the turn's text show where the text stands inside the span.
 
-Conversations stream through in the order of their turns; the state of one is its last
-``window`` turns, so a conversation of any length needs no more memory or rendering per
-turn. Templates that look further back than that see the window only.
+Conversations stream through in the order of their turns; the state of one is all its
+turns so far, and every prefix is rendered whole, as a template may look at any turn. Who
+knows that a template looks at the last turns only can give a ``window``.
 
 The ``chatml`` template marks turns with control strings and escapes those inside texts
 and roles so that ``parse_piece`` gives back exactly what went in.
@@ -22,10 +22,9 @@ first. Texts without turns do not occur. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import os.path
 import re
 from collections.abc import Callable, Iterator, Sequence
-from functools import partial
+from functools import lru_cache, partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +34,6 @@ from tideline.llm import shared
 
 Turn = tuple[str, str]
 Template = Callable[[Sequence[Turn]], str]
-WINDOW = 16
 BATCH = 2_000
 PROBES = ("\ue000", "\ue001")  # private-use characters that no template treats apart
 SCHEMA = "conv_id long, turn long, role string, piece string, start long, body_start long, body_end long, loss boolean, rewrites boolean"
@@ -47,13 +45,14 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 def escape(text: str) -> str:
     """No ``<|`` is left: one backslash more between the two characters."""
-    return re.sub(r"<(\\*)\|", r"<\1\\|", text)
+    return re.sub(r"<(\\*)\|", r"<\1\\|", text) if "<" in text else text
 
 
 def unescape(text: str) -> str:
     return re.sub(r"<(\\*)\\\|", r"<\1|", text)
 
 
+@lru_cache(maxsize=1024)
 def _role(role: str) -> str:
     return escape(role).replace("\\", "\\\\").replace("\n", "\\n")
 
@@ -77,10 +76,36 @@ def parse_piece(piece: str) -> Turn:
 # ---- black-box rendering --------------------------------------------------
 
 
+def _common_head(a: str, b: str) -> int:
+    """Length of the common prefix, by comparing whole slices."""
+    least, most = 0, min(len(a), len(b))
+    if a[:most] == b[:most]:
+        return most
+    while least + 1 < most:  # they agree up to least, not up to most
+        middle = (least + most) // 2
+        if a[least:middle] == b[least:middle]:
+            least = middle
+        else:
+            most = middle
+    return least
+
+
+def _common_tail(a: str, b: str, most: int) -> int:
+    """Length of the common suffix, ``most`` at most."""
+    least, most = 0, max(0, most)
+    while least < most:
+        middle = (least + most + 1) // 2
+        if a[len(a) - middle : len(a) - least] == b[len(b) - middle : len(b) - least]:
+            least = middle
+        else:
+            most = middle - 1
+    return least
+
+
 class Watched:
     """One conversation's rendering, turn by turn."""
 
-    def __init__(self, template: Template, window: int = WINDOW):
+    def __init__(self, template: Template, window: int | None = None):
         self.template, self.window = template, window
         self.turns: list[Turn] = []
         self.before = template([])
@@ -88,14 +113,14 @@ class Watched:
 
     def add(self, role: str, text: str) -> tuple[str, int, int, int, bool]:
         """(piece, start, text's start and end in the whole output, rewrites)."""
-        if len(self.turns) >= self.window:
+        if self.window is not None and len(self.turns) >= self.window:
             self.turns = self.turns[-(self.window // 2) :]
             self.before = self.template(self.turns)
         now = self.template([*self.turns, (role, text)])
         one, two = (self.template([*self.turns, (role, p)]) for p in PROBES)
-        same = len(os.path.commonprefix([self.before, one]))
-        head = len(os.path.commonprefix([one, two]))
-        tail = len(os.path.commonprefix([one[:head:-1], two[:head:-1]]))
+        same = _common_head(self.before, one)
+        head = _common_head(one, two)
+        tail = _common_tail(one, two, min(len(one), len(two)) - head - 1)
         # what the older output has behind the common part must be an end that the newer one also has
         rewrites = not one.endswith(self.before[same:]) or same < len(self.before) - tail
         rewrites |= now[:head] != one[:head] or not now.endswith(one[len(one) - tail :] if tail else "")
@@ -111,7 +136,7 @@ def _ordered(rows: DataFrame) -> DataFrame:
     return rows.repartition(shared.shuffle_partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-def _render(batches: Iterator[pa.RecordBatch], template: Template, window: int, learned: frozenset[str]):
+def _render(batches: Iterator[pa.RecordBatch], template: Template, window: int | None, learned: frozenset[str]):
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
     current, state = object(), None
@@ -130,7 +155,7 @@ def _render(batches: Iterator[pa.RecordBatch], template: Template, window: int,
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
-def format_chats(conversations: DataFrame, template: Template = chatml, learned: Sequence[str] = ("assistant",), window: int = WINDOW, columns: Sequence[str] = ("conv_id", "turn", "role", "text")) -> DataFrame:
+def format_chats(conversations: DataFrame, template: Template = chatml, learned: Sequence[str] = ("assistant",), window: int | None = None, columns: Sequence[str] = ("conv_id", "turn", "role", "text")) -> DataFrame:
     """One row per turn: its piece of the formatted conversation, where it and the text
     in it stand (code points), whether the loss counts there, and whether the template
     rewrote history."""
