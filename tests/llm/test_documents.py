@@ -157,6 +157,25 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def test_suffix_dedup_of_one_very_long_text(spark):
+    """A passage behind byte 16,777,216 of a text goes like any other."""
+    rng = np.random.default_rng(8)
+    passage = " ".join(f"passage{k}" for k in range(30))
+    fill = rng.integers(97, 123, (1 << 24) + 5000).astype(np.uint8).tobytes().decode()
+    rows = [(0, "before. " + passage + " after!"), (1, fill + "#" + passage + "#" + fill[:20])]
+    got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].n_removed == 0
+    assert [tuple(s) for s in got[1].spans] == [(len(fill) + 1, len(fill) + 1 + len(passage))]
+    assert got[1].kept_sha256 == hashlib.sha256((fill + "##" + fill[:20]).encode()).hexdigest()
+
+
+def test_least_places_are_the_same_in_blocks():
+    hashes = np.random.default_rng(2).integers(0, 9, 5000).astype(np.uint64) << np.uint64(40)
+    want = [k + int(np.argmin(hashes[k : k + 26])) for k in range(5000 - 25)]
+    for block in (None, 1, 700, 4975):
+        assert suffix_dedup._least(hashes, 26, block).tolist() == want
+
+
 def test_suffix_order_is_right_at_ties():
     rng = np.random.default_rng(5)
     unit = rng.integers(97, 99, 40).astype(np.uint8).tobytes()

@@ -46,6 +46,25 @@ NO_ID = (1 << 63) - 1
 AT = np.uint64((1 << 24) - 1)
 
 
+def _least(hashes: np.ndarray, span: int, block: int | None = None) -> np.ndarray:
+    """Place of the smallest hash (its high bits; the first one in a tie) among every
+    ``span`` successive ones. Places are packed into the low bits of the hashes, counted
+    from the begin of a block; blocks share ``span - 1`` places, so none cuts a window."""
+    block = int(AT) + 2 - span if block is None else block
+    least = np.empty(len(hashes) - span + 1, np.int64)
+    for begin in range(0, len(least), block):
+        part = hashes[begin : begin + block + span - 1]
+        low = (part & ~AT) | np.arange(len(part), dtype=np.uint64)
+        width = 1
+        while 2 * width <= span:
+            low = np.minimum(low[:-width], low[width:])
+            width *= 2
+        if width < span:
+            low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
+        least[begin : begin + block] = (low & AT).astype(np.int64) + begin
+    return least
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
     """Runs of window starts with one anchor: (first start, last start, anchor, hash, row)."""
     empty = np.zeros(0, np.int64)
@@ -55,18 +74,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
         return empty, empty, empty, np.zeros(0, np.uint64), empty
     place = np.arange(n, dtype=np.int64)
     hashes = shared.span_hash(shared.running(data), place, place + GRAM)
-    low = (hashes & ~AT) | place.astype(np.uint64)
-    width = 1
-    while 2 * width <= span:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    if width < span:
-        low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
+    least = _least(hashes, span)
     sizes = np.diff(offsets)
     row = np.repeat(np.arange(len(sizes)), np.maximum(0, sizes - length + 1))
     first = np.concatenate([[0], np.cumsum(np.maximum(0, sizes - length + 1))])
     start = np.arange(len(row)) - first[row] + offsets[row]
-    anchor = (low[start] & AT).astype(np.int64)
+    anchor = least[start]
     fresh = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])) if len(row) else empty
     last = np.append(fresh[1:], len(row)) - 1 if len(row) else empty
     # smallest hashes lie low, so they are mixed again before they are dealt out by value
@@ -306,6 +319,8 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     ranges ``spans`` (start, end)."""
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM} bytes")
+    if length > int(AT) // 2:
+        raise ValueError(f"length must be {int(AT) // 2} bytes at most")
     spark = docs.sparkSession
     n_parts = shared.shuffle_partitions(spark)
     n_ranges = FINER * n_parts
