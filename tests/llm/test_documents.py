@@ -136,6 +136,16 @@ def test_ngram_join_finds_links_beyond_the_centre(spark):
     assert got == {k: find(k) for k in range(len(rows))}
 
 
+def test_ngram_join_links_through_rows_without_an_id(spark):
+    """Near copies whose ids are null, linked with ids, between them, and with each other only."""
+    chain = lambda name, step: [f"{name}{k}" for k in range(20 * step, 200 + 20 * step)]
+    rows, want = [], Counter()
+    for name, ids in [*((f"a{k}-", (3 * k + 1, None, 3 * k + 2)) for k in range(12)), ("b", (None, 50, None)), ("c", (None, None)), ("d", (60,)), ("e", (None,))]:
+        rows += [(i, " ".join(chain(name, step))) for step, i in enumerate(ids)]
+        want.update((i, 196, min((x for x in ids if x is not None), default=None)) for i in ids)
+    assert collected(ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+
+
 def test_suffix_dedup(docs, empty):
     got = collected(suffix_dedup.suffix_dedup(docs).drop("spans"))
     order = lambda r: suffix_dedup.NO_ID if r[0] is None else r[0]
