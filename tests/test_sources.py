@@ -357,3 +357,10 @@ def test_character_references_are_decoded_once(spark):
     texts = ["&#34;a&#x22; &eacute;&amp;lt; & &nothing; &#99999999; AT&T &hellip;", "plain", None]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(unescape(F.col("t"))).collect()]
     assert got == ['"a" é&lt; & &nothing; � AT&T …'.replace('"a" ', '"a" ').replace("\"a\"", "\"a\""), "plain", None]
+
+
+def test_strings_of_deeply_nested_lists(spark):
+    rows = [("plain", ["plain"]), ('["a", ["b", ["c", ["d", {"label": "e"}], []]], null]', ["a", "b", "c", "d", "e"]), ("[" * 9 + '"x"' + "]" * 9, ["x"]), ("[not a list", ["[not a list"]), (None, [])]
+    df = spark.createDataFrame([(k, v) for k, (v, _) in enumerate(rows)], "k int, value string")
+    got = {r.k: r.s for r in df.select("k", boards.strings_in(F.col("value")).alias("s")).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(rows)}

@@ -162,10 +162,12 @@ def _items(value: Column) -> Column:
 
 
 def strings_in(value: Column) -> Column:
-    """S3: all strings of a text, object or list field; lists may nest twice."""
-    once = _items(value)
-    twice = F.flatten(F.transform(once, _items))
-    return F.array_compact(F.transform(twice, _named))
+    """S3: all strings of a text, object or list field, however deep lists nest."""
+    opened = lambda items: F.flatten(F.transform(items, _items))
+    # no list nests deeper than its opening brackets are many
+    turns = F.sequence(F.lit(0), F.coalesce(F.regexp_count(value, F.lit(r"\[")), F.lit(0)))
+    flat = F.aggregate(turns, _items(value), lambda items, _: F.when(F.exists(items, lambda item: item.startswith("[")), opened(items)).otherwise(items))
+    return F.array_compact(F.transform(flat, _named))
 
 
 def portfolio(landed: DataFrame, as_of: str) -> Staged:
