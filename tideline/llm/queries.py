@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from tideline.llm import queries_sql
 from tideline.llm.chat_format import digests, format_chats
 from tideline.llm.decontaminate import contaminated
+from tideline.llm.fingerprints import edited_pairs
 from tideline.llm.line_quality import line_quality
 from tideline.llm.mix import mix_sources
 from tideline.llm.ngram_join import ngram_join
+from tideline.llm.prefix_trie import prefix_trie
 from tideline.llm.secret_scan import secret_scan
 from tideline.llm.shared import run_folder, stored, table
+from tideline.llm.spelling import spelling_variants
 from tideline.llm.suffix_dedup import suffix_dedup
 from tideline.llm.token_counts import token_counts
 from tideline.llm.token_store import read_tokens, write_tokens
@@ -70,5 +73,17 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality, op2_ngram_join, op3_token_counts, op4_token_store, op5_secret_scan, op6_warc, op7_decontaminate, op8_chat_format, op9_mix_sources, op10_suffix_dedup)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_pairs(table(spark, sf_dir, "documents")).withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_quality, op2_ngram_join, op3_token_counts, op4_token_store, op5_secret_scan, op6_warc, op7_decontaminate, op8_chat_format, op9_mix_sources, op10_suffix_dedup, op11_prefix_trie, op12_spelling_variants, op13_fingerprints)}
 SQL = {"op1_line_quality": queries_sql.LINE_QUALITY, "op7_decontaminate": queries_sql.CONTAMINATED, "op9_mix_sources": queries_sql.MIXED}
