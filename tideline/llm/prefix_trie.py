@@ -19,14 +19,15 @@ and depth, which by induction means equal prefixes; otherwise the job raises.
 
 Defined results: null role or text is empty; turns of equal number are taken in the order
 of their digests, null numbers first. Repeated rows are turns of their own. Rows without a
-conv_id belong to no conversation and are left out. An empty table has no node, not even a
-root. Other columns are not read.
+conv_id belong to no conversation and are left out; below 0, ``%`` is SQL's. An empty
+table has no node, not even a root. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -94,10 +95,10 @@ def rebuilt(chats: DataFrame) -> DataFrame:
     return own.unionByName(given).unionByName(roots).withColumn("ends", F.col("d") == F.col("length")).drop("length")
 
 
-def prefixes(turns: DataFrame) -> DataFrame:
+def prefixes(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """Adds block, the digest p1, p2 of the prefix that ends with the turn and q1, q2 of
     the one before it."""
-    hashed = turns.withColumn("block", F.expr(f"d div {BLOCK}"))
+    hashed = turns.withColumn("block", F.expr(f"d div {block}"))
     lane = lambda *c: F.when(F.col("d") > 0, F.xxhash64(*c)).otherwise(0)
     hashed = shared.stored(hashed.withColumn("l1", lane("digest", "d")).withColumn("l2", lane("d", F.lit(0x5EED), "digest")), "rebuilt")
     totals = hashed.groupBy("conv_id", "block").agg(F.bit_xor("l1").alias("t1"), F.bit_xor("l2").alias("t2"))
@@ -141,7 +142,7 @@ def _pairs(batch, a: str, b: str) -> np.ndarray:
 LOCAL = "shard long, p1 long, p2 long, q1 long, q2 long, digest binary, depth long, n_chars long, n long, n_ends long, rep long, border long"
 
 
-def _shards(batches: Iterator[pa.RecordBatch]):
+def _shards(batches: Iterator[pa.RecordBatch], block: int, shard_rows: int):
     """Cuts the task's rows into shards between blocks of conversations."""
     held, rows, number = [], 0, 0
     base = TaskContext.get().partitionId() << 32
@@ -149,7 +150,7 @@ def _shards(batches: Iterator[pa.RecordBatch]):
         table = pa.Table.from_batches([batch])
         held.append(table)
         rows += batch.num_rows
-        if rows < SHARD_ROWS:
+        if rows < shard_rows:
             continue
         table = pa.concat_tables(held)
         ids, blocks = table.column("conv_id").to_numpy(), table.column("block").to_numpy()
@@ -157,13 +158,13 @@ def _shards(batches: Iterator[pa.RecordBatch]):
         if not len(edge):
             continue
         cut = int(edge[-1]) + 1
-        yield from _local_nodes(table.slice(0, cut), base + number)
+        yield from _local_nodes(table.slice(0, cut), base + number, block)
         held, rows, number = [table.slice(cut)], table.num_rows - cut, number + 1
     if rows:
-        yield from _local_nodes(pa.concat_tables(held), base + number)
+        yield from _local_nodes(pa.concat_tables(held), base + number, block)
 
 
-def _local_nodes(table: pa.Table, shard: int):
+def _local_nodes(table: pa.Table, shard: int, block: int):
     """The shard's nodes with their counts; parents of other blocks come without counts,
     and a row of its own tells in which node a block of a longer conversation ends."""
     p, q = _pairs(table, *NODE), _pairs(table, *PARENT)
@@ -183,7 +184,7 @@ def _local_nodes(table: pa.Table, shard: int):
     np.minimum.at(rep, slot, ids)
     away = np.flatnonzero((depth > 0) & (nodes.slots(q) < 0))
     away = away[np.unique(q[away].view([("a", np.uint64), ("b", np.uint64)]).ravel(), return_index=True)[1]] if len(away) else away
-    border = np.flatnonzero((depth % BLOCK == BLOCK - 1) & ~ends)
+    border = np.flatnonzero((depth % block == block - 1) & ~ends)
     none, zero = pa.nulls, lambda k: np.zeros(k, np.int64)
     here = table.take(pa.array(first))
 
@@ -202,7 +203,7 @@ def _local_nodes(table: pa.Table, shard: int):
         yield rows(p[border], [none(k, pa.int64()), none(k, pa.int64()), none(k, pa.binary()), pa.array(depth[border]), none(k, pa.int64()), pa.array(zero(k)), pa.array(zero(k)), none(k, pa.int64()), pa.array(ids[border])])
 
 
-def accumulated(group: pa.Table) -> pa.Table:
+def accumulated(group: pa.Table, block: int) -> pa.Table:
     """Of one shard: per node what its subtree within the block holds of ``saved`` and
     ``leaves``, added up through the parents' slots, deepest nodes first."""
     real = group.filter(pa.compute.equal(group.column("kind"), 0))
@@ -214,7 +215,7 @@ def accumulated(group: pa.Table) -> pa.Table:
     level = np.zeros(nodes.size, np.int64)
     level[slot] = depth
     parent = np.full(nodes.size, -1)
-    inner = (depth % BLOCK > 0)
+    inner = depth % block > 0
     parent[slot[inner]] = nodes.slots(_pairs(real, *PARENT)[inner])
     sums = np.zeros((nodes.size, 2), np.int64)
     every = nodes.slots(_pairs(group, *NODE))
@@ -233,7 +234,7 @@ def accumulated(group: pa.Table) -> pa.Table:
 # ---- digests of members -----------------------------------------------------
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]):
+def _pieces(batches: Iterator[pa.RecordBatch], most: int):
     """Ids of a node, comma-joined, in pieces: (p1, p2, part, number, piece)."""
     part, number, open_ = TaskContext.get().partitionId(), 0, None
     for batch in batches:
@@ -244,7 +245,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]):
         out = []
         for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
             key, text = tuple(p[a].view(np.int64).tolist()), ",".join(map(str, ids[a:z])).encode()
-            if open_ and open_[0] == key and len(open_[1]) + len(text) < PIECE:
+            if open_ and open_[0] == key and len(open_[1]) + len(text) < most:
                 open_ = (key, open_[1] + b"," + text)
                 continue
             if open_:
@@ -284,22 +285,26 @@ def _sha_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))], [*NODE, "ends_sha256"])
 
 
-def ends_digests(ends: DataFrame) -> DataFrame:
+def ends_digests(ends: DataFrame, piece: int = PIECE) -> DataFrame:
     """(p1, p2, ends_sha256) from (p1, p2, conv_id). Ids are joined where they are sorted;
     only pieces of up to a MB a row meet at their node."""
     n = shared.shuffle_partitions(ends.sparkSession)
     order = [*NODE, "conv_id"]
-    pieces = ends.select(*order).repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_pieces, "p1 long, p2 long, part long, number long, piece binary")
+    pieces = ends.select(*order).repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(partial(_pieces, most=piece), "p1 long, p2 long, part long, number long, piece binary")
     return pieces.repartition(n, *NODE).sortWithinPartitions(*NODE, "part", "number").mapInArrow(_joined, "p1 long, p2 long, ends_sha256 string")
 
 
-def prefix_trie(chats: DataFrame) -> DataFrame:
+def prefix_trie(chats: DataFrame, block: int = BLOCK, shard_rows: int = SHARD_ROWS, piece: int = PIECE) -> DataFrame:
     """Per node: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves,
     saved_tokens, ends_sha256."""
+
+    def shard_sums(group: pa.Table) -> pa.Table:
+        return accumulated(group, block)
+
     n = shared.shuffle_partitions(chats.sparkSession)
-    rows = shared.stored(prefixes(rebuilt(chats)), "prefixes")
+    rows = shared.stored(prefixes(rebuilt(chats), block), "prefixes")
     dealt = rows.repartition(n, "conv_id", "block").sortWithinPartitions("conv_id", "block", "d")
-    local = shared.stored(dealt.mapInArrow(_shards, LOCAL), "local-nodes")
+    local = shared.stored(dealt.mapInArrow(partial(_shards, block=block, shard_rows=shard_rows), LOCAL), "local-nodes")
 
     facts = F.struct(*PARENT, "digest", "depth")
     nodes = local.where("n > 0").groupBy(*NODE).agg(
@@ -315,14 +320,14 @@ def prefix_trie(chats: DataFrame) -> DataFrame:
     held = F.coalesce((F.col("mine") == F.col("rep")) & (F.col("here") > 0), F.lit(False))
     at_rep = known.where("here > 0").select("shard", *NODE, *PARENT, "depth", *[F.when(held, F.col(c)).otherwise(0).alias(o) for c, o in (("saved", "saved"), ("leaf", "leaves"))], F.lit(0).alias("kind"))
     later = Window.partitionBy("conv_id").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row per block
-    of_blocks = nodes.groupBy(F.col("rep").alias("conv_id"), F.expr(f"depth div {BLOCK}").alias("block")).agg(F.sum("saved").alias("s"), F.sum("leaf").alias("l"))
-    borders = local.where("border is not null").select("shard", *NODE, "depth", F.col("border").alias("conv_id"), F.expr(f"depth div {BLOCK} + 1").alias("block"))
+    of_blocks = nodes.groupBy(F.col("rep").alias("conv_id"), F.expr(f"depth div {block}").alias("block")).agg(F.sum("saved").alias("s"), F.sum("leaf").alias("l"))
+    borders = local.where("border is not null").select("shard", *NODE, "depth", F.col("border").alias("conv_id"), F.expr(f"depth div {block} + 1").alias("block"))
     # a block without sums of its own still passes on those of later ones
     blocks = of_blocks.where("block > 0").unionByName(borders.select("conv_id", "block", F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("l"))).groupBy("conv_id", "block").agg(F.sum("s").alias("s"), F.sum("l").alias("l"))
     carried = blocks.select("conv_id", "block", F.sum("s").over(later).alias("saved"), F.sum("l").over(later).alias("leaves"))
     none = F.lit(None).cast("long")
     carried = borders.join(carried, ["conv_id", "block"]).select("shard", *NODE, none.alias("q1"), none.alias("q2"), "depth", "saved", "leaves", F.lit(1).alias("kind"))
-    sums = at_rep.unionByName(carried).groupBy("shard").applyInArrow(accumulated, "p1 long, p2 long, saved long, leaves long")
+    sums = at_rep.unionByName(carried).groupBy("shard").applyInArrow(shard_sums, "p1 long, p2 long, saved long, leaves long")
     sums = sums.groupBy(*NODE).agg(F.sum("saved").alias("saved_tokens"), F.sum("leaves").alias("n_leaves"))
 
     children = nodes.where("depth > 0").groupBy(*PARENT).agg(F.count("*").alias("n_children")).select(F.col("q1").alias("p1"), F.col("q2").alias("p2"), "n_children")
@@ -331,7 +336,7 @@ def prefix_trie(chats: DataFrame) -> DataFrame:
     named = nodes.where("depth > 0").join(parents, ["home", *PARENT]).select(*NODE, "parent_conv_id")
     zero = F.lit(0).cast("long")
     return (
-        nodes.join(named, NODE, "left").join(children, NODE, "left").join(sums, NODE, "left").join(ends_digests(rows.where("ends")), NODE, "left")
+        nodes.join(named, NODE, "left").join(children, NODE, "left").join(sums, NODE, "left").join(ends_digests(rows.where("ends"), piece), NODE, "left")
         .select(
             F.col("rep").alias("conv_id"), "depth", "parent_conv_id", F.col("n").alias("n_convs"), F.coalesce("n_children", zero).alias("n_children"),
             F.coalesce("n_leaves", zero).alias("n_leaves"), F.coalesce("saved_tokens", zero).alias("saved_tokens"), F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
