@@ -86,4 +86,4 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_quality, op2_ngram_join, op3_token_counts, op4_token_store, op5_secret_scan, op6_warc, op7_decontaminate, op8_chat_format, op9_mix_sources, op10_suffix_dedup, op11_prefix_trie, op12_spelling_variants, op13_fingerprints)}
-SQL = {"op1_line_quality": queries_sql.LINE_QUALITY, "op7_decontaminate": queries_sql.CONTAMINATED, "op9_mix_sources": queries_sql.MIXED}
+SQL = {"op1_line_quality": queries_sql.LINE_QUALITY, "op7_decontaminate": queries_sql.CONTAMINATED, "op9_mix_sources": queries_sql.MIXED, "op11_prefix_trie": queries_sql.PREFIX_TRIE, "op12_spelling_variants": queries_sql.SPELLING_VARIANTS}

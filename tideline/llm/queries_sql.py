@@ -78,3 +78,83 @@ FROM d JOIN p USING (source, lang, topic)"""
 
 
 MIXED = _mix_sql()
+
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes; the table is column ``crc`` of relation ``t``."""
+    raw = f"hex(encode({text}))"
+    octets = f"list_transform(range(1, length({raw}), 2), lambda k: ('0x' || substr({raw}, k, 2))::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295], {octets}), lambda c, b: xor(c >> 8, t.crc[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+PREFIX_TRIE = f"""
+WITH RECURSIVE t AS (SELECT {_CRC_TABLE} AS crc),
+own AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+sizes AS (SELECT conv_id, count(*) AS n FROM own GROUP BY conv_id),
+convs AS (SELECT conv_id, n, conv_id - conv_id % 100 AS donor, {_crc32("conv_id::VARCHAR")} % 6 AS h FROM sizes, t),
+heads AS (SELECT c.*, least(c.h, coalesce(d.n, 0)) AS taken FROM convs c LEFT JOIN sizes d ON d.conv_id = c.donor),
+turns AS (
+    SELECT c.conv_id, o.pos AS d, o.role, o.text FROM heads c JOIN own o ON o.conv_id = c.donor AND o.pos <= c.h
+    UNION ALL
+    SELECT c.conv_id, c.taken + o.pos - c.h, o.role, o.text FROM heads c JOIN own o ON o.conv_id = c.conv_id AND o.pos > c.h
+),
+keyed AS (
+    SELECT conv_id, d, length(text) AS len, d = max(d) OVER (PARTITION BY conv_id) AS ends,
+        sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d)) AS key
+    FROM turns
+),
+members AS (
+    SELECT conv_id, d, len, ends, key, lag(key, 1, 'root') OVER (PARTITION BY conv_id ORDER BY d) AS parent FROM keyed
+    UNION ALL
+    SELECT conv_id, 0, 0, conv_id NOT IN (SELECT conv_id FROM turns), 'root', NULL FROM convs
+),
+nodes AS (
+    SELECT key, any_value(parent) AS parent, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(len) AS len,
+        coalesce(string_agg(CASE WHEN ends THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '') AS ends
+    FROM members GROUP BY key
+),
+children AS (SELECT parent AS key, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+up AS (
+    SELECT key, key AS node FROM nodes
+    UNION ALL
+    SELECT u.key, n.parent FROM up u JOIN nodes n ON n.key = u.node WHERE n.parent IS NOT NULL
+),
+sums AS (
+    SELECT u.node AS key, sum(CASE WHEN c.key IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((n.n_convs - 1) * n.len)::BIGINT AS saved_tokens
+    FROM up u JOIN nodes n ON n.key = u.key LEFT JOIN children c ON c.key = u.key GROUP BY u.node
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN sums s ON s.key = n.key LEFT JOIN children c ON c.key = n.key LEFT JOIN nodes p ON p.key = n.parent
+"""
+
+SPELLING_VARIANTS = f"""
+WITH RECURSIVE t AS (SELECT {_CRC_TABLE} AS crc),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS raw FROM documents),
+counted AS (SELECT doc_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc32("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM counted, t),
+mangled AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM mangled WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (SELECT word, n, left(word, i - 1) AS a, substr(word, i + 1) AS b FROM words, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+near AS (
+    SELECT x.word, y.word AS other, y.n FROM cut x JOIN cut y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+    UNION SELECT x.word, w.word, w.n FROM cut x JOIN words w ON w.word = x.a || x.b
+    UNION SELECT w.word, x.word, x.n FROM cut x JOIN words w ON w.word = x.a || x.b
+),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS other_n FROM near GROUP BY word),
+forms AS (
+    SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.other_n >= 2 * w.n THEN b.other END AS form, CASE WHEN b.other_n >= 2 * w.n THEN b.other_n END AS form_n
+    FROM words w LEFT JOIN best b ON b.word = w.word
+),
+path AS (
+    SELECT word, word AS at FROM forms
+    UNION ALL
+    SELECT p.word, f.form FROM path p JOIN forms f ON f.word = p.at WHERE f.form IS NOT NULL
+),
+roots AS (SELECT p.word, p.at AS root FROM path p JOIN forms f ON f.word = p.at WHERE f.form IS NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, r.root FROM forms f JOIN roots r ON r.word = f.word
+"""
