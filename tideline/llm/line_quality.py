@@ -71,7 +71,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in shared.text_slices(batch, "text"):
             n = part.num_rows
             starts, ends, rows = shared.word_spans(data, offsets)
-            words = shared.span_hash(shared.running(data), starts, ends)
+            words = shared.span_hash(data, starts, ends)
             inside = ~shared._SPACE[data]
             raw = data.tobytes()
             dups, lines, sizes, edges = [], [], [], [0]
@@ -162,7 +162,7 @@ def kept_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text
         for batch in batches:
             for part, data, offsets in shared.text_slices(batch, text):
                 starts, ends, rows = shared.word_spans(data, offsets)
-                words = shared.span_hash(shared.running(data), starts, ends)
+                words = shared.span_hash(data, starts, ends)
                 failed = base_failed(np.bincount(rows, minlength=part.num_rows), _repeated(words, rows, part.num_rows))
                 yield part.filter(pa.array(~failed))
 

@@ -15,8 +15,8 @@ is found or lies within a class, and no group is expanded into all its pairs.
 
 Defined results: null or empty texts, or texts without words, have no n-gram, size 0
 and a class of their own. A text of fewer words than ``width`` is one n-gram. Rows
-with equal sets are one class. Repeated or null ids are kept as rows; a null id's class
-is the smallest id linked with it, or null, and links pass through it like any other. Other columns are not read.
+with equal sets are one class, whatever their ids. Rows that repeat an id are documents of
+their own; a null id's component is the smallest id linked with it, or null. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def _sets_of(part, data, offsets, width: int):
     """Distinct n-grams of each row (ordered by row, hash), their number, two keys."""
     low = shared._LOWER[data]
     starts, ends, rows = shared.word_spans(low, offsets)
-    words = shared.span_hash(shared.running(low), starts, ends)
+    words = shared.span_hash(low, starts, ends)
     n = part.num_rows
     hashes, at = shared.distinct_in_rows(*shared.shingles(words, rows, n, width))
     sizes = np.bincount(at, minlength=n).astype(np.int64)
@@ -80,21 +80,17 @@ def ngram_join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", w
     n_parts = shared.shuffle_partitions(spark)
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = shared.stored(narrow.mapInArrow(partial(_describe, id_column="doc_id", text="text", width=width), "doc_id long, n long, key long, check long"), "sets")
-    # a class without any id goes by its key
-    classes = sets.where("n > 0").groupBy("key", "check", "n").agg(F.min("doc_id").alias("rep")).withColumn("node", F.coalesce("rep", "key"))
+    # a class goes by its key, so classes that share an id stay apart; ids only name components
+    classes = sets.where("n > 0").groupBy("key", "check", "n").agg(F.min("doc_id").alias("rep"))
+    classes = shared.stored(classes, "classes")
     flushes = narrow.select("text").mapInArrow(partial(_segments, text="text", width=width, n_parts=n_parts), "part int, blob binary")
     links = _links(classes, fragments.gathered(flushes, n_parts))
     labels = shared.stored(shared.components(links), "labels")
-    # components whose label is a key and no id: their smallest id instead
-    keyed = labels.join(classes.where("rep is null").select(F.col("node").alias("label")).distinct(), "label", "left_semi")
-    least = keyed.join(classes.select(F.col("node").alias("id"), "rep"), "id").groupBy("label").agg(F.min("rep").alias("least")).withColumn("found", F.lit(True))
-    labels = labels.join(least, "label", "left").select("id", F.when(F.col("found"), F.col("least")).otherwise(F.col("label")).alias("label"), F.lit(True).alias("linked"))
-    named = (
-        classes.join(labels, F.col("node") == F.col("id"), "left")
-        .select(F.col("key").alias("k"), F.col("check").alias("c"), F.col("n").alias("m"), F.when(F.col("linked"), F.col("label")).otherwise(F.col("rep")).alias("component"))
-    )
+    named = classes.join(labels, F.col("key") == F.col("id"), "left").withColumn("linked", F.col("id").isNotNull()).drop("id")
+    least = named.where("linked").groupBy("label").agg(F.min("rep").alias("least"))
+    named = named.join(least, "label", "left").select(F.col("key").alias("k"), F.col("check").alias("c"), F.col("n").alias("m"), F.when(F.col("linked"), F.col("least")).otherwise(F.col("rep")).alias("component"))
     return sets.join(named, (F.col("key") == F.col("k")) & (F.col("check") == F.col("c")) & (F.col("n") == F.col("m")), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
@@ -103,7 +99,7 @@ def _links(classes: DataFrame, segments: DataFrame) -> DataFrame:
         segments.select("key", F.arrays_zip("counts", "grams").alias("grams"), F.size("grams").alias("s"))
         .join(classes, "key")
         .where("4 * s >= 3 * n")
-        .select(F.col("node").alias("id"), F.col("n").cast("int").alias("n"), F.col("s").cast("int").alias("s"), F.sort_array("grams").alias("grams"))
+        .select(F.col("key").alias("id"), F.col("n").cast("int").alias("n"), F.col("s").cast("int").alias("s"), F.sort_array("grams").alias("grams"))
     )
     ranked = shared.stored(ranked, "ranked")
     keep = "s - (3 * n + 3) div 4 + 1"

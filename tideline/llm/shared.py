@@ -144,18 +144,51 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def running(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which ``span_hash`` takes the hash of any span."""
+    """Prefix sums from which ``rolling_hash`` takes the hash of any span."""
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BACK, len(data), "back"), out=sums[1:])
     return sums
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span's bytes, the same wherever the span stands."""
+def rolling_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A polynomial hash of overlapping spans. Long spans can be made that collide, so it
+    serves only where the bytes are compared after it."""
     raw = (sums[ends] - sums[starts]) * _power(_BASE, len(sums), "base")[starts]
     return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+UNROLLED = 4
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each span's bytes, the same wherever the span stands: the sum of its
+    8-byte blocks, each mixed with its place. Other seeds give independent hashes."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    sizes = ends - starts
+    key = mix(np.array([seed], np.uint64) + np.uint64(0x9E3779B97F4A7C15))[0]
+    total = np.zeros(len(starts), np.uint64)
+
+    def blocks(at: np.ndarray, size: np.ndarray, number: np.ndarray) -> np.ndarray:
+        block = words[at] & _MASKS[np.minimum(size, 8)]
+        return mix(mix(block + key) ^ mix((number + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) + key))
+
+    for k in range(UNROLLED):
+        on = np.flatnonzero(sizes > 8 * k)
+        if not len(on):
+            break
+        total[on] += blocks(starts[on] + 8 * k, sizes[on] - 8 * k, np.full(1, k, np.uint64))
+    long = np.flatnonzero(sizes > 8 * UNROLLED)
+    if len(long):
+        many = (sizes[long] + 7) // 8 - UNROLLED
+        first = np.cumsum(many) - many
+        number = np.arange(int(many.sum())) - np.repeat(first, many) + UNROLLED
+        sums = blocks(np.repeat(starts[long], many) + 8 * number, np.repeat(sizes[long], many) - 8 * number, number.astype(np.uint64))
+        total[long] += np.add.reduceat(sums, first)
+    return mix(total ^ mix(sizes.astype(np.uint64) + key))
+
+
 _STEP = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 

@@ -73,7 +73,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
     if n < span or len(data) < length:
         return empty, empty, empty, np.zeros(0, np.uint64), empty
     place = np.arange(n, dtype=np.int64)
-    hashes = shared.span_hash(shared.running(data), place, place + GRAM)
+    hashes = shared.rolling_hash(shared.running(data), place, place + GRAM)
     least = _least(hashes, span)
     sizes = np.diff(offsets)
     row = np.repeat(np.arange(len(sizes)), np.maximum(0, sizes - length + 1))
@@ -123,7 +123,7 @@ def _surroundings(batches: Iterator[pa.RecordBatch], length: int, n_parts: int,
             hit = np.isin(shared.mix(mine ^ shared.mix(rows.astype(np.uint64))), shared.mix(wanted ^ shared.mix(of)))
             first, sizes, lead, rows = first[hit], last[hit] + length - first[hit], anchor[hit] - first[hit], rows[hit]
             ids, keys = (part.column(k).to_numpy(zero_copy_only=False)[rows] for k in (0, 3))
-            kind = shared.span_hash(shared.running(data), first, first + sizes) + lead.astype(np.uint64)
+            kind = shared.span_hash(data, first, first + sizes) + lead.astype(np.uint64)
             numbers = np.stack([ids, first - offsets[rows], lead, sizes, keys], 1)
             held.append((fragments.fragment_of(hashes[hit], n_ranges), kind, numbers, _gather(data, first, sizes)))
             total += int(sizes.sum())
@@ -182,7 +182,7 @@ def repeats(number: int, blobs: list[bytes], length: int, n_ranges: int) -> pa.T
     numbers, data = np.concatenate(numbers), np.concatenate(pieces)
     ids, at, lead, sizes, keys = (numbers[:, k] for k in range(5))
     begin = np.cumsum(sizes) - sizes
-    hashes = shared.span_hash(shared.running(data), begin, begin + sizes) + lead.astype(np.uint64)
+    hashes = shared.span_hash(data, begin, begin + sizes) + lead.astype(np.uint64)
     _, one, kind = np.unique(hashes, return_index=True, return_inverse=True)
     least = np.full(len(one), NO_ID, np.int64)
     np.minimum.at(least, kind, ids)
@@ -241,7 +241,7 @@ def equal_to_smaller(data: np.ndarray, sizes: np.ndarray, lead: np.ndarray, leas
     owner = np.repeat(np.arange(len(sizes), dtype=np.int32), counts)
     start = np.repeat(base - (np.cumsum(counts) - counts), counts) + np.arange(len(owner))
     # a string whose hash stands alone equals no other: only the rest is sorted
-    hashes = shared.span_hash(shared.running(text), start, start + length)
+    hashes = shared.rolling_hash(shared.running(text), start, start + length)
     order = np.argsort(hashes)
     same = hashes[order[1:]] == hashes[order[:-1]]
     several = np.zeros(len(order), bool)

@@ -92,14 +92,14 @@ class Units:
         if not len(starts):
             return np.zeros(0, self.kind), np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(data))
-        hashes = shared.span_hash(shared.running(data), starts, ends)
+        hashes = shared.span_hash(data, starts, ends)
         order = np.argsort(hashes)
         step = np.concatenate([[True], hashes[order[1:]] != hashes[order[:-1]]])
         one, which = order[step], np.empty(len(order), np.int64)
         which[order] = np.cumsum(step) - 1
         keys = hashes[one]
         a, z = starts[one], ends[one]
-        checks = shared.span_hash(shared.running(_SCRAMBLE[data]), a, z)
+        checks = shared.span_hash(data, a, z, seed=1)
         at, sizes = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
         place = np.searchsorted(self.keys, keys)
         there = place < len(self.keys)
@@ -120,6 +120,3 @@ class Units:
         lengths = sizes[which]
         first = at[which] - (np.cumsum(lengths) - lengths)
         return self.pool[np.repeat(first, lengths) + np.arange(int(lengths.sum()))], lengths
-
-
-_SCRAMBLE = np.random.default_rng(20).permutation(256).astype(np.uint8)
