@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from tideline.llm import shared
 from tideline.llm.line_quality import line_quality
-from tideline.llm.ngram_join import ngram_join
+from tideline.llm.ngram_join import first_of_each_group, ngram_join
 from tideline.llm.shared import run_folder
 from tideline.llm.suffix_dedup import suffix_dedup
 from tideline.llm.token_counts import token_counts
@@ -92,3 +92,16 @@ def test_classes_that_share_an_id_stay_apart(spark):
     rows = [(1, " ".join(base), "s"), (5, " ".join(near), "s"), (5, " ".join(f"c{k}" for k in range(50)), "s"), (9, " ".join(f"c{k}" for k in range(49)), "s"), (7, " ".join(f"d{k}" for k in range(30)), "s"), (7, "", "s"), (None, None, "s")]
     got = ngram_join(spark.createDataFrame(rows, DOCS).withColumn("key", F.lit(1))).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == sorted([(1, 56, 1), (5, 56, 1), (5, 46, 5), (9, 45, 5), (7, 26, 7), (7, 0, 7), (None, 0, None)], key=repr)
+
+
+def test_one_of_each_group_by_row(spark):
+    """A lone row without an id doesn't keep other ones; a text under a repeated id stays."""
+    base, near = [f"a{k}" for k in range(60)], [f"a{k}" for k in range(58)] + ["z1", "z2"]
+    other, alone, third = (" ".join(f"{c}{k}" for k in range(40)) for c in "cde")
+    rows = [(1, " ".join(base), "s"), (None, " ".join(near), "s"), (None, other, "s"), (None, other, "t"), (None, alone, "s"), (5, " ".join(near), "s"), (5, third, "s"), (8, "", "s"), (8, None, "s"), (3, alone + " x", "s"), (3, alone + " x", "s")]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("row", F.lit(1)).withColumn("group", F.lit("g"))
+    kept = first_of_each_group(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text or "", r.source) for r in kept.collect())
+    assert [(i, t[:2]) for i, t, _ in got] == [(0, "c0"), (1, "a0"), (3, "d0"), (5, "e0"), (8, ""), (8, "")]
+    assert first_of_each_group(docs.limit(0)).count() == 0

@@ -26,7 +26,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import fragments, shared
@@ -47,13 +47,11 @@ def _sets_of(part, data, offsets, width: int):
     return hashes, at, sizes, key.view(np.int64), check.view(np.int64)
 
 
-def _describe(batches: Iterator[pa.RecordBatch], id_column: str, text: str, width: int):
+def _describe(batches: Iterator[pa.RecordBatch], width: int):
     for batch in batches:
-        for part, data, offsets in shared.text_slices(batch, text):
+        for part, data, offsets in shared.text_slices(batch, "text"):
             _, _, sizes, key, check = _sets_of(part, data, offsets, width)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(part.schema.get_field_index(id_column)), pa.array(sizes), pa.array(key), pa.array(check)], ["doc_id", "n", "key", "check"]
-            )
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(key), pa.array(check), part.column(2)], ["doc_id", "n", "key", "check", "row"])
 
 
 def _segments(batches: Iterator[pa.RecordBatch], text: str, width: int, n_parts: int):
@@ -76,10 +74,36 @@ def ngram_join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", w
     """Per row of ``docs``: doc_id, n_shingles, component_id. Two rows link when their
     sets of lower-cased ``width``-word shingles have a Jaccard similarity of 0.75 or
     more; component_id is the smallest id that links reach."""
+    return _components(docs, None, id_column, text, width).select("doc_id", "n_shingles", "component_id")
+
+
+def first_of_each_group(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
+    """``docs`` with one row of each group of linked rows: that of the smallest id (null
+    ids last, then by a hash of the row). Rows without words stay.
+
+    Rows are told apart by all their columns, so ids may repeat or be null. What goes is
+    stored before it is joined, so its size decides whether texts have to move."""
+    row = F.xxhash64(*[F.col(c) for c in docs.columns])
+    grouped = _components(docs, row, id_column, text, width).where("n_shingles > 0")
+    rows = shared.stored(grouped.groupBy("row", "doc_id", "group").agg(F.count("*").alias("times")), "grouped")
+    stays = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select("group", F.col("first.row").alias("stays"))
+    judged = rows.join(stays, "group")
+    goes = shared.stored(judged.where("row <> stays or times > 1").select("row", (F.col("row") == F.col("stays")).alias("once")), "goes")
+    kept = docs.join(goes.select(F.col("row").alias("__row")).distinct(), row == F.col("__row"), "left_anti")
+    several = goes.where("once")
+    if several.isEmpty():
+        return kept
+    # equal rows, of which one stays
+    return kept.unionByName(docs.join(several.select(F.col("row").alias("__row")), row == F.col("__row"), "left_semi").dropDuplicates())
+
+
+def _components(docs: DataFrame, row: Column | None, id_column: str, text: str, width: int) -> DataFrame:
+    """Per row: row (as given), doc_id, n_shingles, component_id and group, a number that
+    linked rows share."""
     spark = docs.sparkSession
     n_parts = shared.shuffle_partitions(spark)
-    narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = shared.stored(narrow.mapInArrow(partial(_describe, id_column="doc_id", text="text", width=width), "doc_id long, n long, key long, check long"), "sets")
+    narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"), (F.lit(None) if row is None else row).cast("long").alias("row"))
+    sets = shared.stored(narrow.mapInArrow(partial(_describe, width=width), "doc_id long, n long, key long, check long, row long"), "sets")
     # a class goes by its key, so classes that share an id stay apart; ids only name components
     classes = sets.where("n > 0").groupBy("key", "check", "n").agg(F.min("doc_id").alias("rep"))
     classes = shared.stored(classes, "classes")
@@ -88,9 +112,9 @@ def ngram_join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", w
     labels = shared.stored(shared.components(links), "labels")
     named = classes.join(labels, F.col("key") == F.col("id"), "left").withColumn("linked", F.col("id").isNotNull()).drop("id")
     least = named.where("linked").groupBy("label").agg(F.min("rep").alias("least"))
-    named = named.join(least, "label", "left").select(F.col("key").alias("k"), F.col("check").alias("c"), F.col("n").alias("m"), F.when(F.col("linked"), F.col("least")).otherwise(F.col("rep")).alias("component"))
+    named = named.join(least, "label", "left").select(F.col("key").alias("k"), F.col("check").alias("c"), F.col("n").alias("m"), F.coalesce("label", "key").alias("group"), F.when(F.col("linked"), F.col("least")).otherwise(F.col("rep")).alias("component"))
     return sets.join(named, (F.col("key") == F.col("k")) & (F.col("check") == F.col("c")) & (F.col("n") == F.col("m")), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
+        "row", "doc_id", "group", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
