@@ -10,12 +10,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tideline.llm.decontaminate import without_contaminated
 from tideline.llm.line_quality import kept_documents
 from tideline.llm.mix import sampled
-from tideline.llm.ngram_join import ngram_join
+from tideline.llm.ngram_join import first_of_each_group
 from tideline.llm.shared import run_folder, stored, table
 from tideline.llm.token_store import read_tokens, write_tokens
 
@@ -28,9 +27,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies the document with the smallest id stays."""
-    first = ngram_join(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__stays")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(F.col("__stays")), "left_semi")
+    """Of every group of near copies the document with the smallest id stays (null ids
+    last). Rows are judged by themselves, whatever their ids; of equal rows one stays, and
+    rows without words all do."""
+    return first_of_each_group(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
