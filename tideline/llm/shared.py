@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1_500_000
 BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+CLEAN_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: dict[str, str] = {}
 
 
@@ -49,15 +50,18 @@ def _drop(spark: SparkSession, folder: str) -> None:
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: later uses
     and lost executors cost a read, not the work again. Meanwhile tasks exchange Arrow
-    batches of ``BATCH_ROWS`` rows, so a batch of texts takes a few MB on either side."""
+    batches of ``BATCH_ROWS`` rows, so a batch of texts takes a few MB on either side. The
+    write's shuffle files are dropped as soon as it is done."""
     spark = df.sparkSession
     folder = run_folder(spark, tag)
-    before = spark.conf.get(BATCH_SETTING)
+    before = {k: spark.conf.get(k) for k in (BATCH_SETTING, CLEAN_SETTING)}
     spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+    spark.conf.set(CLEAN_SETTING, True)
     try:
         df.write.option("compression", "zstd").parquet(folder)
     finally:
-        spark.conf.set(BATCH_SETTING, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(folder)
 
 
