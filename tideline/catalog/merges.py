@@ -32,12 +32,8 @@ NOW = D.now
 )
 def snapshot_diff(t: Tables):
     """Every crawl against the one of the year before."""
-    jobs = t.snapshot_jobs.select(
-        F.struct("company_id", "crawl").alias("company_id"), F.col("crawl").cast("string").alias("page_hash"),
-        F.concat_ws("|", "title", "location", "url").alias("pos"), "title", "location", "url",
-    )
-    before = jobs.withColumn("company_id", F.struct("company_id.company_id", (F.col("company_id.crawl") + 1).alias("crawl")))
-    return merge.snapshot_diff(before, jobs).select("company_id.company_id", "company_id.crawl", "slug", "status", "title", "location", "url")
+    jobs = t.snapshot_jobs.select("company_id", "crawl", F.col("crawl").cast("string").alias("page_hash"), F.concat_ws("|", "title", "location", "url").alias("pos"), "title", "location", "url")
+    return merge.crawl_diffs(jobs)
 
 
 @query(

@@ -290,12 +290,41 @@ def append_execution_events(events: DataFrame, added: DataFrame) -> DataFrame:
 # --- career-page snapshots (J6, U2, M8) ---------------------------------------------
 
 
-def page_jobs(snapshots: DataFrame) -> DataFrame:
-    """One row per company and title slug of a snapshot's jobs; of equal slugs the
-    last job in page order counts (``pos``)."""
-    slugged = snapshots.withColumn("slug", job_slug(F.col("title"))).where(F.col("slug") != "")
+def _slugged(snapshots: DataFrame) -> DataFrame:
+    return snapshots.withColumn("slug", job_slug(F.col("title"))).where(F.col("slug") != "")
+
+
+def page_jobs(snapshots: DataFrame, *by: str) -> DataFrame:
+    """One row per company, title slug (and ``by``) of a snapshot's jobs; of equal slugs
+    the last job in page order counts (``pos``), of pages the one with the greater hash."""
+    slugged = snapshots if "slug" in snapshots.columns else _slugged(snapshots)
     job = F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "location", "url")])
-    return slugged.groupBy("company_id", "slug").agg(F.max_by(job, F.col("pos")).alias("job"))
+    return slugged.groupBy("company_id", "slug", *by).agg(F.max_by(job, F.struct("page_hash", "pos")).alias("job"))
+
+
+def crawl_diffs(crawls: DataFrame) -> DataFrame:
+    """J6, U2, Q15 over a history: job rows (company_id, crawl, page_hash, pos, title,
+    location, url) to added / removed / changed slugs of every crawl against the one
+    numbered before. Companies without the earlier crawl and pairs of crawls with equal
+    page hashes are left out. A crawl of a company must carry a row even when it lists
+    no job (title null).
+
+    Jobs are dealt by company and slug once. There they are reduced to one row per crawl,
+    and a slug's crawls in order tell both what a row changed and where it is missing
+    next; no crawl is joined with the other. Which pairs of crawls count is decided on one
+    narrow row per company and crawl."""
+    hashes = crawls.groupBy("company_id", "crawl").agg(F.sort_array(F.collect_set("page_hash")).alias("hashes"))
+    by_crawl = Window.partitionBy("company_id").orderBy("crawl")  # one row per crawl
+    pairs = hashes.withColumns({"_last": F.lag("crawl").over(by_crawl), "_before": F.lag("hashes").over(by_crawl)})
+    moved = pairs.where((F.col("_last") == F.col("crawl") - 1) & (F.col("hashes") != F.col("_before"))).select("company_id", "crawl")
+    jobs = page_jobs(_slugged(crawls).repartition("company_id", "slug"), "crawl")
+    of_slug = Window.partitionBy("company_id", "slug").orderBy("crawl")  # one row per crawl
+    seen = jobs.withColumns({"_last": F.lag("crawl").over(of_slug), "_old": F.lag("job").over(of_slug), "_next": F.lead("crawl").over(of_slug)})
+    here = F.when(F.coalesce(F.col("_last") == F.col("crawl") - 1, F.lit(False)), F.when(F.col("job") != F.col("_old"), "changed")).otherwise("added")
+    gone = F.when(~F.coalesce(F.col("_next") == F.col("crawl") + 1, F.lit(False)), "removed")
+    events = F.array(F.struct(F.col("crawl").alias("crawl"), here.alias("status")), F.struct((F.col("crawl") + 1).alias("crawl"), gone.alias("status")))
+    flat = seen.select("company_id", "slug", "job", F.inline(events)).where("status is not null")
+    return flat.join(moved, ["company_id", "crawl"], "left_semi").select("company_id", "crawl", "slug", "status", "job.title", "job.location", "job.url")
 
 
 def snapshot_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
@@ -303,24 +332,9 @@ def snapshot_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
     crawls to added / removed / changed slugs. Companies without an earlier crawl
     and companies none of whose page hashes changed are left out. ``current`` must carry
     a row per crawled company even when it lists no job (title null)."""
-    hashes = previous.groupBy("company_id").agg(F.sort_array(F.collect_set("page_hash")).alias("old_hash")).join(
-        current.groupBy("company_id").agg(F.sort_array(F.collect_set("page_hash")).alias("new_hash")), "company_id"
-    )
-    moved = hashes.where(~F.col("old_hash").eqNullSafe(F.col("new_hash"))).select("company_id")
-    old = page_jobs(previous.join(moved, "company_id", "left_semi")).withColumnRenamed("job", "old")
-    new = page_jobs(current.join(moved, "company_id", "left_semi")).withColumnRenamed("job", "new")
-    status = (
-        F.when(F.col("old").isNull(), "added")
-        .when(F.col("new").isNull(), "removed")
-        .when(F.col("old") != F.col("new"), "changed")
-    )
-    return (
-        old.join(new, ["company_id", "slug"], "full_outer")
-        .withColumn("status", status)
-        .where(F.col("status").isNotNull())
-        .select("company_id", "slug", "status", F.coalesce("new", "old").alias("job"))
-        .select("company_id", "slug", "status", "job.title", "job.location", "job.url")
-    )
+    columns = ["company_id", "page_hash", "pos", "title", "location", "url"]
+    both = previous.select(*columns).withColumn("crawl", F.lit(0)).unionByName(current.select(*columns).withColumn("crawl", F.lit(1)))
+    return crawl_diffs(both).where("crawl = 1").drop("crawl")
 
 
 def latest_snapshots(stored: DataFrame, crawled: DataFrame) -> DataFrame:
