@@ -62,12 +62,12 @@ def test_state_tables(filled):
 
 def test_failed_run_changes_nothing(spark, filled):
     store = filled[0]
-    before = store.manifest()["tables"]["companies"]
+    before = values(store.read("companies"))
     broken = board(spark, "SRE", name="Broken")
     bad = Staged("x", broken.companies.withColumnRenamed("website", "nope"), broken.signals, broken.roles)
     with pytest.raises(Exception):
         plan.ingest(store, bad, LATER, "r3")
-    assert store.manifest()["tables"]["companies"] == before and not store.has_run("r3")
+    assert values(store.read("companies")) == before and not store.has_run("r3")
     assert store.read("ingest_runs").where("status = 'error'").count() == 1
 
 
@@ -92,7 +92,7 @@ def test_live_fold_equals_batch(spark, filled, tmp_path):
     assert state.latest("feed").count() == signals.count()
     assert state.latest("history").count() == signals.count()
     # A replay of the published files, in a later batch, changes nothing.
-    published = spark.read.schema(live.PAYLOAD).json(store.feed_path)
+    published = spark.read.schema(live.PAYLOAD).json(store.feed_path).drop("run")
     last = max(int(p.name.removeprefix("batch=")) for p in (tmp_path / "live").glob("batch=*"))
     state.advance(published, last + 1)
     assert values(state.latest("counts"), "company_id", "signal_count") == expected
@@ -158,6 +158,76 @@ def test_a_run_without_roles_writes_no_role_files(spark, tmp_path):
     staged = Staged("social", spark.createDataFrame([], STAGED_COMPANY), conform(signal, STAGED_SIGNAL), spark.createDataFrame([], STAGED_ROLE))
     first = plan.ingest(store, staged, "2024-01-20 06:00:00", "one")
     assert first["signals_new"] == 1 and not list(Path(tmp_path / "s").glob("roles/*"))
-    assert "roles" not in store.manifest()["tables"]
     # The undated signal is known in the next run.
     assert plan.ingest(store, staged, "2024-01-20 18:00:00", "two")["signals_new"] == 0
+
+
+def _written(root, table, before=()):
+    """Buckets of ``table`` with files that were not there ``before``."""
+    from pathlib import Path
+
+    return {p for p in Path(root, table).glob("bucket=*/*.parquet") if p not in before}
+
+
+def test_a_run_rewrites_its_buckets_only(spark, tmp_path):
+    root = str(tmp_path / "s")
+    store = TableStore(spark, root)
+    many = [board(spark, *[f"Backend Engineer {k}" for k in range(6)], name=f"Firm {n}", landed=n) for n in range(20)]
+    plan.ingest(store, combined(many), NOW, "first")
+    tables = ("roles", "companies", "signal_facts")
+    before = {t: _written(root, t) for t in tables}
+    assert len({p.parent for p in before["roles"]}) > 20
+    small = board(spark, "Backend Engineer 0", "Backend Engineer 1", "New Role", name="Firm 3")
+    summary = plan.ingest(store, small, LATER, "second")
+    assert summary["companies_rescored"] == 1
+    new = {t: {p.parent.name for p in _written(root, t, before[t])} for t in tables}
+    assert 1 <= len(new["roles"]) <= 3 and len(new["companies"]) == len(new["signal_facts"]) == 1
+    # The same batches over a store of one bucket: a full merge.
+    whole = TableStore(spark, str(tmp_path / "w"), buckets=1)
+    plan.ingest(whole, combined(many), NOW, "first")
+    plan.ingest(whole, small, LATER, "second")
+    for table in ("roles", "companies", "signals", "funding_history", "signal_facts"):
+        assert values(store.read(table)) == values(whole.read(table))
+
+
+def test_scores_need_no_old_signals(spark, filled):
+    """The stored facts are those of all signals, and scores from them are the same."""
+    from tideline.plans import scoring
+
+    store = filled[0]
+    facts, signals = store.read("signal_facts"), store.read("signals")
+    assert values(facts, *sorted(facts.columns)) == values(scoring.signal_inputs(signals), *sorted(facts.columns))
+    companies, roles = store.read("companies").drop("fit_score", "urgency_score", "composite_score"), store.read("roles")
+    one, two = scoring.rescore(companies, roles, signals, LATER), scoring.rescore(companies, roles, None, LATER, facts=facts)
+    assert values(one, "slug", "composite_score") == values(two, "slug", "composite_score")
+
+
+@pytest.mark.parametrize("dies_at", ["_create", "_replace", "log_run", "_whole"])
+def test_a_killed_run_leaves_each_key_once_when_repeated(spark, tmp_path, monkeypatch, dies_at):
+    root = str(tmp_path / "s")
+    store = TableStore(spark, root)
+    plan.ingest(store, board(spark, "SRE"), NOW, "r0")
+    batch = lambda: board(spark, "Backend Engineer", "ML Engineer", landed=2)
+    real, calls = getattr(TableStore, dies_at), []
+
+    def dying(self, *args):
+        calls.append(args)
+        ready = dies_at != "_create" or "_READY" in str(args[0])
+        if ready and len(calls) >= (2 if dies_at == "_replace" else 1):
+            raise KeyboardInterrupt
+        return real(self, *args)
+
+    monkeypatch.setattr(TableStore, dies_at, dying)
+    with pytest.raises(KeyboardInterrupt):
+        plan.ingest(store, batch(), LATER, "r1")
+    monkeypatch.undo()
+    with pytest.raises(RuntimeError, match="has not ended"):
+        plan.ingest(TableStore(spark, root), batch(), LATER, "r2")
+    plan.ingest(TableStore(spark, root), batch(), LATER, "r1")
+    plain = TableStore(spark, str(tmp_path / "p"))
+    plan.ingest(plain, board(spark, "SRE"), NOW, "r0")
+    plan.ingest(plain, batch(), LATER, "r1")
+    for table in ("roles", "companies", "signals", "ingest_runs"):
+        assert values(store.read(table)) == values(plain.read(table))
+    feeds = [spark.read.schema(live.PAYLOAD).json(s.feed_path) for s in (store, plain)]
+    assert values(feeds[0], "id") == values(feeds[1], "id") and feeds[0].count() == feeds[0].select("id").distinct().count()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tideline.functions.clock import instant
 from tideline.functions.labels import signal_payload
 from tideline.functions.numbers import count_where
+from tideline.functions.text import company_slug
 from tideline.operators import joins, merge
 from tideline.plans import scoring
 from tideline.schemas import STAGED_COMPANY, TABLES, Staged, conform
@@ -34,20 +35,26 @@ def ingest(
     store: TableStore, staged: Staged, as_of: str, run_id: str, profile: scoring.Profile = scoring.Profile(),
     predictions: DataFrame | None = None,
 ) -> dict:
-    """Merge one batch and rescore the companies it touches, as one commit.
+    """Merge one batch and rescore the companies it touches.
 
-    Intermediate tables are written once to the run's own folders and read back:
-    every later step starts from files instead of recomputing the merges, also
-    after an executor is lost. On an error nothing but the run's error row is
-    committed."""
+    Only the buckets that the batch's keys fall into are read in full and rewritten;
+    intermediate tables are written once to the run's own folder and read back. On an
+    error before the run is ready nothing but the run's error row is left; a run that
+    died after that is completed by its repeat."""
     if store.has_run(run_id):
         return {"run_id": run_id, "skipped": True}
+    store.begin(run_id)
+    if store.is_ready(run_id):
+        store.finish(run_id)
+        return {"run_id": run_id, "completed": True}
     try:
-        return _ingest(store, staged, as_of, run_id, profile, predictions)
+        summary, published = _ingest(store, staged, as_of, run_id, profile, predictions)
     except Exception as error:
-        row = _run_row(store, staged.source, run_id, as_of, "error", 0, 0, str(error)[:2000])
-        store.commit(f"{run_id}-error", {}, {"ingest_runs": store.stage("ingest_runs", row, run_id, "-error")})
+        store.give_up(run_id)
+        store.log_run(f"{run_id}-error", _run_row(store, staged.source, run_id, as_of, "error", 0, 0, str(error)[:2000]))
         raise
+    store.finish(run_id, published)
+    return summary
 
 
 def _run_row(store: TableStore, source: str, run_id: str, as_of: str, status: str, found: int, new: int, error: str | None) -> DataFrame:
@@ -60,71 +67,72 @@ def _run_row(store: TableStore, source: str, run_id: str, as_of: str, status: st
     )
 
 
-def _ingest(store, staged, as_of, run_id, profile, predictions) -> dict:
-    def keep(table: str, df: DataFrame, step: str = "") -> tuple[str, DataFrame]:
-        folder = store.stage(table, conform(df, TABLES[table]), run_id, step)
-        return folder, store.read_folders(table, [folder])
+def _ingest(store, staged, as_of, run_id, profile, predictions) -> tuple[dict, DataFrame]:
+    def keep(table: str, df: DataFrame, step: str = "") -> DataFrame:
+        return store.stage(run_id, table, df, step)
 
     now = instant(as_of)
     # Payloads are parsed once; every later step reads the stored staging frames.
     staged = Staged(staged.source, *(cut_lineage(df) for df in (staged.companies, staged.signals, staged.roles)))
     named = staged.signals.select("company_name").unionByName(staged.roles.select("company_name"))
+    every = staged.companies.select(F.col("name").alias("company_name")).unionByName(named).distinct()
 
-    # Companies: the described ones, then a minimal row for every other name.
-    described = merge.merge_companies(store.read("companies"), staged.companies, as_of)
-    _, companies = keep("companies", described, "-1")
+    # Companies: the described ones, then a minimal row for every other name. A name in
+    # any case has one slug, so all that the batch can mean lies in its slugs' buckets.
+    slugs = every.select(company_slug(F.col("company_name")).alias("slug"))
+    held = store.read("companies", store.buckets_of(slugs, "slug"))
+    companies = keep("companies", merge.merge_companies(held, staged.companies, as_of), "-1")
     unknown = _named_only(joins.missing_companies(named, companies))
-    _, companies = keep("companies", merge.merge_companies(companies, unknown, as_of), "-2")
+    companies = keep("companies", merge.merge_companies(companies, unknown, as_of), "-2")
+    touched = cut_lineage(joins.resolve_company(every, companies).select("company_id").distinct())
 
     # Signals: only new ones; the table is appended to.
     signals = joins.resolve_company(staged.signals, companies)
-    stored = store.read("signals")
-    fresh = merge.new_signals(signals, stored_days(stored, signals))
+    fresh = merge.new_signals(signals, stored_days(store.read("signals"), signals))
     fresh = fresh.withColumns(
         {"ingested_at": now, "signal_id": F.substring(F.sha2(F.concat_ws(":", "company_id", "dedup_key"), 256), 1, 32)}
     )
-    added_folder, added = keep("signals", fresh)
-
-    # Funding history and the companies' last signal.
-    events = merge.funding_events(added.withColumn("seq", F.lit(0)), staged.source)
-    replaced = {}
-    if not events.isEmpty():
-        replaced["funding_history"], _ = keep("funding_history", merge.merge_funding(store.read("funding_history"), events))
+    added = keep("signals", fresh)
     bumped = merge.bump_last_signal(companies, added, as_of)
 
+    # Funding history, and what the scores need of all signals, merged with the batch's.
+    events = keep("funding_history", merge.funding_events(added.withColumn("seq", F.lit(0)), staged.source), "-new")
+    funded = store.buckets_of(events, "company_id")
+    if funded:
+        keep("funding_history", merge.merge_funding(store.read("funding_history", funded), events.withColumn("seq", F.lit(0))))
+    facts = store.read("signal_facts", store.buckets_of(touched, "company_id"))
+    facts = keep("signal_facts", scoring.merged_signal_inputs(facts, scoring.signal_inputs(added)))
+
     # Roles, and for a crawl the ones that are gone; a run without roles leaves them.
     counts, role_state = {"new": 0, "seen": 0}, store.read("roles")
     if staged.source == "career_page" or not staged.roles.isEmpty():
         roles = joins.resolve_company(staged.roles, companies)
-        merged = cut_lineage(merge.merge_roles(role_state, roles, as_of))
+        crawled = joins.resolve_company(staged.companies.select(F.col("name").alias("company_name")), companies)
+        urls = roles.select("url")
+        if staged.source == "career_page":
+            urls = urls.unionByName(role_state.where("is_active").join(crawled.select("company_id").distinct(), "company_id", "left_semi").select("url"))
+        mine = store.buckets_of(urls, "url")
+        merged = cut_lineage(merge.merge_roles(store.read("roles", mine), roles, as_of))
         counts = merged.agg(count_where(F.col("is_new")).alias("new"), F.coalesce(F.sum("staged_rows"), F.lit(0)).alias("seen")).first()
         if staged.source == "career_page":
-            crawled = joins.resolve_company(staged.companies.select(F.col("name").alias("company_name")), companies)
             merged = merge.deactivate_missing(merged.drop("is_new", "staged_rows"), crawled, roles, "career_page", as_of)
-        replaced["roles"], role_state = keep("roles", scoring.role_fit(merged, profile=profile))
+        role_state = keep("roles", scoring.role_fit(merged, profile=profile)).unionByName(store.read("roles", but=mine))
 
     # Scores of every touched company.
-    described_names = staged.companies.select(F.col("name").alias("company_name")).unionByName(named)
-    touched = joins.resolve_company(described_names.distinct(), companies).select("company_id").distinct()
-    all_signals = stored.unionByName(added)
     skills = role_state.join(touched, "company_id", "left_semi").select("role_id", F.explode("required_skills").alias("skill"))
     scores = scoring.rescore(
-        bumped.drop("fit_score", "urgency_score", "composite_score"), role_state, all_signals, as_of, skills,
-        predictions, affected=touched, profile=profile,
+        bumped.drop("fit_score", "urgency_score", "composite_score"), role_state, None, as_of, skills,
+        predictions, affected=touched, profile=profile, facts=facts,
     ).select("company_id", "fit_score", "urgency_score", "composite_score")
-    replaced["companies"], _ = keep("companies", merge.apply_updates(bumped, scores, "company_id"))
+    keep("companies", merge.apply_updates(bumped, scores, "company_id"))
 
-    # Run summary, publish, commit: a run that dies in between is repeated as a whole
-    # and publishes the same keys again, which readers drop.
     n_companies, n_found = staged.companies.count(), staged.signals.count() + staged.roles.count()
     summary = {
         "run_id": run_id, "source": staged.source, "companies_upserted": n_companies, "signals_new": added.count(),
         "roles_new": counts["new"], "roles_updated": counts["seen"] - counts["new"], "companies_rescored": touched.count(),
     }
-    run = _run_row(store, staged.source, run_id, as_of, "success", n_companies + n_found, summary["signals_new"] + summary["roles_new"], None)
-    store.publish(payloads(added, companies), run_id)
-    store.commit(run_id, replaced, {"signals": added_folder, "ingest_runs": store.stage("ingest_runs", run, run_id)})
-    return summary
+    keep("ingest_runs", _run_row(store, staged.source, run_id, as_of, "success", n_companies + n_found, summary["signals_new"] + summary["roles_new"], None))
+    return summary, payloads(added, companies)
 
 
 def payloads(signals: DataFrame, companies: DataFrame) -> DataFrame:

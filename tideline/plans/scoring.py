@@ -87,15 +87,24 @@ def signal_inputs(signals: DataFrame) -> DataFrame:
     )
 
 
+def merged_signal_inputs(stored: DataFrame, added: DataFrame) -> DataFrame:
+    """What `signal_inputs` gives over the signals behind both tables: each of its values
+    is a largest one or a flag, so rows of a company merge without their signals."""
+    largest = ("round", "founder_post_date", "spike_date", "spike_sigma")
+    both = stored.unionByName(added.select(*stored.columns))
+    return both.groupBy("company_id").agg(*[F.max(c).alias(c) for c in largest], *[F.bool_or(c).alias(c) for c in ("has_founder_post", "has_engineering_blog")])
+
+
 def scoring_inputs(
-    companies: DataFrame, role_state: DataFrame, signals: DataFrame, skills: DataFrame | None = None,
-    profile: Profile = Profile(), max_roles: int | None = None,
+    companies: DataFrame, role_state: DataFrame, signals: DataFrame | None, skills: DataFrame | None = None,
+    profile: Profile = Profile(), max_roles: int | None = None, facts: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per company with everything the scores need."""
+    """One row per company with everything the scores need. ``facts``: the signals'
+    part where it is known already."""
     stored_date = F.col("last_funding_date") if "last_funding_date" in companies.columns else F.lit(None).cast("timestamp_ntz")
     return (
         companies.join(role_inputs(role_state, profile, skills, max_roles), "company_id", "left")
-        .join(signal_inputs(signals), "company_id", "left")
+        .join(signal_inputs(signals) if facts is None else facts, "company_id", "left")
         .withColumns(
             {
                 "last_funding_date": F.coalesce("round.signal_date", stored_date),
@@ -269,9 +278,9 @@ def blend(heuristic: Column, model: Column, weight: float = 0.25) -> Column:
 
 
 def rescore(
-    companies: DataFrame, role_state: DataFrame, signals: DataFrame, as_of: str, skills: DataFrame | None = None,
+    companies: DataFrame, role_state: DataFrame, signals: DataFrame | None, as_of: str, skills: DataFrame | None = None,
     predictions: DataFrame | None = None, affected: DataFrame | None = None, profile: Profile = Profile(),
-    model_weight: float = 0.25, max_roles: int | None = None,
+    model_weight: float = 0.25, max_roles: int | None = None, facts: DataFrame | None = None,
 ) -> DataFrame:
     """Scores of all companies, or of the ``affected`` ones (company_id) only;
     their children are reduced to the same companies before the aggregates."""
@@ -279,8 +288,8 @@ def rescore(
         keys = affected.select("company_id").distinct()
         companies = companies.join(keys, "company_id", "left_semi")
         role_state = role_state.join(keys, "company_id", "left_semi")
-        signals = signals.join(keys, "company_id", "left_semi")
-    scored = score_companies(scoring_inputs(companies, role_state, signals, skills, profile, max_roles), as_of, profile)
+        signals = signals.join(keys, "company_id", "left_semi") if signals is not None else None
+    scored = score_companies(scoring_inputs(companies, role_state, signals, skills, profile, max_roles, facts), as_of, profile)
     if predictions is None:
         return scored.withColumn("model_score", F.lit(None).cast("double")).withColumn(
             "composite_score", blend(F.col("composite_score"), F.col("model_score"), model_weight)

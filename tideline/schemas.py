@@ -70,6 +70,10 @@ TABLES = {
         "company_id string, announced_at timestamp_ntz, round_type string, amount_usd double,"
         "lead_investors array<string>, source string, source_url string"
     ),
+    "signal_facts": (
+        "company_id string, round struct<signal_date:timestamp_ntz,col2:double,amount:double>, founder_post_date timestamp_ntz,"
+        "spike_date timestamp_ntz, spike_sigma double, has_founder_post boolean, has_engineering_blog boolean"
+    ),
     "role_daily": (
         "company_id string, active_roles_total bigint, active_remote_roles_total bigint, new_roles_7d bigint,"
         "new_roles_30d bigint, removed_roles_30d bigint, as_of_date date"

@@ -32,7 +32,7 @@ HISTORY_SIZE = 8
 def read_feed(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
     """Published payloads as a stream with an event time."""
     raw = spark.readStream.schema(PAYLOAD).option("maxFilesPerTrigger", max_files).json(path)
-    return with_event_time(raw)
+    return with_event_time(raw.drop("run"))
 
 
 def with_event_time(payloads: DataFrame) -> DataFrame:
