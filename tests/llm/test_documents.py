@@ -335,7 +335,7 @@ def test_contaminated(spark, docs, empty):
         for i, t in items:
             item = grams(words(t))
             size = len(words(t))
-            starts = {max(0, min(p - q, len(w) - size)) for q, x in enumerate(item) for p, y in enumerate(g) if x == y} if set(item) & set(g) else ()
+            starts = range(max(0, len(w) - size) + 1) if set(item) & set(g) else ()
             for s in starts:
                 a, b = Counter(g[s : s + min(size, len(w)) - 4]), Counter(item)
                 both, either = sum((a & b).values()), sum((a | b).values())
@@ -361,15 +361,14 @@ def similar_windows(texts, items, threshold=0.75):
         g = grams(w)
         for i, item in items:
             x, size = grams(item.split()), len(item.split())
-            aligned = {max(0, min(p - q, len(w) - size)) for q, a in enumerate(x) for p, b in enumerate(g) if a == b}
             scored = []
             for s in range(max(1, len(w) - size + 1)):
                 a, b = Counter(g[s : s + min(size, len(w)) - 4]), Counter(x)
                 both, either = sum((a & b).values()), sum((a | b).values())
-                scored.append((both / either, s in aligned, -s, both, either))
+                scored.append((both / either, -s, both, either))
             best = max(scored)
             if best[0] >= threshold:
-                found[d, i] = (-best[2], best[3], best[4], best[0])
+                found[d, i] = (-best[1], best[2], best[3], best[0])
     return found
 
 

@@ -13,7 +13,8 @@ dg AS (SELECT doc_id, len(words) AS n, unnest(range(len(words) - 4)) AS pos, unn
 ig AS (SELECT item_id, len(words) AS size, unnest(range(len(words) - 4)) AS place, unnest(list_transform(range(1, len(words) - 3), lambda k: array_to_string(words[k:k + 4], ' '))) AS gram FROM i WHERE len(words) >= 5),
 ic AS (SELECT item_id, gram, count(*) AS of_item FROM ig GROUP BY ALL),
 hits AS (SELECT * FROM dg JOIN ig USING (gram)),
-windows AS (SELECT DISTINCT doc_id, item_id, size, n, greatest(0, least(pos - place, n - size)) AS start FROM hits),
+pairs AS (SELECT DISTINCT doc_id, item_id, size, n FROM hits),
+windows AS (SELECT *, unnest(range(greatest(0, n - size) + 1)) AS start FROM pairs),
 stands AS (SELECT DISTINCT doc_id, item_id, gram, pos FROM hits),
 counts AS (SELECT doc_id, item_id, size, n, start, gram, count(*) AS c FROM windows JOIN stands USING (doc_id, item_id) WHERE pos >= start AND pos <= start + least(size, n) - 5 GROUP BY ALL),
 sums AS (SELECT doc_id, item_id, size, n, start, CAST(sum(least(c, of_item)) AS BIGINT) AS n_common FROM counts JOIN ic USING (item_id, gram) GROUP BY ALL),
