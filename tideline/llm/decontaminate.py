@@ -88,7 +88,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75,
     windows = hopeful.select(*pair, "size", "n", F.explode(F.expr("sequence(start, until)")).alias("start"))
 
     # fingerprints of these windows, and of the items
-    text_words = split.join(able.select(*kind).distinct(), kind, "left_semi").groupBy(*kind).agg(F.first("words").alias("words"))
+    # stored by themselves, so that their size decides whether texts have to move
+    kinds = shared.stored(able.select(*kind).distinct(), "kinds")
+    text_words = split.join(kinds, kind, "left_semi").groupBy(*kind).agg(F.first("words").alias("words"))
     window = [*pair, "start", "size", "n"]
     features = windows.join(text_words, kind).select(*window, F.explode(F.expr(_features("words", "start", "least(size, n) - 4"))).alias("feature"))
     features = shared.stored(features, "features")
