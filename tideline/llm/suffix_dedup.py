@@ -340,17 +340,18 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     common = shared.stored(fragments.gathered(flushes, n_parts, narrow=True).join(classes, "key").select("sha", "key", "id", "grams"), "common")
     texts = hashed.select(F.col("sha").alias("sha_"), F.col("order").alias("id_"), "text")
     its_text = (F.col("sha") == F.col("sha_")) & (F.col("id") == F.col("id_"))
+    # stored, so that surroundings are packed by as many tasks as the bytes want, not by every partition of the join
+    candidates = shared.stored(common.join(texts, its_text).select("id", "text", "grams", "key", "sha"), "candidates")
     runs = (
-        common.join(texts, its_text)
-        .select("id", "text", "grams", "key")
+        candidates.select("id", "text", "grams", "key")
         .mapInArrow(partial(_surroundings, length=length, n_parts=n_parts, n_ranges=n_ranges), "part int, blob binary")
         .groupBy("part")
         .applyInArrow(range_fragment, "key long, starts array<long>, ends array<long>")
         .groupBy("key")
         .agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     )
-    ranges = shared.stored(common.select("key", "sha", "id").join(runs, "key").select("sha", "id", "starts", "ends"), "ranges")
-    cut = shared.stored(ranges.join(texts, its_text).select("sha", F.col("text").cast("binary").alias("text"), "starts", "ends").mapInArrow(_cut, CUT).dropDuplicates(["sha"]), "cut")
+    ranges = shared.stored(runs, "ranges")
+    cut = shared.stored(candidates.select("key", "sha", F.col("text").cast("binary").alias("text")).join(ranges, "key").select("sha", "text", "starts", "ends").mapInArrow(_cut, CUT).dropDuplicates(["sha"]), "cut")
     # stored, so that the rows of one text are joined by a plain shuffle, which Spark can split
     per_text = shared.stored(classes.select("sha", "id").join(cut, "sha", "left"), "per-text")
     plain = described.join(per_text, "sha", "left")
