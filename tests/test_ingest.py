@@ -172,8 +172,10 @@ def _written(root, table, before=()):
 def test_a_run_rewrites_its_buckets_only(spark, tmp_path):
     root = str(tmp_path / "s")
     store = TableStore(spark, root)
-    many = [board(spark, *[f"Backend Engineer {k}" for k in range(6)], name=f"Firm {n}", landed=n) for n in range(20)]
-    plan.ingest(store, combined(many), NOW, "first")
+    jobs = lambda n: json.dumps({"jobs": [{"id": 10 * n + k, "title": f"Backend Engineer {k}", "content": "python", "updated_at": "2024-01-19T00:00:00Z", "location": {"name": "Remote"}} for k in range(6)]})
+    firms = [(n, f"Firm {n}", f"firm {n}", jobs(n)) for n in range(20)]
+    many = boards.greenhouse(spark.createDataFrame(firms, ["landed", "company_name", "token", "body"]), NOW)
+    plan.ingest(store, many, NOW, "first")
     tables = ("roles", "companies", "signal_facts")
     before = {t: _written(root, t) for t in tables}
     assert len({p.parent for p in before["roles"]}) > 20
@@ -184,7 +186,7 @@ def test_a_run_rewrites_its_buckets_only(spark, tmp_path):
     assert 1 <= len(new["roles"]) <= 3 and len(new["companies"]) == len(new["signal_facts"]) == 1
     # The same batches over a store of one bucket: a full merge.
     whole = TableStore(spark, str(tmp_path / "w"), buckets=1)
-    plan.ingest(whole, combined(many), NOW, "first")
+    plan.ingest(whole, many, NOW, "first")
     plan.ingest(whole, small, LATER, "second")
     for table in ("roles", "companies", "signals", "funding_history", "signal_facts"):
         assert values(store.read(table)) == values(whole.read(table))

@@ -17,7 +17,8 @@ ROUND = r"(?i)\b(seed|pre-seed|series [a-f]|series[a-f]|growth|bridge)\b"
 VERB = "(?:" + "|".join(lex.DEAL_VERBS) + r")\b"
 SUBJECT_THEN_VERB = r"(?im)^([A-Z][A-Za-z0-9\s&'.\-,]+?)\s+" + VERB
 SUBJECT_ASIDE_VERB = r"(?i)^(?:Exclusive:\s*)?([A-Z][A-Za-z0-9\s&'.\-]+?)(?:,|:)\s.*?\b" + VERB
-EDITORIAL = "(?i)^(?:" + "|".join(lex.EDITORIAL_PREFIXES) + r"):\s+"
+# A fixed value: the editorial openings of headlines.
+EDITORIAL = r"(?i)^(?:Exclusive|Report|Reports|Breaking|Analysis|Update|Opinion):\s+"
 BACKED = r"(?i)^[A-Z][A-Za-z0-9\s&'.\-,]+-backed\s+"
 QUESTION = r"(?i)^(?:How|Why)\s+"
 BULLET = (

@@ -147,11 +147,11 @@ FUNDING_NEWS_WORDS = ("raise", "raised", "funding", "fund", "seed", "series", "i
 FUNDING_BRIEF_NEWS_WORDS = ("raises", "funding", "series", "seed")
 FUNDING_ROUNDUP_WORDS = ("raises", "raised", "series", "seed", "funding")
 FUNDING_ANCHOR_WORDS = ("raises", "raised", "series", "seed", "funding", "investment")
+# Shared by the two patterns that read a company before its verb.
 DEAL_VERBS = (
     "raises?", "raised", "secures?", "secured", "closes?", "closed", "lands?", "landed", "captures?", "captured",
     "charts?", "charted", "wins?", "won", "nabs?", "nabbed", r"locks\s+down", r"locked\s+down",
 )
-EDITORIAL_PREFIXES = ("Exclusive", "Report", "Reports", "Breaking", "Analysis", "Update", "Opinion")
 
 # Labels.
 SIGNAL_TYPE_LABELS = {

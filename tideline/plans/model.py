@@ -19,7 +19,6 @@ from tideline.operators.ranking import chronological_split
 from tideline.plans.dataset import FEATURE_COLUMNS, vector_columns
 
 LABEL = "label_new_roles_next_30d"
-# Leaf values are put into the plan up to this many numbers; beyond it they are joined.
 
 
 @dataclass(frozen=True)
