@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import shared
@@ -46,21 +46,28 @@ def topic_sql(topics: Sequence[tuple[str, str]] = TOPICS, text: str = "text") ->
 
 def describe(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topics: Sequence[tuple[str, str]] = TOPICS, seed: str = SEED) -> DataFrame:
     """Per row: doc_id, source, lang, topic, n_tokens (words) and the draw, from 0 to 1."""
-    rows = docs.select(
-        F.col(id_column).alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
-    )
+    rows = docs.select(F.col(id_column).alias("doc_id"), _name(source).alias("source"), _name(lang).alias("lang"), _name(text).alias("text"))
     body = F.expr("trim(BOTH ' \\t\\n\\u000B\\u000C\\r' FROM text)")
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     return rows.select(
         "doc_id",
         "source",
         "lang",
         F.expr(topic_sql(topics)).alias("topic"),
         F.when(body == "", 0).otherwise(F.size(F.split(body, BLANK))).cast("long").alias("n_tokens"),
-        (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)).alias("draw"),
+        _draw(F.col("doc_id"), seed).alias("draw"),
     )
 
 
+def _name(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def _draw(ident: Column, seed: str) -> Column:
+    """From 0 to 1, by a hash of the seed and the id."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.lit(""))))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
 def rake(described: DataFrame, temper: Mapping[str, float] | None = None, targets: Mapping[str, DataFrame] | None = None, rounds: int = ROUNDS, budget: float = BUDGET) -> DataFrame:
     """(source, lang, topic, tokens, weight, probability) per cell. A marginal's target
     shares are ``targets[name]`` (category, share) or, without these, its token counts to
@@ -107,12 +114,13 @@ def mix_sources(docs: DataFrame, temper: Mapping[str, float] | None = None, targ
     )
 
 
-def sampled(docs: DataFrame, id_column: str = "doc_id", **more) -> DataFrame:
-    """The rows of ``docs`` that are taken, with their own columns. Rows that repeat an
-    id but differ in cell may differ in their decision, so those are matched by cell too."""
-    mixed = mix_sources(docs, id_column=id_column, **more).where("kept").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("lang").alias("__lang"), F.col("topic").alias("__topic")).distinct()
-    source, lang, text = more.get("source", "source"), more.get("lang", "lang"), more.get("text", "text")
-    topic = F.expr(topic_sql(more.get("topics", TOPICS), f"coalesce(cast(`{text}` as string), '')"))
-    same = docs[id_column].eqNullSafe(F.col("__id")) & (F.coalesce(docs[source].cast("string"), F.lit("")) == F.col("__source"))
-    same &= (F.coalesce(docs[lang].cast("string"), F.lit("")) == F.col("__lang")) & (topic == F.col("__topic"))
-    return docs.join(mixed, same, "left_semi")
+def sampled(docs: DataFrame, id_column: str = "doc_id", temper: Mapping[str, float] | None = None, targets: Mapping[str, DataFrame] | None = None, budget: float = BUDGET, text: str = "text", source: str = "source", lang: str = "lang", topics: Sequence[tuple[str, str]] = TOPICS, seed: str = SEED) -> DataFrame:
+    """The rows of ``docs`` that are taken, with their own columns. A row's draw follows
+    from its id and its probability from its cell, so only the cells are joined: texts stay
+    where they are as long as the stored cells are small enough for Spark to send around."""
+    columns = {"id_column": id_column, "text": text, "source": source, "lang": lang, "topics": topics, "seed": seed}
+    described = shared.stored(describe(docs, **columns).drop("doc_id", "draw"), "described")
+    cells = shared.stored(rake(described, temper, targets, budget=budget).select(F.struct("source", "lang", "topic").alias("__cell"), "probability"), "probabilities")
+    cell = F.struct(_name(source).alias("source"), _name(lang).alias("lang"), F.expr(topic_sql(topics, f"coalesce(cast(`{text}` as string), '')")).alias("topic"))
+    placed = docs.withColumns({"__of": cell, "__draw": _draw(F.col(id_column), seed)})
+    return placed.join(cells, (F.col("__of") == F.col("__cell")) & (F.col("__draw") < F.col("probability")), "left_semi").select(*[docs[c] for c in docs.columns])
