@@ -7,11 +7,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tideline.llm import shared
+from tideline.llm import fragments, shared
 from tideline.llm.line_quality import line_quality
 from tideline.llm.ngram_join import first_of_each_group, ngram_join
 from tideline.llm.shared import run_folder
@@ -105,3 +107,23 @@ def test_one_of_each_group_by_row(spark):
     got = sorted((r.doc_id or 0, r.text or "", r.source) for r in kept.collect())
     assert [(i, t[:2]) for i, t, _ in got] == [(0, "c0"), (1, "a0"), (3, "d0"), (5, "e0"), (8, ""), (8, "")]
     assert first_of_each_group(docs.limit(0)).count() == 0
+
+
+def test_fragments_in_pieces(monkeypatch):
+    """Ranges of a fragment together find what the whole fragment does."""
+    rng, held = np.random.default_rng(3), []
+    pool = rng.integers(0, 2**63, 3000, dtype=np.int64).astype(np.uint64) * np.uint64(2)
+    for _ in range(2):
+        sets = [np.unique(np.concatenate([pool[rng.integers(0, 3000, 60)], pool[:4], rng.integers(0, 2**63, 40, dtype=np.int64).astype(np.uint64)])) for _ in range(200)]
+        held.append(fragments.flush([(x, np.full(len(x), rng.integers(0, 2**60), np.int64)) for x in sets], 4))
+    rows = pa.Table.from_batches(held)
+
+    def found() -> list:
+        parts = [fragments.shared_grams((pa.scalar(p, pa.int32()),), rows.filter(pc.equal(rows.column(0), p)), 4) for p in sorted(set(rows.column(0).to_pylist()))]
+        both = pa.concat_tables(parts)
+        return [sorted(map(repr, fragments.by_key(both.filter(pc.equal(both.column(0), b))).to_pylist())) for b in sorted(set(both.column(0).to_pylist()))]
+
+    whole = found()
+    assert sum(map(len, whole)) == 400
+    monkeypatch.setattr(fragments, "PIECE_TOKENS", 700)
+    assert found() == whole

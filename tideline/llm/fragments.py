@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from tideline.llm import shared
 
 FLUSH_TOKENS = 1_000_000
+PIECE_TOKENS = 400_000  # what one step inside a fragment works on
 COMMON = 64  # the number of keys with a hash is known up to this
 LOW48 = np.uint64((1 << 48) - 1)
 
@@ -46,8 +47,7 @@ def _pack(keys: np.ndarray, counts: np.ndarray, grams: np.ndarray, common: np.nd
     return head.tobytes() + keys.tobytes() + counts.astype(np.uint32).tobytes() + _six(grams) + _six(common)
 
 
-def _unpack(blob: bytes):
-    view = memoryview(blob)
+def _unpack(view: memoryview):
     k, g, c = np.frombuffer(view[:24], np.int64)
     a, b = 24 + 8 * k, 24 + 12 * k
     return np.frombuffer(view[24:a], np.int64), np.frombuffer(view[a:b], np.uint32), _unsix(view[b : b + 6 * g]), _unsix(view[b + 6 * g : b + 6 * (g + c)])
@@ -93,16 +93,39 @@ def shared_grams(part: tuple, group: pa.Table, n_parts: int, narrow: bool = Fals
     """Of one fragment: for each key its hashes that other keys have too, with the number
     of keys, COMMON at most; packed in one row per bucket of keys, which ``by_key`` opens.
     ``narrow``: the hashes' low 32 bits are enough."""
-    blobs = group.column("blob").to_pylist()
+    blobs = [memoryview(b.as_buffer()) for b in group.column("blob")]
+    sizes = np.array([np.frombuffer(b[12:20], np.int64)[0] for b in blobs], np.int64)
     if part[0].as_py() >= n_parts:
-        unpacked = [(np.frombuffer(b[:4], np.int32)[0], *_unpack(b[4:])) for b in blobs]
-        keys = np.concatenate([np.repeat(k, c) for _, k, c, _, _ in unpacked])
-        grams = np.concatenate([np.uint64(f) << np.uint64(48) | g for f, _, _, g, _ in unpacked])
-        return _packed(keys, grams, np.full(len(keys), COMMON, np.uint8), n_parts, narrow)
-    unpacked = [_unpack(b[4:]) for b in blobs]
-    keys = np.concatenate([np.repeat(k, c) for k, c, _, _ in unpacked])
-    grams = np.concatenate([g for _, _, g, _ in unpacked])
-    marks = np.concatenate([m for _, _, _, m in unpacked])
+        pieces = []
+        for piece in np.split(np.arange(len(blobs)), np.flatnonzero(np.diff(np.cumsum(sizes) // PIECE_TOKENS)) + 1):
+            keys, grams = [], []
+            for b in (blobs[i] for i in piece):
+                k, c, g, _ = _unpack(b[4:])
+                keys.append(np.repeat(k, c))
+                grams.append(np.uint64(np.frombuffer(b[:4], np.int32)[0]) << np.uint64(48) | g)
+            keys, grams = np.concatenate(keys), np.concatenate(grams)
+            pieces.append(_packed(keys, grams, np.full(len(keys), COMMON, np.uint8), n_parts, narrow))
+        return pa.concat_tables(pieces)
+    marks = np.concatenate([_unpack(b[4:])[3] for b in blobs])
+    n_ranges = int(-(-sizes.sum() // PIECE_TOKENS)) or 1
+    found = [_range_shared(blobs, marks, s, n_ranges) for s in range(n_ranges)]
+    keys, grams, counts = (np.concatenate([x[c] for x in found]) for c in range(3))
+    return _packed(keys, np.uint64(part[0].as_py()) << np.uint64(48) | grams, counts, n_parts, narrow)
+
+
+def _range_shared(blobs: list[memoryview], marks: np.ndarray, number: int, n_ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, hashes and counts of the shared hashes in one of ``n_ranges`` ranges of a
+    fragment. A hash lies in one range, so the ranges together are the whole fragment."""
+    keys, grams = [], []
+    for b in blobs:
+        k, c, g, _ = _unpack(b[4:])
+        k = np.repeat(k, c)
+        if n_ranges > 1:
+            here = (g >> np.uint64(16)) * np.uint64(n_ranges) >> np.uint64(32) == number
+            k, g = k[here], g[here]
+        keys.append(k)
+        grams.append(g)
+    keys, grams = np.concatenate(keys), np.concatenate(grams)
     order = np.lexsort((keys, grams))
     keys, grams = keys[order], grams[order]
     fresh = np.ones(len(keys), bool)
@@ -113,7 +136,7 @@ def shared_grams(part: tuple, group: pa.Table, n_parts: int, narrow: bool = Fals
     counts = np.where(np.isin(grams[begin], marks), COMMON, np.minimum(counts, COMMON)) if len(begin) else counts
     each = np.repeat(counts, np.diff(np.append(begin, len(grams))))
     several = each > 1
-    return _packed(keys[several], np.uint64(part[0].as_py()) << np.uint64(48) | grams[several], each[several].astype(np.uint8), n_parts, narrow)
+    return keys[several], grams[several], each[several].astype(np.uint8)
 
 
 def _packed(keys: np.ndarray, grams: np.ndarray, counts: np.ndarray, n_parts: int, narrow: bool) -> pa.Table:
