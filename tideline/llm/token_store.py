@@ -31,7 +31,7 @@ from tideline.llm import files, shared
 from tideline.llm.perfect_hash import PerfectHash
 from tideline.llm.units import Units, punctuation
 
-BATCH = 20_000
+BATCH = 2_000
 MAGIC = b"TLTOKEN1"
 SLOT = np.dtype([("print", "<u4"), ("offset", "<u8"), ("length", "<u8")])
 NULL_KEY = np.uint64(0xA5A5A5A5DEADBEEF)
