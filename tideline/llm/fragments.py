@@ -182,9 +182,11 @@ def gathered(flushes: DataFrame, n_parts: int, narrow: bool = False) -> DataFram
     to find what is shared, and once by key."""
 
     def fragment(part: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        shared.give_back()
         return shared_grams(part, group, n_parts, narrow)
 
     def bucket(number: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        shared.give_back()
         return by_key(group, narrow)
 
     found = flushes.groupBy("part").applyInArrow(fragment, "bucket int, blob binary")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -72,9 +75,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
 # ---- texts as bytes -------------------------------------------------------
 
 
+@functools.cache
+def _trim() -> Callable | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """What was freed goes back to the system, as far as the C library can: workers live
+    on and would hold the peak of one step through the next ones."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
 def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
     """(slice of the batch, bytes, offsets): rows in pieces of about ``most`` bytes,
-    one row at least; null is the empty text."""
+    one row at least; null is the empty text. Memory is given back before each batch."""
+    give_back()
     at = batch.schema.get_field_index(column)
     texts = batch.column(at)
     sizes = np.diff(_offsets(texts)) if len(texts) else np.zeros(0, np.int64)

@@ -15,6 +15,7 @@ Shards are cut between ids. Other columns are not read.
 from __future__ import annotations
 
 import functools
+import os
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -41,6 +42,7 @@ NULL_KEY = np.uint64(0xA5A5A5A5DEADBEEF)
 def encoder(path: str, width: str) -> Units:
     """The tokenizers library, asked once per unit; other kinds than plain byte-level
     tokenizers encode whole texts."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks run side by side as it is; threads of each would only hold memory
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_padding()
     tokenizer.no_truncation()

@@ -15,7 +15,7 @@ import numpy as np
 
 from tideline.llm import shared
 
-KNOWN_UNITS = 2_000_000
+KNOWN_UNITS = 1_000_000  # a bound on a worker's memory; forgotten units are encoded again
 _CUT = np.zeros(256, bool)
 _CUT[[0x20, *range(0x09, 0x0E)]] = True
 _PLAIN = np.zeros(256, bool)
