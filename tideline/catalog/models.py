@@ -63,14 +63,27 @@ def feature_vectors(t: Tables):
     return dataset.vector_columns(training(t)).select("company_id", "as_of_date", *dataset.FEATURE_COLUMNS)
 
 
-@query(
-    "training_export",
-    """WITH live AS (SELECT company_id, role_type, count(*) AS n FROM roles WHERE first_seen_at <= TIMESTAMP '2024-01-20 23:59:59.999999'
-        AND (removed_at IS NULL OR removed_at > TIMESTAMP '2024-01-20 23:59:59.999999') GROUP BY ALL),
-    m AS (SELECT company_id, '{' || string_agg('"' || role_type || '":' || n, ',' ORDER BY role_type) || '}' AS role_type_counts, sum(n) AS active_roles_total FROM live GROUP BY company_id)
-    SELECT company_id, name AS company_name, DATE '2024-01-20' AS as_of_date, 'v1' AS feature_version, coalesce(role_type_counts, '{}') AS role_type_counts,
-      coalesce(active_roles_total, 0) AS active_roles_total FROM companies LEFT JOIN m USING (company_id)""",
-)
+def _export_sql() -> str:
+    """All columns of the exchange file over the SQL of the training rows."""
+    kinds = {"role_type_counts": lex.ROLE_TYPES, "source_counts": lex.SIGNAL_TYPES, "signal_counts_30d": lex.SIGNAL_TYPES}
+    made = {"feature_version": f"'{dataset.FEATURE_VERSION}'", "funding_stage": "coalesce(funding_stage, 'unknown')"}
+    for name, keys in kinds.items():
+        prefix = dataset.MAP_PREFIXES[name]
+        entries = ", ".join(f"""CASE WHEN {prefix}{k} > 0 THEN '"{k}":' || {prefix}{k} END""" for k in sorted(keys))
+        made[name] = f"'{{' || concat_ws(',', {entries}) || '}}'"
+    columns = ", ".join(f"{made.get(c, c)} AS {c}" for c in dataset.EXPORT_COLUMNS)
+    return f"SELECT {columns} FROM ({TRAINING_SQL}) AS rows"
+
+
+@query("training_export", _export_sql())
 def training_export(t: Tables):
-    rows = dataset.training_rows(t.companies, t.roles, t.signals, t.funding_history, "2024-01-20", "2024-01-20", 1)
-    return dataset.export_frame(rows).select("company_id", "company_name", "as_of_date", "feature_version", "role_type_counts", "active_roles_total")
+    """K1: every column of the exchange file, for every company and date of the training grid."""
+    return dataset.export_frame(training(t))
+
+
+@query("training_reimport", f"SELECT vectors.* REPLACE (CAST(company_id AS VARCHAR) AS company_id) FROM ({_vector_sql()}) AS vectors")
+def training_reimport(t: Tables):
+    """The exchange file written, read back and made into vectors again; its ids are strings."""
+    path = shared_folder(t.spark, "training-export")
+    dataset.write_export(training(t), path)
+    return dataset.vector_columns(dataset.read_export(t.spark, path)).select("company_id", "as_of_date", *dataset.FEATURE_COLUMNS)
