@@ -12,15 +12,19 @@ from tideline.plans import dataset, model, scoring
 from tideline.session import shared_folder
 from tideline.tables import AS_OF, Tables
 
-# A smaller forest than the default of `ForestSettings`, for a quick interactive look.
-QUICK = model.ForestSettings(trees=20, max_depth=8)
+_trained: dict[tuple[str, str], str] = {}
 
 
-def quick_model(t: Tables) -> model.Artifact:
-    rows = dataset.training_rows(t.companies, t.roles, t.signals, t.funding_history, "2023-06-01", "2023-12-28", 30)
-    path = shared_folder(t.spark, "velocity-model")
-    model.train(rows, path, QUICK, metrics=False)
-    return model.load(t.spark, path)
+def velocity_model(t: Tables) -> model.Artifact:
+    """The forest with the settings that a run uses, trained once per session and folder
+    of tables: both queries below apply the same one."""
+    made = (t.spark.sparkContext.applicationId, t.folder)
+    if made not in _trained:
+        rows = dataset.training_rows(t.companies, t.roles, t.signals, t.funding_history, "2023-06-01", "2023-12-28", 30)
+        path = shared_folder(t.spark, "velocity-model")
+        model.train(rows, path, metrics=False)
+        _trained[made] = path
+    return model.load(t.spark, _trained[made])
 
 
 def today_features(t: Tables):
@@ -30,12 +34,12 @@ def today_features(t: Tables):
 @query("model_predictions")
 def model_predictions(t: Tables):
     # No SQL check: forest training is iterative. Invariants are tested.
-    return model.predict(quick_model(t), today_features(t))
+    return model.predict(velocity_model(t), today_features(t))
 
 
 @query("blended_ranking")
 def blended_ranking(t: Tables):
-    predictions = model.predict(quick_model(t), today_features(t))
+    predictions = model.predict(velocity_model(t), today_features(t))
     return (
         scoring.rescore(t.companies, t.role_state, t.signals, AS_OF, t.role_skills, predictions=predictions)
         .select("company_id", "name", "fit_score", "urgency_score", "model_score", "composite_score")
